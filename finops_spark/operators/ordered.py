@@ -32,8 +32,12 @@ def order_number(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # Read off the wall clock: a cast would depend on the session time zone.
+        seconds = F.hour(column) * 3600 + F.minute(column) * 60 + F.extract(F.lit("SECOND"), F.col(column))
+        return (F.unix_date(F.to_date(column)) * F.lit(86400.0) + seconds.cast("double")).cast("double")
     if isinstance(kind, T.NumericType):
         return F.col(column).cast("double")
     raise TypeError(f"cannot split a large key: order column {column} is {kind.simpleString()}")

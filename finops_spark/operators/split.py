@@ -145,24 +145,17 @@ def stratification_check(
     )
     # One row for each class from here on.
     everything = Window.partitionBy(F.lit(0))
-    sized = by_class.select(
-        label,
-        (F.col("_all") / F.sum("_all").over(everything)).alias("overall_share"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("split"),
-                        F.col(f"_p{i}").alias("n"),
-                        F.coalesce(
-                            F.try_divide(F.col(f"_p{i}"), F.sum(f"_p{i}").over(everything)), F.lit(0.0)
-                        ).alias("share"),
-                    )
-                    for i, p in enumerate(parts)
-                ]
-            )
-        ).alias("e"),
-    )
+    totals = {f"_t{i}": F.sum(f"_p{i}").over(everything) for i in range(len(parts))}
+    totals["overall_share"] = F.col("_all") / F.sum("_all").over(everything)
+    entries = [
+        F.struct(
+            F.lit(p).alias("split"),
+            F.col(f"_p{i}").alias("n"),
+            F.coalesce(F.try_divide(F.col(f"_p{i}"), F.col(f"_t{i}")), F.lit(0.0)).alias("share"),
+        )
+        for i, p in enumerate(parts)
+    ]
+    sized = by_class.withColumns(totals).select(label, "overall_share", F.explode(F.array(*entries)).alias("e"))
     deviation = F.abs(F.col("e.share") - F.col("overall_share"))
     within = F.round(deviation, 12) <= F.lit(float(tolerance))
     return sized.select(
