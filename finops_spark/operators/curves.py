@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finops_spark.functions.scalar import above_threshold, expected_cost, f_beta, safe_ratio
-from finops_spark.operators.ordered import literal_bucket
+from finops_spark.operators.ordered import SPLIT_ROWS, literal_bucket
 
 RANGES = 256
 
 
-def score_ranges(df: DataFrame, score: str = "score", ranges: int = RANGES) -> list[float]:
-    """At most ``ranges`` - 1 cut points that share the rows out evenly."""
+def score_ranges(
+    df: DataFrame, score: str = "score", ranges: int = RANGES, split_rows: int = SPLIT_ROWS
+) -> list[float]:
+    """At most ``ranges`` - 1 cut points that share the rows out evenly; none when
+    all rows fit one task. They become literals, so every run of a task agrees."""
+    if df.count() <= split_rows:
+        return []
     wanted = [i / ranges for i in range(1, ranges)]
     return sorted(set(df.approxQuantile(score, wanted, 0.25 / ranges)))
 
@@ -31,18 +36,18 @@ def threshold_curve(
     fp_cost: float = 1.0,
     beta: float = 2.0,
     ranges: int = RANGES,
-    cuts: list[float] | None = None,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """One row for each distinct score used as threshold (score >= threshold).
 
     (threshold, positives, tp, fp, fn, tn, precision, recall, f_beta, total_cost,
     cost_per_10k), where ``positives`` counts label 1 at exactly that score.
     """
-    cuts = score_ranges(df, score, ranges) if cuts is None else cuts
+    cuts = score_ranges(df, score, ranges, split_rows)
     per_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) != 1).alias("negatives")
     )
-    per_score = per_score.withColumn("_range", literal_bucket(F.col("threshold"), cuts))
+    per_score = per_score.withColumn("_range", literal_bucket("threshold", cuts))
     # One row for each range: at most len(cuts) + 1.
     whole = Window.partitionBy(F.lit(0))
     higher = whole.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many values the built-in median (one task, all values) is used.
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 100_000
 # A bracket around the median is narrowed until it holds at most this many values.
 BRACKET_ROWS = 100_000
 # Relative accuracy of the sketch, and a margin in ranks wider than its error.
@@ -32,31 +32,37 @@ def exact_medians(
         return {}
     names = list(columns)
     values = df.select(*[_clean(columns[n]).alias(f"v{i}") for i, n in enumerate(names)])
-    counts = values.agg(*[F.count(f"v{i}") for i in range(len(names))]).first()
+    at = range(len(names))
+    # The first range around one half needs no count, so both come from one pass.
+    first = values.agg(
+        *[F.count(f"v{i}") for i in at],
+        *[F.percentile_approx(f"v{i}", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY) for i in at],
+    ).first()
+    counts, sketches = first[: len(names)], first[len(names) :]
     found: dict[str, float | None] = {n: None for n in names}
-    small = [i for i in range(len(names)) if 0 < counts[i] <= direct_rows]
+    small = [i for i in at if 0 < counts[i] <= direct_rows]
     if small:
         row = values.agg(*[F.median(f"v{i}") for i in small]).first()
-        found.update({names[i]: row[at] for at, i in enumerate(small)})
-    open_searches = {i: _Search(counts[i]) for i in range(len(names)) if counts[i] > direct_rows}
-    while open_searches:
-        _narrow(values, open_searches)
-        few = {i: s for i, s in open_searches.items() if s.middle is None and s.inside <= bracket_rows}
-        _sort_rest(values, few)
-        for i in [i for i, s in open_searches.items() if s.middle is not None]:
-            found[names[i]] = open_searches.pop(i).middle
+        found.update({names[i]: row[k] for k, i in enumerate(small)})
+    searches = {i: _Search(counts[i], sketches[i]) for i in at if counts[i] > direct_rows}
+    while searches:
+        _narrow(values, searches)
+        _sort_rest(values, {i: s for i, s in searches.items() if s.middle is None and s.inside <= bracket_rows})
+        for i in [i for i, s in searches.items() if s.middle is not None]:
+            found[names[i]] = searches.pop(i).middle
     return found
 
 
 class _Search:
     """The closed range [lo, hi] known to hold the middle ranks of ``n`` values."""
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, proposed: Sequence[float]) -> None:
         self.k1, self.k2 = (n - 1) // 2, n // 2
         self.lo, self.hi = float("-inf"), float("inf")
         self.below, self.inside = 0, n
         self.margin = _MARGIN
         self.middle: float | None = None
+        self.proposed: Sequence[float] | None = proposed
 
     def holds(self, v: Column) -> Column:
         return v.between(F.lit(self.lo), F.lit(self.hi))
@@ -88,16 +94,20 @@ def _clean(expression: Column) -> Column:
 
 
 def _narrow(values: DataFrame, searches: dict[int, _Search]) -> None:
-    sketches = []
+    sketches = {}
     for i, s in searches.items():
-        lo = max(0.0, (s.k1 - s.below) / s.inside - s.margin)
-        hi = min(1.0, (s.k2 - s.below) / s.inside + s.margin)
-        v = F.col(f"v{i}")
-        sketches.append(F.percentile_approx(F.when(s.holds(v), v), [lo, hi], _ACCURACY))
-    proposed = dict(zip(searches, values.agg(*sketches).first()))
+        if s.proposed is None:
+            lo = max(0.0, (s.k1 - s.below) / s.inside - s.margin)
+            hi = min(1.0, (s.k2 - s.below) / s.inside + s.margin)
+            v = F.col(f"v{i}")
+            sketches[i] = F.percentile_approx(F.when(s.holds(v), v), [lo, hi], _ACCURACY)
+    if sketches:
+        row = values.agg(*sketches.values()).first()
+        for k, i in enumerate(sketches):
+            searches[i].proposed = row[k]
     counting = []
     for i in searches:
-        (lo, hi), v = proposed[i], F.col(f"v{i}")
+        (lo, hi), v = searches[i].proposed, F.col(f"v{i}")
         strict = (v > lo) & (v < hi)
         counting += [
             F.count_if(v < lo),
@@ -109,7 +119,8 @@ def _narrow(values: DataFrame, searches: dict[int, _Search]) -> None:
         ]
     counted = values.agg(*counting).first()
     for at, (i, s) in enumerate(searches.items()):
-        s.settle(*proposed[i], *counted[6 * at : 6 * at + 6])
+        s.settle(*s.proposed, *counted[6 * at : 6 * at + 6])
+        s.proposed = None
 
 
 def _sort_rest(values: DataFrame, searches: dict[int, _Search]) -> None:

@@ -183,16 +183,17 @@ def with_bounded_window(
     return computed.filter(F.col("_block") == F.col("_home")).drop("_pos", "_home", "_block")
 
 
-def literal_bucket(column: Column, cuts: Sequence[float]) -> Column:
+def literal_bucket(column: str, cuts: Sequence[float]) -> Column:
     """How many of the sorted literal ``cuts`` lie at or below ``column``.
 
     Built as a balanced tree of comparisons, so 255 cuts cost eight of them.
     """
 
-    def node(lo: int, hi: int) -> Column:
+    def node(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(column >= F.lit(float(cuts[mid])), node(mid + 1, hi)).otherwise(node(lo, mid))
+        edge = f"cast('{float(cuts[mid])!r}' AS double)"
+        return f"CASE WHEN `{column}` >= {edge} THEN {node(mid + 1, hi)} ELSE {node(lo, mid)} END"
 
-    return node(0, len(cuts))
+    return F.expr(node(0, len(cuts)))

@@ -185,9 +185,16 @@ def cv_predictions(
     bounds = fold_bounds(F.col("n_rows"), expanding=expanding, **layout)
     inside = F.filter(bounds, lambda f: (at >= f["valid_lo"]) & (at < f["valid_hi"]))
     valid = samples.withColumn("fold", F.explode(F.transform(inside, lambda f: f["fold"])))
-    fitted = models.select(key, "fold", "coefficients", "intercept")
-    y_hat = predict(features, F.col("coefficients"), F.col("intercept"))
-    return valid.join(fitted, [key, "fold"]).select(key, "fold", "row_idx", F.col(label).alias("y"), y_hat.alias("y_hat"))
+    # The few models of a series travel as one map, so that the join is on the key
+    # the samples are partitioned and sorted by: a merge join moves only the models.
+    of_series = models.groupBy(key).agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("fold", F.struct(F.col("coefficients").alias("c"), F.col("intercept").alias("b"))))
+        ).alias("_models")
+    )
+    joined = valid.hint("merge").join(of_series, key).withColumn("_m", F.element_at("_models", F.col("fold")))
+    y_hat = predict(features, F.col("_m.c"), F.col("_m.b"))
+    return joined.select(key, "fold", "row_idx", F.col(label).alias("y"), y_hat.alias("y_hat"))
 
 
 def rmse(y: Column, y_hat: Column) -> Column:
@@ -248,7 +255,10 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """(fold metrics, models): every fold of every series, plus the final refit."""
     columns = [*features, label]
-    samples = _centred(with_series_rows(features_df, key, date), key, columns)
+    # Stated once here, the filter the join needs is the same in every branch, and
+    # the branches share one shuffle of the series.
+    present = features_df.filter(F.col(key).isNotNull())
+    samples = _centred(with_series_rows(present, key, date), key, columns)
     models = cv_models(samples, features, key, label, alpha, True, expanding, **layout)
     metrics = fold_metrics(cv_predictions(samples, models, features, key, label, expanding, **layout), key)
     shifts = samples.groupBy(key).agg(*[F.first(f"_c_{i}").alias(f"_c_{i}") for i in range(len(columns))])

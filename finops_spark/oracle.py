@@ -222,7 +222,7 @@ SELECT user_id, event_id, round(CASE WHEN count(value) OVER w = 5 THEN stddev_po
 FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
         "price_panel": """
-SELECT d.date, p.asset, round(avg(o.o_totalprice), 4) AS price
+SELECT d.date, p.asset, max(o.o_totalprice) AS price
 FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d
 CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS asset) p
 LEFT JOIN orders o ON CAST(o.o_orderdate AS DATE) = d.date AND o.o_orderpriority = p.asset
@@ -521,9 +521,9 @@ FROM metrics GROUP BY series_id""",
         "history_features": _with(
             SUPPLIER, "r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS k FROM series)"
         )
-        + """SELECT series_id, max(ts) AS last_date, round(max(value) FILTER (k = 1), 4) AS lag_1, round(max(value) FILTER (k = 7), 4) AS lag_7,
-  round(avg(value) FILTER (k <= 7), 4) AS rolling_mean_7, round(stddev_pop(value) FILTER (k <= 7), 4) AS rolling_std_7,
-  round(avg(value) FILTER (k <= 14), 4) AS rolling_mean_14, round(stddev_pop(value) FILTER (k <= 14), 4) AS rolling_std_14
+        + """SELECT series_id, max(ts) AS last_date, round(max(value) FILTER (k = 1), 5) AS lag_1, round(max(value) FILTER (k = 7), 5) AS lag_7,
+  round(avg(value) FILTER (k <= 7), 5) AS rolling_mean_7, round(stddev_pop(value) FILTER (k <= 7), 5) AS rolling_std_7,
+  round(avg(value) FILTER (k <= 14), 5) AS rolling_mean_14, round(stddev_pop(value) FILTER (k <= 14), 5) AS rolling_std_14
 FROM r GROUP BY series_id""",
         "forecast_recursive": _with(
             SUPPLIER,

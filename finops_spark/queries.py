@@ -139,7 +139,7 @@ def q_price_panel(spark, folder):
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     wide = (
         orders.groupBy(F.to_date("o_orderdate").alias("date"))
-        .agg(*[F.round(F.avg(F.when(F.col("o_orderpriority") == n, F.col("o_totalprice"))), 4).alias(n) for n in names])
+        .agg(*[F.max(F.when(F.col("o_orderpriority") == n, F.col("o_totalprice"))).alias(n) for n in names])
     )
     return wide.unpivot(["date"], names, "asset", "price")
 
@@ -523,7 +523,7 @@ def q_history_features(spark, folder):
     recent = forecast.recent_history(supplier_series(spark, folder), 14)
     x = forecast.history_features(F.col("history"), [1, 7], [7, 14], compat=True)
     names = features.feature_names([1, 7], [7, 14])
-    return recent.select("series_id", "last_date", *[F.round(x[i], 4).alias(n) for i, n in enumerate(names)])
+    return recent.select("series_id", "last_date", *[F.round(x[i], 5).alias(n) for i, n in enumerate(names)])
 
 
 def q_forecast_recursive(spark, folder):
