@@ -19,7 +19,13 @@ from pyspark.sql import types as T
 
 from finops_spark.errors import FitError, GateError
 from finops_spark.functions.scalar import safe_ratio
-from finops_spark.operators.split import fold_bounds, with_series_rows
+from finops_spark.operators.split import (
+    first_train_end,
+    fold_bounds,
+    training_block,
+    validation_fold,
+    with_series_rows,
+)
 
 ALL_ROWS = -1  # fold number of the final fit on every row
 
@@ -147,13 +153,10 @@ def cv_models(
     the final refit.
     """
     bounds = fold_bounds(F.col("n_rows"), expanding=expanding, **layout)
-    edges = F.flatten(F.transform("_folds", lambda f: F.array(f["train_lo"], f["train_hi"])))
-    block = F.array_max(F.filter("_edges", lambda e: e <= F.col("row_idx")))
+    base = first_train_end(F.col("n_rows"), expanding=expanding, **layout)
     sums = _statistics(features, label)
     blocks = (
-        samples.withColumn("_folds", bounds)
-        .withColumn("_edges", edges)
-        .withColumn("_block", block)
+        samples.withColumn("_block", training_block(F.col("row_idx"), base, expanding, **layout))
         .groupBy(key, "n_rows", "_block")
         .agg(*[c.alias(n) for n, c in sums.items()])
     )
@@ -181,10 +184,9 @@ def cv_predictions(
     expanding: bool = True, **layout
 ) -> DataFrame:
     """(key, fold, row_idx, y, y_hat) of every validation row."""
-    at = F.col("row_idx")
-    bounds = fold_bounds(F.col("n_rows"), expanding=expanding, **layout)
-    inside = F.filter(bounds, lambda f: (at >= f["valid_lo"]) & (at < f["valid_hi"]))
-    valid = samples.withColumn("fold", F.explode(F.transform(inside, lambda f: f["fold"])))
+    base = first_train_end(F.col("n_rows"), expanding=expanding, **layout)
+    fold = validation_fold(F.col("row_idx"), base, expanding, **layout)
+    valid = samples.withColumn("fold", fold).filter(F.col("fold").isNotNull())
     # The few models of a series travel as one map, so that the join is on the key
     # the samples are partitioned and sorted by: a merge join moves only the models.
     of_series = models.groupBy(key).agg(

@@ -191,7 +191,7 @@ def _check_fold_parameters(n_splits, valid_size, gap, train_size, initial_train_
             raise SplitError(f"{name} must be positive, got {size}")
 
 
-def fold_bounds(
+def first_train_end(
     n: Column,
     n_splits: int = 5,
     valid_size: int = 1,
@@ -200,35 +200,71 @@ def fold_bounds(
     train_size: int | None = None,
     initial_train_size: int | None = None,
 ) -> Column:
+    """Where the training rows of fold 0 end; a series too short for the layout
+    raises when it is read."""
+    _check_fold_parameters(n_splits, valid_size, gap, train_size, initial_train_size)
+    rows = n.cast("long")
+    step = _fold_step(valid_size, gap, expanding)
+    given = initial_train_size if expanding else train_size
+    tail = (n_splits - 1) * step + gap + valid_size
+    base = F.lit(given).cast("long") if given else rows - tail
+    message = F.concat(F.lit("series too short for the folds: rows "), rows.cast("string"))
+    return F.when((base > 0) & (base + tail <= rows), base).otherwise(F.raise_error(message))
+
+
+def _fold_step(valid_size: int, gap: int, expanding: bool) -> int:
+    return valid_size + gap if expanding else valid_size
+
+
+def fold_bounds(n: Column, expanding: bool = True, **layout) -> Column:
     """Array of (fold, train_lo, train_hi, valid_lo, valid_hi) for ``n`` rows.
 
     Upper ends are exclusive and folds count from 0. Expanding folds train on all
-    rows before the gap; sliding ones keep ``train_size`` rows and move on by
-    ``valid_size``. A series too short for the layout raises when it is read.
+    rows before the gap and end one validation block and gap later each time;
+    sliding ones keep their size and move on by ``valid_size``.
     """
-    _check_fold_parameters(n_splits, valid_size, gap, train_size, initial_train_size)
-    rows = n.cast("long")
-    if expanding:
-        base = F.lit(initial_train_size).cast("long") if initial_train_size else rows - n_splits * (valid_size + gap)
-        last_end = base + (n_splits - 1) * (valid_size + gap) + gap + valid_size
-    else:
-        base = F.lit(train_size).cast("long") if train_size else rows - n_splits * valid_size - gap
-        last_end = base + (n_splits - 1) * valid_size + gap + valid_size
+    base = first_train_end(n, expanding=expanding, **layout)
+    valid_size, gap = layout.get("valid_size", 1), layout.get("gap", 0)
+    step = _fold_step(valid_size, gap, expanding)
     folds = []
-    for i in range(n_splits):
-        lo = F.lit(0 if expanding else i * valid_size).cast("long")
-        hi = base + i * (valid_size + gap) if expanding else base + i * valid_size
+    for i in range(layout.get("n_splits", 5)):
+        hi = base + i * step
         folds.append(
             F.struct(
                 F.lit(i).alias("fold"),
-                lo.alias("train_lo"),
+                F.lit(0 if expanding else i * step).cast("long").alias("train_lo"),
                 hi.alias("train_hi"),
                 (hi + gap).alias("valid_lo"),
                 (hi + gap + valid_size).alias("valid_hi"),
             )
         )
-    message = F.concat(F.lit("series too short for the folds: rows "), rows.cast("string"))
-    return F.when((base > 0) & (last_end <= rows), F.array(*folds)).otherwise(F.raise_error(message))
+    return F.array(*folds)
+
+
+def training_block(row_idx: Column, base: Column, expanding: bool = True, **layout) -> Column:
+    """Start of the stretch between fold bounds that a row lies in.
+
+    All training ranges are unions of such stretches, so statistics are gathered
+    once for each stretch and added up for each fold.
+    """
+    step = _fold_step(layout.get("valid_size", 1), layout.get("gap", 0), expanding)
+    last = layout.get("n_splits", 5) - 1
+
+    def edge(origin: Column) -> Column:
+        return origin + F.least(F.floor((row_idx - origin) / step), F.lit(last).cast("long")) * step
+
+    ends = F.when(row_idx >= base, edge(base)).otherwise(F.lit(0).cast("long"))
+    return ends if expanding else F.greatest(edge(F.lit(0).cast("long")), ends)
+
+
+def validation_fold(row_idx: Column, base: Column, expanding: bool = True, **layout) -> Column:
+    """The one fold a row validates, NULL for other rows."""
+    valid_size, gap = layout.get("valid_size", 1), layout.get("gap", 0)
+    step = _fold_step(valid_size, gap, expanding)
+    since = row_idx - base - gap
+    fold = F.floor(since / step)
+    used = (since >= 0) & (fold < layout.get("n_splits", 5)) & (since - fold * step < valid_size)
+    return F.when(used, fold).cast("int")
 
 
 def fold_table(
