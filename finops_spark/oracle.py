@@ -407,8 +407,8 @@ FROM (SELECT split, is_fraud, CAST(n AS BIGINT) AS n, n::DOUBLE / sum(n) OVER (P
   sum(n) OVER (PARTITION BY is_fraud)::DOUBLE / sum(n) OVER () AS overall FROM parts)""",
         "folds_expanding": _with(PRIORITY, "sizes AS (SELECT series_id, count(*) AS n FROM series GROUP BY 1)")
         + """SELECT series_id, CAST(fold AS INTEGER) AS fold, unnest(['train', 'valid']) AS role,
-  unnest([0, hi + 3]) AS lo, unnest([hi, hi + 93]) AS hi
-FROM (SELECT series_id, fold, n - 5 * 93 + fold * 93 AS hi FROM sizes, range(5) AS r(fold))""",
+  unnest([0, hi + 3]) AS lo, unnest([hi, hi + 33]) AS hi
+FROM (SELECT series_id, fold, n - 5 * 33 + fold * 33 AS hi FROM sizes, range(5) AS r(fold))""",
         "folds_sliding": _with(PRIORITY, "sizes AS (SELECT series_id, count(*) AS n FROM series GROUP BY 1)")
         + """SELECT series_id, CAST(fold AS INTEGER) AS fold, unnest(['train', 'valid']) AS role,
   unnest([fold * 60, hi + 5]) AS lo, unnest([hi, hi + 65]) AS hi
@@ -417,9 +417,9 @@ FROM (SELECT series_id, fold, n - 4 * 60 - 5 + fold * 60 AS hi FROM sizes, range
             PRIORITY,
             """numbered AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i,
     count(*) OVER (PARTITION BY series_id) AS n FROM series)""",
-            "folded AS (SELECT *, n - 3 * 92 + fold * 92 AS hi FROM numbered, range(3) AS r(fold))",
+            "folded AS (SELECT *, n - 3 * 62 + fold * 62 AS hi FROM numbered, range(3) AS r(fold))",
             """used AS (SELECT *, 'train' AS role FROM folded WHERE i < hi
-    UNION ALL SELECT *, 'valid' FROM folded WHERE i >= hi + 2 AND i < hi + 92)""",
+    UNION ALL SELECT *, 'valid' FROM folded WHERE i >= hi + 2 AND i < hi + 62)""",
         )
         + """SELECT series_id, CAST(fold AS INTEGER) AS fold, role, count(*) AS n, min(ts) AS first_day, max(ts) AS last_day,
   round(sum(value), 2) AS total

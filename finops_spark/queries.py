@@ -385,7 +385,7 @@ def _series_sizes(spark, folder):
 
 
 def q_folds_expanding(spark, folder):
-    return split.fold_table(_series_sizes(spark, folder), n_splits=5, valid_size=90, gap=3)
+    return split.fold_table(_series_sizes(spark, folder), n_splits=5, valid_size=30, gap=3)
 
 
 def q_folds_sliding(spark, folder):
@@ -394,7 +394,7 @@ def q_folds_sliding(spark, folder):
 
 def q_fold_assignment(spark, folder):
     rows = split.with_series_rows(priority_series(spark, folder))
-    used = split.assign_folds(rows, n_splits=3, valid_size=90, gap=2)
+    used = split.assign_folds(rows, n_splits=3, valid_size=60, gap=2)
     return used.groupBy("series_id", "fold", "role").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_day"), F.max("ts").alias("last_day"),
         F.round(F.sum("value"), 2).alias("total"),
