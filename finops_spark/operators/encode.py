@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finops_spark.errors import FitError, SchemaError
-from finops_spark.functions.scalar import missing, null_if_nan, numeric_columns, string_columns
+from finops_spark.functions.scalar import null_if_nan, numeric_columns, string_columns
 from finops_spark.operators.gates import same_columns
 from finops_spark.operators.medians import exact_medians, exact_modes
-from finops_spark.operators.rows import side_by_side
 
 
 def column_roles(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -44,32 +43,35 @@ def _text(value: str) -> str:
 
 @dataclass(frozen=True)
 class NumericFit:
-    fill: float
+    fill: float | None
     mean: float
     scale: float
 
 
-def fit_numeric(train: DataFrame, columns: Sequence[str]) -> dict[str, NumericFit]:
+def fit_numeric(train: DataFrame, columns: Sequence[str], fill: bool = True) -> dict[str, NumericFit]:
     """Median for gaps, then mean and population deviation; a zero deviation
-    becomes 1. Two passes over the training rows serve all columns."""
-    medians = exact_medians(train, {c: F.col(c) for c in columns})
+    becomes 1. All columns share the passes; without ``fill`` there is one."""
+    medians = exact_medians(train, {c: F.col(c) for c in columns}) if fill else {}
     empty = sorted(c for c, m in medians.items() if m is None)
     if empty:
         raise FitError(f"columns {empty} have no values")
     aggregates = []
     for i, c in enumerate(columns):
-        filled = F.coalesce(null_if_nan(train, c).cast("double"), F.lit(float(medians[c])))
-        aggregates += [F.avg(filled).alias(f"m{i}"), F.stddev_pop(filled).alias(f"s{i}")]
+        value = null_if_nan(train, c).cast("double")
+        value = F.coalesce(value, F.lit(float(medians[c]))) if fill else value
+        aggregates += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
     row = train.agg(*aggregates).first() if columns else None
     return {
-        c: NumericFit(float(medians[c]), row[f"m{i}"], row[f"s{i}"] if row[f"s{i}"] else 1.0)
+        c: NumericFit(medians.get(c), row[f"m{i}"], row[f"s{i}"] if row[f"s{i}"] else 1.0)
         for i, c in enumerate(columns)
     }
 
 
 def standardized(column: str, fit: NumericFit, name: str | None = None) -> str:
     """SQL for the filled and standardised column."""
-    value = f"coalesce(nanvl(cast(`{column}` AS double), cast(NULL AS double)), {_number(fit.fill)})"
+    value = f"nanvl(cast(`{column}` AS double), cast(NULL AS double))"
+    if fit.fill is not None:
+        value = f"coalesce({value}, {_number(fit.fill)})"
     return f"({value} - {_number(fit.mean)}) / {_number(fit.scale)} AS `{name or column}`"
 
 
@@ -161,16 +163,3 @@ def ordinal_encode(df: DataFrame, encoder: Sequence, columns: Sequence[str]) ->
     for stage in encoder:
         coded = stage.transform(coded)
     return coded.select(*[F.col(f"{c}_code").alias(c) if c in columns else F.col(c) for c in df.columns])
-
-
-def feature_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and population deviation of columns in one row, NaN counting as NULL."""
-    return side_by_side(
-        df.agg(*[F.avg(null_if_nan(df, c)).alias(f"{c}_mean") for c in columns]),
-        df.agg(*[F.stddev_pop(null_if_nan(df, c)).alias(f"{c}_std") for c in columns]),
-    )
-
-
-def count_missing(df: DataFrame) -> int:
-    """Missing cells over the whole table."""
-    return df.agg(sum((F.count_if(missing(df, c)) for c in df.columns), F.lit(0)).alias("n")).first()["n"]

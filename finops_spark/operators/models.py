@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,7 +180,7 @@ def fit_transaction_pipeline(
     coded = prepared
     for stage in encoder:
         coded = stage.transform(coded)
-    fits = fit_numeric(coded, inputs)
+    fits = fit_numeric(coded, inputs, fill=False)  # the gaps are filled above
     scale = _with_columns([standardized(c, fits[c], f"{c}__std") for c in inputs])
     scaled = VectorAssembler(inputCols=[f"{c}__std" for c in inputs], outputCol="scaled_features")
     return TransactionPipeline([prepare, *encoder, assemble], [scale, scaled], names)
@@ -248,9 +248,3 @@ def scored_summary(scored: DataFrame, prediction: str = "predicted_fraud") -> Da
         F.sum(F.col(prediction).cast("long")).alias("predicted_positive"),
         F.avg(F.col(prediction).cast("double")).alias("predicted_rate"),
     )
-
-
-def keep_columns(columns: Sequence[str]) -> SQLTransformer:
-    """A stage that narrows a pipeline's output."""
-    listed = ", ".join(f"`{c}`" for c in columns)
-    return SQLTransformer(statement=f"SELECT {listed} FROM __THIS__")

@@ -17,8 +17,11 @@ from finops_spark.session import cut_lineage
 THREE_WAY = {"train": "0.6", "calibration": "0.2", "test": "0.2"}
 TWO_WAY = {"train": "0.8", "test": "0.2"}
 
-# The top bits of the hash pick the range a row is ranked in: 16,384 ranges.
-_RANGE_SHIFT = 64 - 14
+# Rows are ranked inside ranges of their hash, picked by its top bits. There are
+# enough ranges for the rows, and few enough cells (class, range) to broadcast.
+_MIN_BITS, _MAX_BITS = 6, 14
+_RANGE_ROWS = 500_000
+_MAX_CELLS = 200_000
 _SALTS = 1_024
 
 
@@ -30,22 +33,24 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total)
 
 
-def _with_hash(df: DataFrame, seed: int) -> DataFrame:
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    return df.withColumn("_h", h).withColumn("_range", F.shiftright(F.col("_h"), _RANGE_SHIFT))
+def _range_bits(total: int, classes: int) -> int:
+    wanted = max(1, total // _RANGE_ROWS).bit_length()
+    allowed = max(1, _MAX_CELLS // max(1, classes)).bit_length() - 1
+    return max(0, min(max(wanted, _MIN_BITS), _MAX_BITS, allowed))
 
 
-def _salt_copies(df: DataFrame, label: str, split_rows: int) -> DataFrame:
+def _salt_copies(df: DataFrame, label: str, total: int, split_rows: int) -> DataFrame:
     """Add ``_salt``: 0, or a spread over copies of one row too many for a task.
 
     Copies are equal in every column, so which of them goes where is immaterial;
     the salted table is written once so that a re-run task sees the same salts.
     """
     plain = df.withColumn("_salt", F.lit(0).cast("long"))
-    total = df.count()
     limit = max(split_rows, total // MAX_HOT_KEYS)
     if total <= limit:
         return plain
+    # Hashes above the limit are at most total / limit in number. Counting all
+    # hashes is left to the ranges that are crowded at all.
     per_range = df.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("n"))
     crowded = [r["_range"] for r in per_range.filter(F.col("n") > limit).select("_range").distinct().collect()]
     if not crowded:
@@ -62,9 +67,16 @@ def class_ranks(df: DataFrame, label: str, seed: int = 42, split_rows: int = SPL
     """Add ``_rank`` (zero-based seeded random rank within the class) and ``_n``.
 
     Rows are ranked inside hash ranges and shifted by the sizes of the earlier
-    ranges, so that a class of any size spreads over thousands of tasks.
+    ranges, so that a class of any size spreads over many tasks. The rank follows
+    the hash, so it does not depend on how many ranges there are.
     """
-    hashed = _salt_copies(_with_hash(df, seed), label, split_rows)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count("n").alias("classes"))
+    seen = sizes.first()
+    total, classes = seen["rows"] or 0, seen["classes"]
+    bits = _range_bits(total, classes)
+    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
+    hashed = df.withColumn("_h", h).withColumn("_range", F.shiftright(F.col("_h"), 64 - bits) if bits else F.lit(0).cast("long"))
+    hashed = _salt_copies(hashed, label, total, split_rows)
     cells = hashed.groupBy(label, "_range", "_salt").agg(F.count(F.lit(1)).alias("_cell"))
     by_class = Window.partitionBy(label)
     earlier = by_class.orderBy("_range", "_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,6 +87,9 @@ def class_ranks(df: DataFrame, label: str, seed: int = 42, split_rows: int = SPL
         F.coalesce(F.sum("_cell").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_cell").over(by_class).alias("_n"),
     )
+    if classes <= _MAX_CELLS:
+        # At most _MAX_CELLS cells, besides _SALTS for each crowded hash.
+        offsets = F.broadcast(offsets)
     order = ["_h", *df.columns]
     ranked = hashed.withColumn(
         "_within", F.row_number().over(Window.partitionBy(label, "_range", "_salt").orderBy(*order))

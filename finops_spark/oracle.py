@@ -208,7 +208,30 @@ def _missing_gates() -> str:
     return _with(HOLED, "src AS (SELECT * FROM holed)") + "\nUNION ALL ".join(_gate(*r) for r in rows)
 
 
+def _newton(points: str, ridge: float, rounds: int = 30) -> str:
+    """Newton steps for a logistic fit with weights over points (x, pos, neg): the
+    weighted counts of labels 1 and 0 at x; ``ridge`` penalises the slope."""
+    return f"""{points},
+newton AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT step + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (
+    SELECT step, a, b, sum(pos - w * p) AS g0, sum(x * (pos - w * p)) - {ridge!r}::DOUBLE * b AS g1,
+      sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * x) AS h01, sum(w * p * (1 - p) * x * x) + {ridge!r}::DOUBLE AS h11
+    FROM (SELECT n.step, n.a, n.b, x, pos, pos + neg AS w, 1 / (1 + exp(-(n.a + n.b * x))) AS p FROM newton n, points
+      WHERE n.step < {rounds})
+    GROUP BY step, a, b)),
+fit AS (SELECT a, b FROM newton WHERE step = {rounds})"""
+
+
 def statements() -> dict[str, str]:
+    named = _statements()
+    named["report_file"] = named["calibration_report"]
+    return named
+
+
+def _statements() -> dict[str, str]:
     return {
         "flat_feed_flags": """
 SELECT user_id, ts, event_id, round(rolling_stdev, 6) AS rolling_stdev FROM (
@@ -541,4 +564,46 @@ FROM r GROUP BY series_id""",
     m.intercept + m.coef_lag_1 * s.h[-1] + m.coef_lag_7 * s.h[-7]
   FROM steps s JOIN models m ON s.series_id = m.series_id WHERE s.step < 10)
 SELECT series_id, step, last_date + step AS forecast_date, round(y, 2) AS forecast FROM steps WHERE step > 0""",
+        "price_file": """
+SELECT d.date, p.asset, max(o.o_totalprice) AS price
+FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d
+CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS asset) p
+LEFT JOIN orders o ON CAST(o.o_orderdate AS DATE) = d.date AND o.o_orderpriority = p.asset
+GROUP BY d.date, p.asset""",
+        "interval_file": _with(INTERVALS) + "SELECT seq, asset, start_date, end_date FROM labelled",
+        "transaction_file": _with(TRANSACTIONS)
+        + """SELECT *, CAST(("TransactionDT" // 3600) % 24 AS INTEGER) AS hour_of_day,
+  CAST(("TransactionDT" // 86400 + 1) % 7 AS INTEGER) AS day_of_week FROM transactions""",
+        "series_file": _with(SUPPLIER) + "SELECT CAST(series_id AS VARCHAR) AS series_id, ts, value FROM series",
+        "alert_file": _with(FLAGS.format(threshold=20.0))
+        + "SELECT printf('EVENT|asset=%s|date=%s|rolling_stdev=%.8f', asset, CAST(date AS VARCHAR), rolling_stdev) AS line FROM flagged",
+        "prediction_file": _with(SCORED) + "SELECT *, CAST(score >= 0.55 AS INTEGER) AS predicted FROM scored",
+        "sorted_file": _with(TRANSACTIONS) + "SELECT * FROM transactions",
+        # Smoothed targets as weights: t of label 1 and 1 - t of label 0.
+        "sigmoid_fit": _with(
+            SCORED,
+            """totals AS (SELECT count(*) FILTER (label = 1)::DOUBLE AS np, count(*) FILTER (label = 0)::DOUBLE AS nn FROM scored)""",
+            _newton(
+                """points AS (
+  SELECT score AS x, sum(CASE WHEN label = 1 THEN (np + 1) / (np + 2) ELSE 1 / (nn + 2) END) AS pos,
+    sum(CASE WHEN label = 1 THEN 1 - (np + 1) / (np + 2) ELSE 1 - 1 / (nn + 2) END) AS neg
+  FROM scored, totals GROUP BY score)""",
+                0.0,
+            ),
+        ).replace("WITH ", "WITH RECURSIVE ", 1)
+        + "SELECT x AS score, round(1 / (1 + exp(-(a + b * x))), 4) AS calibrated FROM points, fit",
+        "logistic_one_feature": _with(
+            TRANSACTIONS,
+            """stats AS (SELECT avg("TransactionAmt") AS m, stddev_pop("TransactionAmt") AS s,
+    count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS np FROM transactions)""",
+            _newton(
+                """points AS (
+  SELECT ("TransactionAmt" - m) / s AS x, CASE WHEN is_fraud = 1 THEN n / (2 * np) ELSE 0 END AS pos,
+    CASE WHEN is_fraud = 0 THEN n / (2 * (n - np)) ELSE 0 END AS neg
+  FROM transactions, stats)""",
+                10.0,
+            ),
+        ).replace("WITH ", "WITH RECURSIVE ", 1)
+        + """SELECT is_fraud AS label, v AS "TransactionAmt", round(1 / (1 + exp(-(a + b * (v - m) / s))), 4) AS p
+FROM (SELECT is_fraud, min("TransactionAmt") AS v FROM transactions GROUP BY 1), stats, fit""",
     }

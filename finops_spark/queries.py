@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finops_spark.functions.scalar import above_threshold, calendar
+from finops_spark.functions.scalar import above_threshold, calendar, hour_of_seconds, weekday_of_seconds
 from finops_spark.operators import alerts, curves, error_analysis, features, forecast, gates, intervals, models
 from finops_spark.operators import calibrate, calibration_metrics, encode, medians, repair, ridge, split
 from finops_spark.operators.flat import flag_flat, rolling_stdev
 from finops_spark.operators.ordered import with_position
-from finops_spark.session import cut_lineage
+from finops_spark.plans.fraud import run_fraud_scoring, run_fraud_training
+from finops_spark.session import cut_lineage, shared_folder
+from finops_spark.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +121,9 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 # --- stuck-feed monitor -------------------------------------------------------------
 
 
@@ -136,12 +141,11 @@ def q_rolling_stdev(spark, folder):
 def q_price_panel(spark, folder):
     """Wide daily panel (one column for each priority) turned into long rows."""
     orders = table(spark, folder, "orders")
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     wide = (
         orders.groupBy(F.to_date("o_orderdate").alias("date"))
-        .agg(*[F.max(F.when(F.col("o_orderpriority") == n, F.col("o_totalprice"))).alias(n) for n in names])
+        .agg(*[F.max(F.when(F.col("o_orderpriority") == n, F.col("o_totalprice"))).alias(n) for n in PRIORITIES])
     )
-    return wide.unpivot(["date"], names, "asset", "price")
+    return wide.unpivot(["date"], PRIORITIES, "asset", "price")
 
 
 def q_alert_lines(spark, folder):
@@ -581,13 +585,92 @@ def q_feature_importance(spark, folder):
 
 
 def q_fraud_scoring(spark, folder):
-    from finops_spark.plans.fraud import run_fraud_scoring, run_fraud_training
-
     data = transactions(spark, folder)
     trained = run_fraud_training(spark, data, forest_trees=10, forest_depth=5, min_test_positives=1)
     return run_fraud_scoring(spark, data.drop("is_fraud"), trained.bundle)
 
 
+# --- reading and writing files in the shared folder ---------------------------------------------
+
+
+def q_price_file(spark, folder):
+    """A wide price file written as CSV and read back as long rows."""
+    path = shared_folder(spark, "prices")
+    wide = q_price_panel(spark, folder).groupBy("date").pivot("asset", PRIORITIES).agg(F.max("price"))
+    wide.write.option("header", True).csv(path)
+    return readers.read_prices(spark, path)
+
+
+def q_interval_file(spark, folder):
+    path = shared_folder(spark, "intervals")
+    user_intervals(spark, folder).write.option("header", True).csv(path)
+    return readers.read_intervals(spark, path)
+
+
+def q_transaction_file(spark, folder):
+    """Transactions with clock columns as CSV, read with their fixed types."""
+    path = shared_folder(spark, "transactions")
+    clocked = transactions(spark, folder).withColumns(
+        {"hour_of_day": hour_of_seconds(F.col("TransactionDT")), "day_of_week": weekday_of_seconds(F.col("TransactionDT"))}
+    )
+    clocked.write.option("header", True).csv(path)
+    return readers.read_transactions(spark, path, strict=False)
+
+
+def q_series_file(spark, folder):
+    path = shared_folder(spark, "series")
+    supplier_series(spark, folder).write.option("header", True).csv(path)
+    return readers.read_series(spark, path, "ts", "value", series="series_id", daily=False)
+
+
+def q_alert_file(spark, folder):
+    """Alert file: the prefix of each line is its time and level."""
+    path = shared_folder(spark, "alerts")
+    writers.write_alerts(event_flags(spark, folder, 20.0), path)
+    return spark.read.text(path).select(F.regexp_extract("value", "^[^|]+[|]INFO[|](.*)$", 1).alias("line"))
+
+
+def q_report_file(spark, folder):
+    path = shared_folder(spark, "report")
+    writers.write_report(q_calibration_report(spark, folder), path)
+    return spark.read.json(path)
+
+
+def q_prediction_file(spark, folder):
+    path = shared_folder(spark, "predictions")
+    scored = scored_lines(spark, folder).withColumn("predicted", above_threshold(F.col("score"), 0.55))
+    writers.write_predictions(scored, path)
+    return spark.read.parquet(path)
+
+
+def q_sorted_file(spark, folder):
+    """The training part of a split, written in the order of all its columns."""
+    path = shared_folder(spark, "sorted")
+    data = transactions(spark, folder)
+    writers.write_sorted(data, path, data.columns)
+    return spark.read.parquet(path)
+
+
+# --- fits with a closed check --------------------------------------------------------------------
+
+
+def q_sigmoid_fit(spark, folder):
+    """Platt scaling of a score, at every distinct score."""
+    lines = scored_lines(spark, folder).withColumn("margin", calibrate.array_to_vector(F.array("score")))
+    out = calibrate.fit_sigmoid(lines).transform(lines.select("score", "margin").distinct())
+    return out.select("score", F.round(calibrate.calibrated_probability(out), 4).alias("calibrated"))
+
+
+def q_logistic_one_feature(spark, folder):
+    """Balanced, penalised logistic regression on one standardised feature."""
+    data = transactions(spark, folder).select("TransactionAmt", F.col("is_fraud").alias("label"))
+    pipeline, _ = encode.fit_feature_pipeline(data, ["TransactionAmt"], [])
+    model = models.train_logistic(pipeline.transform(data))
+    points = pipeline.transform(data.groupBy("label").agg(F.min("TransactionAmt").alias("TransactionAmt")))
+    out = model.transform(points)
+    return out.select("label", "TransactionAmt", F.round(models.positive_probability(), 4).alias("p"))
+
+
 def q_error_report(spark, folder):
     """Threshold predicate and error classes of every scored row, summed by hour."""
     scored = scored_lines(spark, folder)

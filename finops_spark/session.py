@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +29,24 @@ def local_session(cpus: int | str = 8, app: str = "finops_spark", memory: str =
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session that names none (a local run) gets a fresh temporary one.
-    """
-    spark = df.sparkSession
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local
+    session that names none gets a fresh temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name for an intermediate table, reachable by all executors."""
+    return f"{_checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared checkpoint folder."""
+    _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

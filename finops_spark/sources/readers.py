@@ -74,7 +74,8 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     (asset_id, window_start_idx, window_end_idx); adds ``seq``, the file order."""
     raw = _read(spark, path)
     # Ids rise along the file, so their order is the order of its lines.
-    raw = raw if "seq" in raw.columns else raw.withColumn("seq", F.monotonically_increasing_id())
+    seq = F.col("seq").cast("long") if "seq" in raw.columns else F.monotonically_increasing_id()
+    raw = raw.withColumn("seq", seq)
     if {"asset_id", "window_start_idx", "window_end_idx"} <= set(raw.columns):
         return raw.select(
             "seq",
