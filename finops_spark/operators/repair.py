@@ -141,56 +141,62 @@ class Repair:
         return df.selectExpr(*self.sql_columns(df.columns, df.schema))
 
 
-def fit_fills(df: DataFrame, columns: Sequence[str] | None = None, only_missing: bool = True) -> dict[str, float | str]:
-    """Median of numeric and mode of text columns; booleans are left alone.
-
-    With ``only_missing`` just the columns that have nulls are filled, else all.
-    """
-    columns = list(df.columns if columns is None else columns)
-    if only_missing:
-        counts = df.agg(*[F.count_if(missing(df, c)) for c in columns]).first() if columns else []
-        columns = [c for c, n in zip(columns, counts) if n]
-    numbers = [c for c in numeric_columns(df) if c in columns]
-    texts = [c for c in string_columns(df) if c in columns]
-    fills: dict[str, float | str] = dict(exact_medians(df, {c: F.col(c) for c in numbers}))
-    if texts:
-        fills.update({r["column"]: r["mode"] for r in exact_modes(df, texts).collect()})
-    empty = sorted(c for c in numbers + texts if fills.get(c) is None)
-    if empty:
-        raise FitError(f"columns {empty} have no values to fill from")
-    return fills
-
-
 def fit_repair(
-    df: DataFrame, label: str | None = None, max_null_rate: float = MAX_NULL_RATE, fill_all: bool = False
+    df: DataFrame,
+    label: str | None = None,
+    max_null_rate: float = MAX_NULL_RATE,
+    fill_all: bool = False,
+    ids: Sequence[str] = (),
+    ratio: float = HEAVY_TAIL_RATIO,
 ) -> Repair:
     """Learn dropped columns, fill values and flags; the label is never touched.
 
-    ``fill_all`` also learns values for columns without nulls in ``df``, for later
-    batches that may have some.
+    Sparse columns go first, gaps are then filled (median of numbers, mode of
+    texts, booleans left alone), and columns of one value go last. ``fill_all``
+    also learns values for columns without gaps in ``df``, for later batches that
+    may have some; ``ids`` are columns not worth a value.
     """
     features = df.drop(label) if label else df
-    rates = {r["column"]: r for r in null_profile(features).collect()}
-    if not rates or next(iter(rates.values()))["n_rows"] == 0:
+    columns, numbers = features.columns, set(numeric_columns(features))
+    # One pass for gaps and ranges of all columns.
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(columns):
+        aggregates.append(F.count_if(missing(features, c)).alias(f"n{i}"))
+        if c in numbers:
+            v = null_if_nan(features, c)
+            aggregates += [F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}")]
+    seen = features.agg(*aggregates).first()
+    rows = seen["rows"]
+    if rows == 0:
         raise FitError("no rows to learn a repair from")
-    n_rows = next(iter(rates.values()))["n_rows"]
-    sparse = [c for c, r in rates.items() if r["null_rate"] > max_null_rate]
+    gaps = {c: seen[f"n{i}"] for i, c in enumerate(columns)}
+    top = {c: seen[f"hi{i}"] for i, c in enumerate(columns) if c in numbers}
+    sparse = [c for c in columns if gaps[c] / rows > max_null_rate]
+    # Filling a column of one value leaves one value, so the raw range decides.
+    flat = [
+        c
+        for i, c in enumerate(columns)
+        if c in numbers and c not in sparse and rows > 1 and top[c] is not None and seen[f"lo{i}"] == top[c]
+    ]
     kept = features.drop(*sparse)
-    wanted = [c for c in kept.columns if fill_all or rates[c]["n_null"]]
-    fills = fit_fills(kept, wanted, only_missing=False)
-    flat = []
-    if numeric_columns(kept):
-        # Filling a column of one value leaves one value, so the raw range decides.
-        flat = [
-            r["column"]
-            for r in value_ranges(kept).collect()
-            if r["n_values"] and r["min_value"] == r["max_value"] and n_rows > 1
-        ]
+    wanted = [c for c in kept.columns if (fill_all or gaps[c]) and c not in ids]
+    amount = first_present(kept, AMOUNT_COLUMNS)
+    measured = {c for c in wanted if c in numbers} | ({amount} & numbers)
+    middles = exact_medians(kept, {c: F.col(c) for c in kept.columns if c in measured})
+    fills: dict[str, float | str | None] = {c: middles[c] for c in wanted if c in numbers}
+    texts = [c for c in string_columns(kept) if c in wanted]
+    if texts:
+        modes = {r["column"]: r["mode"] for r in exact_modes(kept, texts).collect()}
+        fills.update({c: modes.get(c) for c in texts})
+    empty = sorted(c for c, v in fills.items() if v is None)
+    if empty:
+        raise FitError(f"columns {empty} have no values to fill from")
+    middle = middles.get(amount)
     return Repair(
         dropped=tuple(sorted({*sparse, *flat})),
         fills={c: v for c, v in fills.items() if c not in flat},
         n_duplicates=duplicate_count(features).first()["n_duplicates"],
-        heavy_tail=heavy_tail(kept).first()["is_heavy"],
+        heavy_tail=bool(middle) and top[amount] / middle > ratio,
     )
 
 

@@ -313,6 +313,14 @@ LEFT JOIN numbered b ON b.user_id = u.user_id AND b.i = u.user_id % 5 + 3""",
   coalesce(l_returnflag, (SELECT l_returnflag FROM holed WHERE l_returnflag IS NOT NULL
     GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_returnflag
 FROM holed""",
+        # Above 30 % gaps: returnflag (a third) and linestatus (half) are dropped.
+        "repair_report": _with(HOLED)
+        + """SELECT * FROM (VALUES ('dropped', 'constant', NULL), ('dropped', 'l_linestatus', NULL), ('dropped', 'l_returnflag', NULL))
+  AS v(section, item, detail)
+UNION ALL SELECT 'filled', 'l_discount', CAST(median(l_discount) AS VARCHAR) FROM holed
+UNION ALL SELECT 'filled', 'l_tax', CAST(median(l_tax) AS VARCHAR) FROM holed
+UNION ALL SELECT 'duplicates', 'rows', CAST(count(*) - count(DISTINCT l_orderkey) AS VARCHAR) FROM holed
+UNION ALL SELECT 'log_transform', 'flag', 'false'""",
         "duplicate_count": "SELECT count(*) - count(DISTINCT l_orderkey) AS n_duplicates FROM lineitem",
         "heavy_tail": """
 SELECT 'l_extendedprice' AS "column", max(l_extendedprice) AS max_value, median(l_extendedprice) AS median_value,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finops_spark.errors import SchemaError
+from finops_spark.functions.scalar import ID_COLUMNS
 from finops_spark.operators.curves import best_thresholds, threshold_curve
 from finops_spark.operators.error_analysis import amount_stats, class_counts, hour_histogram, with_error_class
 from finops_spark.operators.gates import class_gates, enforce, gate_report, score_gates
@@ -69,7 +70,7 @@ def run_fraud_training(
     enforce(class_gates(test, label, 1, min_test_positives))
 
     learn_from = train if fit_scope == "train" else parts.drop("split")
-    repair = fit_repair(learn_from, label, fill_all=True)
+    repair = fit_repair(learn_from, label, fill_all=True, ids=ID_COLUMNS)
     steps = fit_transaction_pipeline(learn_from, repair, label)
     all_steps = [*steps.base, *steps.scaling]
     ready = cut_lineage(run_stages(train, all_steps).select(F.col(label).cast("int").alias("label"), "features", "scaled_features"))

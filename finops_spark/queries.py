@@ -227,7 +227,7 @@ def q_repair_fill(spark, folder):
 
 def q_repair_report(spark, folder):
     holed = holed_lineitem(spark, folder).withColumnRenamed("l_orderkey", "transaction_id")
-    return repair.repair_report(holed, repair.fit_repair(holed))
+    return repair.repair_report(holed, repair.fit_repair(holed, max_null_rate=0.3))
 
 
 def q_duplicate_count(spark, folder):
@@ -614,7 +614,9 @@ def q_transaction_file(spark, folder):
         {"hour_of_day": hour_of_seconds(F.col("TransactionDT")), "day_of_week": weekday_of_seconds(F.col("TransactionDT"))}
     )
     clocked.write.option("header", True).csv(path)
-    return readers.read_transactions(spark, path, strict=False)
+    return readers.read_transactions(spark, path, strict=False).withColumn(
+        "TransactionID", F.col("TransactionID").cast("long")
+    )
 
 
 def q_series_file(spark, folder):
