@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 from finops_spark.functions.scalar import above_threshold, expected_cost, f_beta, safe_ratio
 from finops_spark.operators.ordered import SPLIT_ROWS, literal_bucket
 
-RANGES = 256
+MAX_RANGES = 4096
 
 
 def score_ranges(
-    df: DataFrame, score: str = "score", ranges: int = RANGES, split_rows: int = SPLIT_ROWS
+    df: DataFrame, score: str = "score", max_ranges: int = MAX_RANGES, split_rows: int = SPLIT_ROWS
 ) -> list[float]:
-    """At most ``ranges`` - 1 cut points that share the rows out evenly; none when
-    all rows fit one task. They become literals, so every run of a task agrees."""
-    if df.count() <= split_rows:
+    """Cut points that share the rows out evenly, two ranges for each task's worth
+    of rows; none when all fit one task. They become literals, so every run of a
+    task agrees."""
+    rows = df.count()
+    if rows <= split_rows:
         return []
+    ranges = min(max_ranges, 2 * -(-rows // split_rows))
     wanted = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.approxQuantile(score, wanted, 0.25 / ranges)))
+    return sorted(set(df.agg(F.percentile_approx(score, wanted, 4 * ranges)).first()[0]))
 
 
 def threshold_curve(
@@ -35,7 +38,7 @@ def threshold_curve(
     fn_cost: float = 10.0,
     fp_cost: float = 1.0,
     beta: float = 2.0,
-    ranges: int = RANGES,
+    max_ranges: int = MAX_RANGES,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """One row for each distinct score used as threshold (score >= threshold).
@@ -43,7 +46,7 @@ def threshold_curve(
     (threshold, positives, tp, fp, fn, tn, precision, recall, f_beta, total_cost,
     cost_per_10k), where ``positives`` counts label 1 at exactly that score.
     """
-    cuts = score_ranges(df, score, ranges, split_rows)
+    cuts = score_ranges(df, score, max_ranges, split_rows)
     per_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) != 1).alias("negatives")
     )

@@ -167,7 +167,7 @@ def with_bounded_window(
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order_by)))
     block_rows = max(split_rows, before, after)
     placed = _positions_split(df, keys, order_by, hot, "_pos")
-    home = F.floor(F.col("_pos") / block_rows)
+    home = F.expr(f"_pos div {block_rows}")
     offset = F.col("_pos") % block_rows
     targets = F.array(home)
     if before:
@@ -186,14 +186,24 @@ def with_bounded_window(
 def literal_bucket(column: str, cuts: Sequence[float]) -> Column:
     """How many of the sorted literal ``cuts`` lie at or below ``column``.
 
-    Built as a balanced tree of comparisons, so 255 cuts cost eight of them.
+    Up to 255 cuts become a balanced tree of comparisons, which compiles to eight
+    of them; more are searched by halving in an array.
     """
+    numbers = [f"cast('{float(c)!r}' AS double)" for c in cuts]
 
     def node(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        edge = f"cast('{float(cuts[mid])!r}' AS double)"
-        return f"CASE WHEN `{column}` >= {edge} THEN {node(mid + 1, hi)} ELSE {node(lo, mid)} END"
-
-    return F.expr(node(0, len(cuts)))
+        return f"CASE WHEN `{column}` >= {numbers[mid]} THEN {node(mid + 1, hi)} ELSE {node(lo, mid)} END"
+
+    if len(cuts) < 256:
+        return F.expr(node(0, len(cuts)))
+    bits = len(cuts).bit_length()
+    numbers += ["cast('inf' AS double)"] * (2**bits - 1 - len(cuts))
+    sorted_cuts = F.expr(f"array({', '.join(numbers)})")
+    return F.aggregate(
+        F.array(*[F.lit(1 << b) for b in reversed(range(bits))]),
+        F.lit(0),
+        lambda at, step: F.when(F.element_at(sorted_cuts, at + step) <= F.col(column), at + step).otherwise(at),
+    )

@@ -112,10 +112,10 @@ def data(seed, n, digits):
     return y, np.round(np.clip(rng.normal(0.4 + 0.2 * y, 0.2), 0, 1), digits)
 
 
-@pytest.mark.parametrize("digits,split_rows", [(1, 10**9), (3, 10**9), (1, 10), (3, 10), (9, 10)])
+@pytest.mark.parametrize("digits,split_rows", [(1, 10**9), (3, 10**9), (1, 10), (3, 10), (9, 60), (9, 2)])
 def test_curve_matches_brute_force(spark, digits, split_rows):
     y, s = data(11, 600, digits)
-    curve = curves.threshold_curve(scores(spark, y, s), ranges=16, split_rows=split_rows)
+    curve = curves.threshold_curve(scores(spark, y, s), split_rows=split_rows)
     want = brute(y, s)
     got = {r.threshold: (r.tp, r.fp, r.fn, r.tn, r.f_beta, r.total_cost) for r in curve.collect()}
     assert set(got) == set(want)
