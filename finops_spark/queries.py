@@ -39,6 +39,11 @@ def event_flags(spark: SparkSession, folder: str, threshold: float) -> DataFrame
     )
 
 
+def kept_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags written once, as in the monitor flow: few rows that several steps read."""
+    return cut_lineage(event_flags(spark, folder, 60.0))
+
+
 def event_days(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each user and day with events."""
     events = table(spark, folder, "events")
@@ -161,26 +166,26 @@ def q_affected_assets(spark, folder):
 
 
 def q_interval_first_match(spark, folder):
-    return intervals.first_matches(event_flags(spark, folder, 60.0), user_intervals(spark, folder))
+    return intervals.first_matches(kept_flags(spark, folder), user_intervals(spark, folder))
 
 
 def q_interval_flag_split(spark, folder):
-    return intervals.split_flags(event_flags(spark, folder, 60.0), user_intervals(spark, folder))
+    return intervals.split_flags(kept_flags(spark, folder), user_intervals(spark, folder))
 
 
 def q_interval_outcomes(spark, folder):
-    return intervals.interval_outcomes(event_flags(spark, folder, 60.0), user_intervals(spark, folder))
+    return intervals.interval_outcomes(kept_flags(spark, folder), user_intervals(spark, folder))
 
 
 def q_interval_outcomes_any(spark, folder):
     days = with_position(event_days(spark, folder), ["asset"], ["date"])
     return intervals.interval_outcomes(
-        event_flags(spark, folder, 60.0), user_intervals(spark, folder), match="any", calendar=days
+        kept_flags(spark, folder), user_intervals(spark, folder), match="any", calendar=days
     )
 
 
 def q_interval_metrics(spark, folder):
-    out = intervals.detection_metrics(event_flags(spark, folder, 60.0), user_intervals(spark, folder))
+    out = intervals.detection_metrics(kept_flags(spark, folder), user_intervals(spark, folder))
     return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "avg_latency")])
 
 
