@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,13 @@ def crc_share(doc_id: Column, parts: int) -> Column:
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of the folder. In a purely local session this package is also put on the
+    path of the Python workers; a cluster gets it from whoever submits the job."""
+    if spark.sparkContext.master.startswith("local["):
+        root = str(Path(__file__).resolve().parents[2])
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in paths.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -51,7 +58,3 @@ def blocks(texts: Iterable[str | None], chars: int = 1 << 21) -> Iterator[list[s
             part, held = [], 0
     if part:
         yield part
-
-
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode())

@@ -6,14 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finops_spark.llm import byte_bpe, language, token_counts, toxicity
+from finops_spark.llm import (
+    byte_bpe,
+    decontaminate,
+    language,
+    line_dedup,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    warc,
+)
 from finops_spark.llm.common import crc_share, read
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.hit_report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_share(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -23,6 +43,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "sentences")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digest_report(read(spark, folder, "documents"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc_share(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -36,10 +60,38 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(read(spark, folder, "documents"))
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_report(read(spark, folder, "pages"))
+
+
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
 def registered() -> dict:
-    queries = (op2_token_counts, op4_toxicity, op6_language_id, op7_byte_bpe)
+    queries = (
+        op1_decontaminate,
+        op2_token_counts,
+        op3_line_dedup,
+        op4_toxicity,
+        op5_substring_dedup,
+        op6_language_id,
+        op7_byte_bpe,
+        op8_quality_rules,
+        op9_warc,
+        op10_simhash,
+    )
     return {q.__name__: q for q in queries}
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontaminate": decontaminate.SQL,
+        "op3_line_dedup": line_dedup.SQL,
+        "op5_substring_dedup": substring_dedup.SQL,
+        "op9_warc": warc.SQL,
+    }
