@@ -76,6 +76,8 @@ def linked(values: np.ndarray, prefix: int, width: int, half: int) -> np.ndarray
     low = BITS - width
     spent = np.bitwise_count((values >> np.uint64(low)) ^ np.uint64(prefix))
     values, spent = values[spent <= half], spent[spent <= half]
+    if len(values) < 2:
+        return np.zeros((0, 2), np.uint64)
     variants = sum(int((spent == used).sum()) * len(_masks(low, f)) for used in range(half + 1) for f in range(half - used + 1))
     if variants > VARIANTS_AT_ONCE and low > 8:
         parts = [linked(values, prefix << 4 | more, width + 4, half) for more in range(16)]

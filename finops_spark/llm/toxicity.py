@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Words are hashed to so many weights.
 BUCKETS = 1 << 18
 #: At most so many labelled documents of either label are learned from: those with the smallest id hashes.
-SAMPLE = 3_000
+SAMPLE = 2_000
 #: Words of the training sample that get a weight: at least so many documents hold them.
 LEAST_DOCUMENTS = 4
 #: Standard errors between the labels that make a word worth a weight; among 100,000 words chance gives a few.
@@ -110,18 +110,27 @@ def fit_toxicity(labelled: DataFrame, most: int = SAMPLE, rounds: int = 300) ->
     return train([r.text for r in rows], np.array([r.toxic for r in rows], float), rounds)
 
 
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """Positions where a run of equal entries starts."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+
+
 def telling(found: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Buckets whose share of documents differs between the labels by CLEAR standard errors.
 
-    A sentence counts in the first document that has it, or copies of one document
-    would make all its words look telling."""
+    A document of which most sentences came before is a copy and does not count, or
+    copies would make all their words look telling."""
     cuts = np.flatnonzero(np.diff(sentence, prepend=-1))
-    first: dict[bytes, int] = {}
-    for start, end in zip(cuts, np.r_[cuts[1:], len(found)], strict=True):
-        first.setdefault(found[start:end].tobytes(), int(sentence[start]))
-    fresh = np.zeros(len(owner), bool)
-    fresh[list(first.values())] = True
-    kept = fresh[sentence]
+    seen: set[bytes] = set()
+    fresh = np.zeros(len(labels), bool)
+    documents = owner[sentence[cuts]] if len(cuts) else cuts
+    ends = np.r_[cuts[1:], len(found)]
+    for first in runs_of(documents):
+        last = np.searchsorted(documents, documents[first], "right")
+        keys = [found[a:b].tobytes() for a, b in zip(cuts[first:last], ends[first:last], strict=True)]
+        fresh[documents[first]] = 2 * sum(k in seen for k in keys) <= len(keys)
+        seen.update(keys)
+    kept = fresh[owner[sentence]]
     held = np.unique(owner[sentence[kept]].astype(np.int64) * BUCKETS + found[kept])
     doc, word = held // BUCKETS, held % BUCKETS
     toxic, every = np.bincount(word[labels[doc] > 0], minlength=BUCKETS), np.bincount(word, minlength=BUCKETS)
