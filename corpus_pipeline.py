@@ -10,18 +10,23 @@ from finops_spark.llm import byte_bpe, decontaminate, language, line_dedup, simh
 from finops_spark.llm.common import crc_share, read, store
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row, so that no column of an operator meets one of the documents."""
+    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told without doubt; learned as in op6."""
     held_out = F.coalesce(crc_share(F.col("doc_id"), 4) == 2, F.lit(False))
     model = language.fit_language_model(docs.where(~held_out))
-    told = language.predict_language(docs, model)
-    return told.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(docs.columns)
+    told = language.predict_language(_packed(docs), model)
+    return told.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select("_row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut lines found in three documents or more out of all but the last of these; no document goes."""
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}).select(docs.columns)
+    kept = line_dedup.dedup_lines(_packed(docs)).select("_row.*", F.col("kept_text").alias("_kept"))
+    return kept.withColumns({"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("bigint")}).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
