@@ -32,4 +32,4 @@ def alert_summary(flags: DataFrame, asset: str = "asset") -> DataFrame:
 def affected_assets(flags: DataFrame, asset: str = "asset") -> DataFrame:
     """The flagged assets with their flag counts, as a table rather than a list,
     because the number of assets has no bound."""
-    return flags.groupBy(asset).agg(F.count(F.lit(1)).alias("events")).orderBy(asset)
+    return flags.groupBy(asset).agg(F.count(F.lit(1)).alias("events"))

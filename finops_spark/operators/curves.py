@@ -31,6 +31,16 @@ def score_ranges(
     return sorted(set(df.agg(F.percentile_approx(score, wanted, 4 * ranges)).first()[0]))
 
 
+def _checked(df: DataFrame, label: str, score: str) -> DataFrame:
+    """The score and label columns; reading a missing score, or a label other than 0 and 1, raises."""
+    no_score = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    no_label = F.col(label).isNull() | ~F.col(label).cast("double").isin(0.0, 1.0)
+    return df.select(
+        F.when(no_score, F.raise_error(F.lit(f"{score} has missing values"))).otherwise(F.col(score)).alias(score),
+        F.when(no_label, F.raise_error(F.lit(f"{label} has values other than 0 and 1"))).otherwise(F.col(label)).alias(label),
+    )
+
+
 def threshold_curve(
     df: DataFrame,
     label: str = "label",
@@ -46,6 +56,7 @@ def threshold_curve(
     (threshold, positives, tp, fp, fn, tn, precision, recall, f_beta, total_cost,
     cost_per_10k), where ``positives`` counts label 1 at exactly that score.
     """
+    df = _checked(df, label, score)
     cuts = score_ranges(df, score, max_ranges, split_rows)
     per_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) != 1).alias("negatives")

@@ -21,6 +21,9 @@ from finops_spark.functions.scalar import null_if_nan, numeric_columns, string_c
 from finops_spark.operators.gates import same_columns
 from finops_spark.operators.medians import exact_medians, exact_modes
 
+# Levels of one text column that an encoder takes; each is kept by the driver and is a slot or code of the model.
+MAX_LEVELS = 10_000
+
 
 def column_roles(df: DataFrame) -> tuple[list[str], list[str]]:
     """(numeric, categorical) columns by type; booleans are categorical."""
@@ -110,6 +113,7 @@ def fit_feature_pipeline(
         empty = sorted(set(categorical) - set(modes))
         if empty:
             raise FitError(f"columns {empty} have no values")
+        check_levels(texts, categorical)
         filled = _with_columns(
             [f"coalesce(cast(`{c}` AS string), {_text(modes[c])}) AS `{c}__cat`" for c in categorical]
         )
@@ -139,11 +143,22 @@ def transform_splits(pipeline: PipelineModel, *frames: DataFrame) -> list[DataFr
     return [pipeline.transform(f) for f in frames]
 
 
+def check_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> None:
+    """Raise where a text column has (to within a few hundredths) more than ``limit`` levels: a fitted encoder holds them
+    all, on the driver and in the model. Such columns, ids above all, are to be dropped or
+    grouped before."""
+    counts = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    wide = {c: counts[c] for c in columns if counts[c] > limit}
+    if wide:
+        raise FitError(f"text columns with more than {limit} levels: {wide}")
+
+
 def fit_ordinal_encoder(train: DataFrame, columns: Sequence[str]) -> list:
     """Stages adding ``<column>_code``: alphabetical codes from 0, unseen levels -1."""
     columns = list(columns)
     if not columns:
         return []
+    check_levels(train, columns)
     indexer = StringIndexer(
         inputCols=columns,
         outputCols=[f"{c}__idx" for c in columns],

@@ -79,9 +79,13 @@ def forecast(
     with_calendar: bool = False,
     compat: bool = False,
     calendar_offset: int = 1,
+    strict: bool = True,
 ) -> DataFrame:
     """(key, step, forecast_date, horizon_days, forecast) for the next ``steps`` days.
 
+    A series without a model or with too short a history raises; with ``strict=False`` it is
+    left out, and ``forecast_status`` tells which and why.
+
     ``models``: one row for each key with coefficients and intercept on the raw
     features (such as fold ALL_ROWS of the cross-validation). A training row pairs
     features up to day t-1 with the value of day t+1, so a model's prediction from
@@ -94,9 +98,12 @@ def forecast(
     depth = max([*lags, *windows, 1])
     history = recent_history(df, depth, key, date, value)
     ahead = 1 if compat else 2
-    joined = history.join(models.select(key, "coefficients", "intercept"), key)
-    checked = F.when(F.size("history") >= depth, F.col("history")).otherwise(
-        F.raise_error(F.concat(F.lit("history shorter than the longest lag or window: "), F.col(key).cast("string")))
+    joined = history.join(models.select(key, "coefficients", "intercept"), key, "left")
+    usable = (F.size("history") >= depth) & F.col("coefficients").isNotNull()
+    if not strict:
+        joined = joined.filter(usable)
+    checked = F.when(usable, F.col("history")).otherwise(
+        F.raise_error(F.concat(F.lit("no model, or history shorter than the longest lag or window: "), F.coalesce(F.col(key).cast("string"), F.lit("?"))))
     )
     start = F.struct(checked.alias("h"), F.array().cast("array<double>").alias("p"))
 
@@ -123,6 +130,19 @@ def forecast(
     )
 
 
+def forecast_status(
+    df: DataFrame, models: DataFrame, lags: Sequence[int], windows: Sequence[int] = (), key: str = "series_id"
+) -> DataFrame:
+    """(key, rows, needed, has_model, used) of every series in ``df`` or ``models``."""
+    needed = max([*lags, *windows, 1])
+    known = models.select(key).distinct().withColumn("has_model", F.lit(True))
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).join(known, key, "full")
+    filled = sizes.select(
+        key, F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.lit(needed).alias("needed"), F.coalesce("has_model", F.lit(False)).alias("has_model")
+    )
+    return filled.withColumn("used", F.col("has_model") & (F.col("rows") >= F.col("needed")))
+
+
 def require_history(df: DataFrame, depth: int, key: str = "series_id") -> None:
     short = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < depth).limit(5).collect()
     if short:

@@ -129,11 +129,12 @@ def price_gates(df: DataFrame, value: str = "price") -> list[Gate]:
 def transaction_gates(
     df: DataFrame,
     label: str = "is_fraud",
-    min_rows: int | None = 50_000,
-    max_rows: int | None = 600_000,
-    min_rate: float = 0.005,
+    min_rows: int | None = None,
+    max_rows: int | None = None,
+    min_rate: float = 0.005,  # fixed values: the accepted share of positives
     max_rate: float = 0.05,
 ) -> list[Gate]:
+    """Label and rate gates; the number of rows is bounded only where asked for."""
     return [row_count(min_rows, max_rows), binary_label(df, label), positive_rate(label, min_rate, max_rate)]
 
 

@@ -7,7 +7,7 @@ over many tasks and a flag is compared only with intervals near it in time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finops_spark.errors import IntervalError, SchemaError
@@ -55,15 +55,19 @@ def flag_counts(flags: DataFrame) -> DataFrame:
     return flags.groupBy("asset", "date").agg(F.count(F.lit(1)).alias("n_flags"))
 
 
+def credited_pairs(flags: DataFrame, intervals: DataFrame, span_days: int = SPAN_DAYS) -> DataFrame:
+    """The pairs of ``contained_pairs`` with ``is_first``: whether the interval is the first, in
+    label order, of those that contain the flag. All matching below starts from this one join."""
+    pairs = contained_pairs(flag_counts(flags), intervals, span_days)
+    first = F.min("seq").over(Window.partitionBy("asset", "date"))
+    return pairs.withColumn("is_first", F.col("seq") == first)
+
+
 def first_matches(flags: DataFrame, intervals: DataFrame, span_days: int = SPAN_DAYS) -> DataFrame:
     """For each flagged (asset, date): the containing interval that comes first
     in label order."""
-    pairs = contained_pairs(flag_counts(flags), intervals, span_days)
-    return (
-        pairs.groupBy("asset", "date", "n_flags")
-        .agg(F.min(F.struct("seq", "start_date", "end_date")).alias("m"))
-        .select("asset", "date", "n_flags", "m.seq", "m.start_date", "m.end_date")
-    )
+    pairs = credited_pairs(flags, intervals, span_days).filter("is_first")
+    return pairs.select("asset", "date", "n_flags", "seq", "start_date", "end_date")
 
 
 def split_flags(flags: DataFrame, intervals: DataFrame, span_days: int = SPAN_DAYS) -> DataFrame:
@@ -89,21 +93,24 @@ def interval_outcomes(
     interval is hit when any flag lies inside. Latency is in calendar days, or in
     rows when ``calendar`` (asset, date, row_idx) is given.
     """
+    return _outcomes(flags, intervals, match, span_days, calendar).drop("credited")
+
+
+def _outcomes(
+    flags: DataFrame, intervals: DataFrame, match: str, span_days: int, calendar: DataFrame | None
+) -> DataFrame:
+    """``interval_outcomes`` with ``credited``, the flags for which the interval is the first."""
     if match not in ("first", "any"):
         raise SchemaError(f"match must be 'first' or 'any', got {match!r}")
-    pairs = contained_pairs(flag_counts(flags), intervals, span_days)
-    first_flag = pairs.groupBy("seq").agg(F.min("date").alias("first_flag"))
-    seen = intervals.join(first_flag, "seq", "left")
+    per_interval = (
+        credited_pairs(flags, intervals, span_days)
+        .groupBy("seq")
+        .agg(F.min("date").alias("first_flag"), F.sum(F.when(F.col("is_first"), F.col("n_flags"))).alias("credited"))
+    )
+    seen = intervals.join(per_interval, "seq", "left")
     if match == "first":
-        credited = (
-            first_matches(flags, intervals, span_days)
-            .select("asset", "start_date")
-            .distinct()
-            .withColumn("is_hit", F.lit(True))
-        )
-        seen = seen.join(credited, ["asset", "start_date"], "left").withColumn(
-            "is_hit", F.coalesce("is_hit", F.lit(False))
-        )
+        shared = F.max("credited").over(Window.partitionBy("asset", "start_date"))
+        seen = seen.withColumn("is_hit", shared.isNotNull())
     else:
         seen = seen.withColumn("is_hit", F.col("first_flag").isNotNull())
     if calendar is None:
@@ -121,6 +128,7 @@ def interval_outcomes(
         "is_hit",
         F.when(F.col("is_hit"), F.col("first_flag")).alias("first_flag"),
         F.when(F.col("is_hit"), latency).alias("latency"),
+        F.coalesce("credited", F.lit(0).cast("long")).alias("credited"),
     )
 
 
@@ -133,15 +141,13 @@ def detection_metrics(
 ) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, avg_latency; undefined ratios are 0."""
     n_flags = flags.agg(F.count(F.lit(1)).alias("n_flags"))
-    credited = first_matches(flags, intervals, span_days).agg(
-        F.coalesce(F.sum("n_flags"), F.lit(0).cast("long")).alias("tp")
-    )
-    interval_side = interval_outcomes(flags, intervals, match, span_days, calendar).agg(
+    interval_side = _outcomes(flags, intervals, match, span_days, calendar).agg(
         F.count(F.lit(1)).alias("n_intervals"),
         F.count_if("is_hit").alias("n_hit"),
+        F.coalesce(F.sum("credited"), F.lit(0).cast("long")).alias("tp"),
         F.avg("latency").alias("mean_latency"),
     )
-    both = side_by_side(n_flags, credited, interval_side).withColumn("fp", F.col("n_flags") - F.col("tp"))
+    both = side_by_side(n_flags, interval_side).withColumn("fp", F.col("n_flags") - F.col("tp"))
     return both.select(
         "tp",
         "fp",
@@ -160,14 +166,14 @@ def row_calendar(prices: DataFrame, asset: str = "asset", date: str = "date") ->
 def intervals_to_dates(intervals: DataFrame, calendar: DataFrame, strict: bool = True) -> DataFrame:
     """Turn row positions into dates; intervals that have dates pass unchanged.
 
-    ``intervals``: asset_id, window_start_idx, window_end_idx and optionally
-    seq. With ``strict`` an unknown asset or a position outside the calendar
+    ``intervals``: asset_id, window_start_idx, window_end_idx and seq, their order (rows of
+    a DataFrame have none of their own). With ``strict`` an unknown asset or a position outside the calendar
     raises, and so does an empty label table.
     """
     if {"asset", "start_date", "end_date"} <= set(intervals.columns) and "asset_id" not in intervals.columns:
         return intervals
-    require(intervals, ["asset_id", "window_start_idx", "window_end_idx"], "intervals")
-    named = intervals if "seq" in intervals.columns else intervals.withColumn("seq", F.monotonically_increasing_id())
+    require(intervals, ["asset_id", "window_start_idx", "window_end_idx", "seq"], "intervals")
+    named = intervals
     at = calendar.select("asset", "date", "row_idx")
     start = at.select(
         F.col("asset").alias("_sa"), F.col("row_idx").alias("_si"), F.col("date").alias("start_date")

@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finops_spark.errors import FitError, SchemaError
 from finops_spark.functions.scalar import AMOUNT_COLUMNS, ID_COLUMNS, SECONDS_COLUMN, above_threshold, first_present
@@ -153,14 +154,15 @@ def fit_transaction_pipeline(
     """
     use_log = repair.heavy_tail if use_log is None else use_log
     skip = {label, *ids, *repair.dropped}
-    numeric = [c for c in numeric_columns(train) if c not in skip]
+    flags = [f.name for f in train.schema if isinstance(f.dataType, T.BooleanType)]
+    numeric = [c for c in train.columns if c in {*numeric_columns(train), *flags} and c not in skip]
     texts = [c for c in string_columns(train) if c not in skip]
     exprs: dict[str, str] = {}
     for c in numeric:
-        value = f"nanvl(cast(`{c}` AS double), cast(NULL AS double))"
+        value = f"cast(cast(`{c}` AS int) AS double)" if c in flags else f"nanvl(cast(`{c}` AS double), cast(NULL AS double))"
         exprs[c] = f"coalesce({value}, {_number(repair.fills[c])})" if c in repair.fills else value
     if use_log:
-        amount = first_present(train.select(*numeric), AMOUNT_COLUMNS)
+        amount = first_present(train.select(*[c for c in numeric if c not in flags]), AMOUNT_COLUMNS)
         if amount is None:
             raise SchemaError(f"no amount column among {list(AMOUNT_COLUMNS)}")
         exprs = {("log_amount" if c == amount else c): (f"log1p({e})" if c == amount else e) for c, e in exprs.items()}

@@ -2,9 +2,9 @@
 
 ``Window.partitionBy(key)`` puts all rows of a key into one task. That is the
 right plan while no key is large, and it is what these helpers use then. When a
-key holds more rows than one task should, its rows are cut into ranges of the
-order column, every row gets its exact position within the key, and windows run
-over fixed-size blocks of positions. Rows next to a block edge are also sent to
+key holds more rows than one task should, its rows (and only those) are cut into
+ranges of the order, every row gets its exact position within the key, and windows
+run over fixed-size blocks of positions. Rows next to a block edge are also sent to
 the neighbouring block, so a frame that looks at most ``before`` rows back and
 ``after`` rows ahead sees exactly the rows it would see unsplit.
 """
@@ -15,32 +15,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A key with more rows than this is split. Larger inputs raise the limit so that
-# at most MAX_HOT_KEYS keys can exceed it (their row counts add up to the total).
-SPLIT_ROWS = 4_000_000
-MAX_HOT_KEYS = 2_000
-
-# 1,023 cut points: ten halving steps find a row's range among 1,024.
-_STEPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
-_GRID = 1_023
+from finops_spark.session import store
 
-
-def order_number(df: DataFrame, column: str) -> Column:
-    """The first order column as a double, keeping its order (ties allowed)."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        # Read off the wall clock: a cast would depend on the session time zone.
-        seconds = F.hour(column) * 3600 + F.minute(column) * 60 + F.extract(F.lit("SECOND"), F.col(column))
-        return (F.unix_date(F.to_date(column)) * F.lit(86400.0) + seconds.cast("double")).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    raise TypeError(f"cannot split a large key: order column {column} is {kind.simpleString()}")
+# A key with more rows than this is split, whatever the size of the table.
+SPLIT_ROWS = 4_000_000
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -50,85 +29,52 @@ def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return condition
 
 
-def hot_key_ranges(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], split_rows: int = SPLIT_ROWS
-) -> DataFrame | None:
-    """Cut points of the keys too large for one task, or None when there are none.
+def hot_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame | None:
+    """The keys with more than ``split_rows`` rows (as ``_hot_<key>``), or None when there are none.
 
-    At most MAX_HOT_KEYS rows come back and their cut points number at most twice
-    that, whatever the size of ``df``; they return as literals, so a task that is
-    run again after a lost executor sees the same ranges.
+    One count by key with map-side sums, written out: it is read several times.
     """
-    total = df.count()
-    limit = max(split_rows, total // MAX_HOT_KEYS)
-    if total <= limit:
-        return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > limit).collect()
-    if not hot:
-        return None
-    spark = df.sparkSession
-    key_fields = [T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys]
-    named = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], T.StructType(key_fields))
-    grid = [(i + 1) / (_GRID + 1) for i in range(_GRID)]
-    hot_rows = df.withColumn("_order", order_number(df, order_by[0])).select(*keys, "_order")
-    quantiles = (
-        hot_rows.join(F.broadcast(named), _same_keys(hot_rows, named, keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_order", grid, 10_000).alias("_cuts"))
-        .collect()
-    )
-    size_of = {tuple(r[k] for k in keys): r["_rows"] for r in hot}
-    literal_rows = []
-    for row in quantiles:
-        key = tuple(row[k] for k in keys)
-        parts = min(_GRID + 1, -(-size_of[key] // limit))
-        wanted = [row["_cuts"][(_GRID + 1) * i // parts - 1] for i in range(1, parts)]
-        cuts = sorted(set(c for c in wanted if c is not None))
-        literal_rows.append((*key, cuts + [float("inf")] * (_GRID - len(cuts))))
-    schema = T.StructType(key_fields + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))])
-    return spark.createDataFrame(literal_rows, schema)
-
-
-def _with_range(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Add ``_range``: how many cut points of the row's key lie at or below it."""
-    x = order_number(df, order_by[0])
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in _STEPS]),
-        F.lit(0),
-        lambda at, step: F.when(F.element_at("_cuts", at + step) <= F.col("_order"), at + step).otherwise(at),
-    )
-    numbered = df.withColumn("_order", x)
-    return (
-        numbered.join(F.broadcast(hot), _same_keys(numbered, hot, keys), "left")
-        .withColumn("_range", F.when(F.col("_cuts").isNotNull(), found).otherwise(F.lit(0)))
-        .drop("_order", "_cuts", *[f"_hot_{k}" for k in keys])
-    )
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > split_rows)
+    hot = store(sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
-def _positions_split(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], hot: DataFrame, name: str
-) -> DataFrame:
-    ranged = _with_range(df, keys, order_by, hot)
-    per_range = ranged.join(F.broadcast(hot), _same_keys(ranged, hot, keys), "left_semi")
-    per_range = per_range.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
+def _positions_split(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str) -> DataFrame:
+    """Zero-based position within its key of every row of large keys.
+
+    The rows are range-partitioned by key, order columns and a hash of the whole row, so that
+    one key, and rows tied in its order, spread over many ranges; only copies of one row stay
+    together. The ranges are written as files in their order; rows are numbered within a piece
+    of a file and shifted by the rows of their key in the pieces before it.
+    """
+    tie = F.xxhash64(*[F.col(c) for c in rows.columns])
+    ranged = rows.withColumn("_tie", tie).repartitionByRange(*keys, *order_by, "_tie")
+    stored = store(ranged, "ranges")
+    # Files carry the number of their range, with more digits beyond 99,999.
+    file = F.col("_metadata.file_name")
+    number = F.lpad(F.regexp_extract(file, "part-([0-9]+)", 1), 12, "0")
+    placed = stored.select("*", F.concat(number, file).alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    piece = ["_file", "_start"]
+    sizes = placed.groupBy(*keys, *piece).agg(F.count(F.lit(1)).alias("_rows"))
+    # One row for each piece of a key.
+    earlier = Window.partitionBy(*keys).orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        F.col("_range").alias("_hot_range"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+        F.col("_file").alias("_f"),
+        F.col("_start").alias("_s"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"),
     )
-    within = Window.partitionBy(*keys, "_range").orderBy(*order_by)
-    ranked = ranged.withColumn("_rank", F.row_number().over(within))
-    # Few rows: one for each range of a hot key (see hot_key_ranges).
-    placed = ranked.join(
-        F.broadcast(offsets),
-        _same_keys(ranked, offsets, keys) & (ranked["_range"] == offsets["_hot_range"]),
-        "left",
-    )
-    return placed.withColumn(
-        name, F.col("_rank") - 1 + F.coalesce(F.col("_offset"), F.lit(0).cast("long"))
-    ).drop("_rank", "_range", "_offset", "_hot_range", *[f"_hot_{k}" for k in keys])
+    within = Window.partitionBy(*keys, *piece).orderBy(*order_by, "_tie")
+    ranked = placed.withColumn("_rank", F.row_number().over(within))
+    same = _same_keys(ranked, shifts, keys) & (ranked["_file"] == shifts["_f"]) & (ranked["_start"] == shifts["_s"])
+    joined = ranked.join(shifts, same).withColumn(name, F.col("_rank") - 1 + F.col("_shift"))
+    return joined.select(*rows.columns, name)
+
+
+def _apart(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of large ones."""
+    same = _same_keys(df, hot, keys)
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
 def with_position(
@@ -140,11 +86,11 @@ def with_position(
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Zero-based position of each row within its key."""
-    hot = hot_key_ranges(df, keys, order_by, split_rows) if split_hot else None
-    if hot is None:
-        w = Window.partitionBy(*keys).orderBy(*order_by)
-        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
-    return _positions_split(df, keys, order_by, hot, name)
+    hot = hot_keys(df, keys, split_rows) if split_hot else None
+    plain, large = (df, None) if hot is None else _apart(df, keys, hot)
+    w = Window.partitionBy(*keys).orderBy(*order_by)
+    numbered = plain.withColumn(name, F.row_number().over(w).cast("long") - 1)
+    return numbered if large is None else numbered.unionByName(_positions_split(large, keys, order_by, name))
 
 
 def with_bounded_window(
@@ -162,11 +108,13 @@ def with_bounded_window(
     ``build`` gets the window (partition and order) and returns the columns. Pass
     ``split_hot=False`` where keys are bounded anyway, such as one row a day.
     """
-    hot = hot_key_ranges(df, keys, order_by, split_rows) if split_hot else None
-    if hot is None:
-        return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order_by)))
+    hot = hot_keys(df, keys, split_rows) if split_hot else None
+    plain, large = (df, None) if hot is None else _apart(df, keys, hot)
+    whole = plain.withColumns(build(Window.partitionBy(*keys).orderBy(*order_by)))
+    if large is None:
+        return whole
     block_rows = max(split_rows, before, after)
-    placed = _positions_split(df, keys, order_by, hot, "_pos")
+    placed = _positions_split(large, keys, order_by, "_pos")
     home = F.expr(f"_pos div {block_rows}")
     offset = F.col("_pos") % block_rows
     targets = F.array(home)
@@ -180,7 +128,8 @@ def with_bounded_window(
         )
     spread = placed.withColumn("_home", home).withColumn("_block", F.explode(targets))
     computed = spread.withColumns(build(Window.partitionBy(*keys, "_block").orderBy("_pos")))
-    return computed.filter(F.col("_block") == F.col("_home")).drop("_pos", "_home", "_block")
+    split = computed.filter(F.col("_block") == F.col("_home")).drop("_pos", "_home", "_block")
+    return whole.unionByName(split)
 
 
 def literal_bucket(column: str, cuts: Sequence[float]) -> Column:

@@ -221,6 +221,11 @@ def fold_metrics(predictions: DataFrame, key: str = "series_id") -> DataFrame:
     return scored.withColumn("running_cv_percent", F.when(F.col("fold") > 0, running))
 
 
+def residual_flags(metrics: DataFrame, limit: float = 0.05) -> DataFrame:
+    """Add ``drifts``: whether residuals of a fold correlate with time beyond ``limit``. A flag, no gate."""
+    return metrics.withColumn("drifts", F.abs("residual_time_correlation") > limit)
+
+
 def fold_stability(metrics: DataFrame, key: str = "series_id", max_cv_percent: float = 5.0) -> DataFrame:
     """(key, folds, rmse_mean, rmse_std, cv_percent, stable) over the folds."""
     return (
@@ -257,9 +262,10 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """(fold metrics, models): every fold of every series, plus the final refit."""
     columns = [*features, label]
-    # Stated once here, the filter the join needs is the same in every branch, and
-    # the branches share one shuffle of the series.
-    present = features_df.filter(F.col(key).isNotNull())
+    # A row without a series is an error, not a row less. Stated once here, the filter
+    # the join needs is the same in every branch, and the branches share one shuffle.
+    named = F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} has missing values")))
+    present = features_df.withColumn(key, named).filter(F.col(key).isNotNull())
     samples = _centred(with_series_rows(present, key, date), key, columns)
     models = cv_models(samples, features, key, label, alpha, True, expanding, **layout)
     metrics = fold_metrics(cv_predictions(samples, models, features, key, label, expanding, **layout), key)

@@ -10,19 +10,16 @@ from pyspark.sql import functions as F
 
 from finops_spark.errors import SplitError
 from finops_spark.functions.scalar import require
-from finops_spark.operators.ordered import MAX_HOT_KEYS, SPLIT_ROWS
-from finops_spark.session import cut_lineage
+from finops_spark.session import store
 
 # Shares of the two standard layouts.
 THREE_WAY = {"train": "0.6", "calibration": "0.2", "test": "0.2"}
 TWO_WAY = {"train": "0.8", "test": "0.2"}
 
-# Rows are ranked inside ranges of their hash, picked by its top bits. There are
-# enough ranges for the rows, and few enough cells (class, range) to broadcast.
-_MIN_BITS, _MAX_BITS = 6, 14
-_RANGE_ROWS = 500_000
-_MAX_CELLS = 200_000
-_SALTS = 1_024
+# Rows are counted by class and by the top bits of their hash before any cut is placed.
+_RANGE_BITS = 20
+# Classes up to which their cuts are broadcast: one short row each.
+_BROADCAST_CLASSES = 100_000
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -33,74 +30,59 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total)
 
 
-def _range_bits(total: int, classes: int) -> int:
-    wanted = max(1, total // _RANGE_ROWS).bit_length()
-    allowed = max(1, _MAX_CELLS // max(1, classes)).bit_length() - 1
-    return max(0, min(max(wanted, _MIN_BITS), _MAX_BITS, allowed))
+def _part_ends(n: Column, exact: Mapping[str, Decimal]) -> list[Column]:
+    """Number of rows of a class of ``n`` up to the end of each part but the last."""
+    ends, end = [], F.lit(0).cast("long")
+    for share in list(exact.values())[:-1]:
+        end = end + F.floor(n.cast("decimal(20,0)") * F.lit(share)).cast("long")
+        ends.append(end)
+    return ends
 
 
-def _salt_copies(df: DataFrame, label: str, total: int, split_rows: int) -> DataFrame:
-    """Add ``_salt``: 0, or a spread over copies of one row too many for a task.
+def hash_cuts(hashed: DataFrame, label: str, exact: Mapping[str, Decimal]) -> DataFrame:
+    """(label, k, cut, take, ties): for each class and each part end the hash ``cut`` at which it
+    lies, and how many of the ``ties`` rows with exactly this hash still belong before it.
 
-    Copies are equal in every column, so which of them goes where is immaterial;
-    the salted table is written once so that a re-run task sees the same salts.
+    Counts by class and hash range, combined on the map side, tell in which range an end
+    falls; only the hashes of these few ranges are then counted one by one.
     """
-    plain = df.withColumn("_salt", F.lit(0).cast("long"))
-    limit = max(split_rows, total // MAX_HOT_KEYS)
-    if total <= limit:
-        return plain
-    # Hashes above the limit are at most total / limit in number. Counting all
-    # hashes is left to the ranges that are crowded at all.
-    per_range = df.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("n"))
-    crowded = [r["_range"] for r in per_range.filter(F.col("n") > limit).select("_range").distinct().collect()]
-    if not crowded:
-        return plain
-    per_hash = df.filter(F.col("_range").isin(crowded)).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    copies = [r["_h"] for r in per_hash.filter(F.col("n") > limit).select("_h").collect()]
-    if not copies:
-        return plain
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SALTS)) + 1
-    return cut_lineage(df.withColumn("_salt", F.when(F.col("_h").isin(copies), spread).otherwise(F.lit(0))))
-
-
-def class_ranks(df: DataFrame, label: str, seed: int = 42, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Add ``_rank`` (zero-based seeded random rank within the class) and ``_n``.
-
-    Rows are ranked inside hash ranges and shifted by the sizes of the earlier
-    ranges, so that a class of any size spreads over many tasks. The rank follows
-    the hash, so it does not depend on how many ranges there are.
-    """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count("n").alias("classes"))
-    seen = sizes.first()
-    total, classes = seen["rows"] or 0, seen["classes"]
-    bits = _range_bits(total, classes)
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    hashed = df.withColumn("_h", h).withColumn("_range", F.shiftright(F.col("_h"), 64 - bits) if bits else F.lit(0).cast("long"))
-    hashed = _salt_copies(hashed, label, total, split_rows)
-    cells = hashed.groupBy(label, "_range", "_salt").agg(F.count(F.lit(1)).alias("_cell"))
+    placed = hashed.withColumn("_range", F.shiftright("_h", 64 - _RANGE_BITS))
+    cells = placed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_cell"))
     by_class = Window.partitionBy(label)
-    earlier = by_class.orderBy("_range", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(
-        F.col(label).alias("_label"),
-        F.col("_range").alias("_r"),
-        F.col("_salt").alias("_s"),
-        F.coalesce(F.sum("_cell").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_cell").over(by_class).alias("_n"),
-    )
-    if classes <= _MAX_CELLS:
-        # At most _MAX_CELLS cells, besides _SALTS for each crowded hash.
-        offsets = F.broadcast(offsets)
-    order = ["_h", *df.columns]
-    ranked = hashed.withColumn(
-        "_within", F.row_number().over(Window.partitionBy(label, "_range", "_salt").orderBy(*order))
+    upto = by_class.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumns({"_upto": F.sum("_cell").over(upto), "_n": F.sum("_cell").over(by_class)})
+    ends = _part_ends(F.col("_n"), exact)
+    each = cells.select("*", F.posexplode(F.array(*ends)).alias("k", "_end"))
+    inside = each.filter((F.col("_upto") - F.col("_cell") < F.col("_end")) & (F.col("_end") <= F.col("_upto"))).select(
+        F.col(label).alias("_label"), F.col("_range").alias("_r"), "k", (F.col("_end") - F.col("_upto") + F.col("_cell")).alias("_need")
     )
-    placed = ranked.join(
-        offsets,
-        ranked[label].eqNullSafe(offsets["_label"])
-        & (ranked["_range"] == offsets["_r"])
-        & (ranked["_salt"] == offsets["_s"]),
+    inside = store(inside, "part-ends")
+    ranges = inside.select("_label", "_r").distinct()
+    here = placed.select(label, "_range", "_h").join(ranges, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")), "left_semi")
+    singly = here.groupBy(label, "_range", "_h").agg(F.count(F.lit(1)).alias("ties"))
+    at = singly.join(inside, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    below = F.sum("ties").over(Window.partitionBy(label, "k").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ties")
+    at = at.withColumn("take", F.col("_need") - below)
+    return at.filter((F.col("take") > 0) & (F.col("take") <= F.col("ties"))).select(label, "k", F.col("_h").alias("cut"), "take", "ties")
+
+
+def _tie_ranks(ties: DataFrame, label: str) -> DataFrame:
+    """Add ``_tie``, the zero-based place of each row among those of its class and hash.
+
+    Rows with one hash are copies of each other, so any order will do, but there may be very
+    many: they are numbered within the pieces of a stored table and shifted by earlier pieces.
+    """
+    placed = store(ties, "ties").withColumn("_id", F.monotonically_increasing_id())
+    placed = placed.withColumn("_piece", F.shiftright("_id", 33))
+    group = [label, "_h"]
+    sizes = placed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        F.col(label).alias("_sl"), F.col("_h").alias("_sh"), F.col("_piece").alias("_sp"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift")
     )
-    return placed.withColumn("_rank", F.col("_within") - 1 + F.col("_offset")).select(*df.columns, "_rank", "_n")
+    numbered = placed.withColumn("_in", F.row_number().over(Window.partitionBy(*group, "_piece").orderBy("_id")) - 1)
+    same = F.col(label).eqNullSafe(F.col("_sl")) & (F.col("_h") == F.col("_sh")) & (F.col("_piece") == F.col("_sp"))
+    return numbered.join(shifts, same).withColumn("_tie", F.col("_in") + F.col("_shift")).drop("_id", "_piece", "_in", "_sl", "_sh", "_sp", "_shift")
 
 
 def stratified_split(
@@ -109,29 +91,49 @@ def stratified_split(
     shares: Mapping[str, str] = THREE_WAY,
     seed: int = 42,
     name: str = "split",
-    split_rows: int = SPLIT_ROWS,
+    allow_empty: bool = False,
 ) -> DataFrame:
     """Add ``split``: within each class the first floor(share * n) rows by seeded
-    rank go to the first part, and so on; the last part takes the rest.
+    hash go to the first part, and so on; the last part takes the rest. A part that
+    gets no row at all raises, unless ``allow_empty``.
 
-    Shares are decimal text: 0.6 * n in binary can fall just short of a whole.
+    Shares are decimal text: 0.6 * n in binary can fall just short of a whole. Rows
+    are not moved: each compares its hash with the cuts of its class.
     """
     require(df, [label], "table to split")
     exact = {k: Decimal(str(v)) for k, v in shares.items()}
     if sum(exact.values()) != 1:
         raise SplitError(f"shares {dict(shares)} do not add up to 1")
-    ranked = class_ranks(df, label, seed, split_rows)
-    n = F.col("_n").cast("decimal(20,0)")
     names = list(exact)
-    part: Column = F.lit(names[-1])
-    ends = []
-    end = F.lit(0).cast("long")
-    for k in names[:-1]:
-        end = end + F.floor(n * F.lit(exact[k])).cast("long")
-        ends.append((k, end))
-    for k, upper in reversed(ends):
-        part = F.when(F.col("_rank") < upper, F.lit(k)).otherwise(part)
-    return ranked.withColumn(name, part).drop("_rank", "_n")
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ends = [F.lit(0).cast("long"), *_part_ends(F.col("_n"), exact), F.col("_n")]
+    totals = sizes.agg(F.count(F.lit(1)).alias("classes"), *[F.coalesce(F.sum(b - a), F.lit(0)).alias(f"p{i}") for i, (a, b) in enumerate(zip(ends, ends[1:]))]).first()
+    empty = [p for i, p in enumerate(names) if totals[f"p{i}"] == 0]
+    if empty and not allow_empty:
+        raise SplitError(f"no rows for the parts {empty}")
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]))
+    cuts = store(hash_cuts(hashed, label, exact), "cuts")
+    pick = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"_{c}{k}") for k in range(len(names) - 1) for c in ("cut", "take", "ties")]
+    wide = cuts.groupBy(F.col(label).alias("_label")).agg(*pick)
+    if totals["classes"] <= _BROADCAST_CLASSES:
+        wide = F.broadcast(wide)
+    joined = hashed.join(wide, F.col(label).eqNullSafe(F.col("_label")), "left")
+    shared = F.lit(False)
+    for k in range(len(names) - 1):
+        shared = shared | ((F.col("_h") == F.col(f"_cut{k}")) & (F.col(f"_take{k}") < F.col(f"_ties{k}")))
+    shared = F.coalesce(shared, F.lit(False))
+
+    def parted(rows: DataFrame, tie: Column) -> DataFrame:
+        part: Column = F.lit(names[-1])
+        for k in reversed(range(len(names) - 1)):
+            before = (F.col("_h") < F.col(f"_cut{k}")) | ((F.col("_h") == F.col(f"_cut{k}")) & (tie < F.col(f"_take{k}")))
+            part = F.when(before, F.lit(names[k])).otherwise(part)
+        return rows.withColumn(name, part).select(*df.columns, name)
+
+    # Only copies of one row that an end divides have to be told apart.
+    if cuts.filter(F.col("take") < F.col("ties")).isEmpty():
+        return parted(joined, F.lit(0))
+    return parted(joined.filter(~shared), F.lit(0)).unionByName(parted(_tie_ranks(joined.filter(shared), label), F.col("_tie")))
 
 
 def split_part(df: DataFrame, part: str, name: str = "split") -> DataFrame:
@@ -196,14 +198,14 @@ def enforce_stratification(report: DataFrame, label: str, name: str = "split") -
 
 def _check_fold_parameters(n_splits, valid_size, gap, train_size, initial_train_size) -> None:
     if n_splits <= 0:
-        raise SplitError(f"n_splits must be positive, got {n_splits}")
+        raise SplitError(f"folds need n_splits of 1 or more; {n_splits} given")
     if valid_size <= 0:
-        raise SplitError(f"valid_size must be positive, got {valid_size}")
+        raise SplitError(f"folds need valid_size of 1 or more; {valid_size} given")
     if gap < 0:
-        raise SplitError(f"gap must not be negative, got {gap}")
+        raise SplitError(f"a gap of {gap} rows cannot be left out")
     for name, size in (("train_size", train_size), ("initial_train_size", initial_train_size)):
         if size is not None and size <= 0:
-            raise SplitError(f"{name} must be positive, got {size}")
+            raise SplitError(f"folds need {name} of 1 or more; {size} given")
 
 
 def first_train_end(

@@ -225,6 +225,31 @@ newton AS (
 fit AS (SELECT a, b FROM newton WHERE step = {rounds})"""
 
 
+BINNED = """binned AS (SELECT least(floor("TransactionAmt" / 50000), 6)::DOUBLE AS bin, is_fraud AS label FROM transactions),
+sizes AS (SELECT count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS np FROM transactions)"""
+
+STUMP = """cells AS (SELECT bin, count(*) AS c, sum({weights}) AS n, sum({weights} * (2 * label - 1)) AS s FROM binned, sizes GROUP BY bin),
+cuts AS (SELECT bin AS cut, sum(c) OVER w AS cl, sum(c) OVER () - sum(c) OVER w AS cr, sum(n) OVER w AS nl, sum(n) OVER () - sum(n) OVER w AS nr,
+    sum(s) OVER w AS sl, sum(s) OVER () - sum(s) OVER w AS sr FROM cells WINDOW w AS (ORDER BY bin)),
+best AS (SELECT * FROM cuts WHERE cl >= {least} AND cr >= {least} ORDER BY {score} DESC, cut LIMIT 1)"""
+
+
+def _one_feature_fit() -> str:
+    """Balanced logistic regression of is_fraud on the standardised amount: stats (m, s), fit (a, b)."""
+    return _with(
+        TRANSACTIONS,
+        """stats AS (SELECT avg("TransactionAmt") AS m, stddev_pop("TransactionAmt") AS s,
+    count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS np FROM transactions)""",
+        _newton(
+            """points AS (
+  SELECT ("TransactionAmt" - m) / s AS x, CASE WHEN is_fraud = 1 THEN n / (2 * np) ELSE 0 END AS pos,
+    CASE WHEN is_fraud = 0 THEN n / (2 * (n - np)) ELSE 0 END AS neg
+  FROM transactions, stats)""",
+            10.0,
+        ),
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def statements() -> dict[str, str]:
     named = _statements()
     named["report_file"] = named["calibration_report"]
@@ -600,18 +625,44 @@ GROUP BY d.date, p.asset""",
             ),
         ).replace("WITH ", "WITH RECURSIVE ", 1)
         + "SELECT x AS score, round(1 / (1 + exp(-(a + b * x))), 4) AS calibrated FROM points, fit",
-        "logistic_one_feature": _with(
-            TRANSACTIONS,
-            """stats AS (SELECT avg("TransactionAmt") AS m, stddev_pop("TransactionAmt") AS s,
-    count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS np FROM transactions)""",
-            _newton(
-                """points AS (
-  SELECT ("TransactionAmt" - m) / s AS x, CASE WHEN is_fraud = 1 THEN n / (2 * np) ELSE 0 END AS pos,
-    CASE WHEN is_fraud = 0 THEN n / (2 * (n - np)) ELSE 0 END AS neg
-  FROM transactions, stats)""",
-                10.0,
-            ),
-        ).replace("WITH ", "WITH RECURSIVE ", 1)
+        "logistic_one_feature": _one_feature_fit()
         + """SELECT is_fraud AS label, v AS "TransactionAmt", round(1 / (1 + exp(-(a + b * (v - m) / s))), 4) AS p
 FROM (SELECT is_fraud, min("TransactionAmt") AS v FROM transactions GROUP BY 1), stats, fit""",
+        # A probability with one feature follows the feature, up or down, so its ranking is that of the feature.
+        "selection_one_feature": _with(
+            TRANSACTIONS,
+            """long AS (SELECT 'by_V1' AS model, "TransactionID" AS id, "V1" AS x, is_fraud AS y FROM transactions
+  UNION ALL SELECT 'by_amount', "TransactionID", "TransactionAmt", is_fraud FROM transactions)""",
+            """way AS (SELECT model, sign(avg(x) FILTER (y = 1) - avg(x) FILTER (y = 0)) AS up FROM long WHERE id % 5 <> 0 GROUP BY model)""",
+            """per AS (SELECT model, x * up AS s, sum(y) AS pos, count(*) AS n FROM long JOIN way USING (model) WHERE id % 5 = 0 GROUP BY 1, 2)""",
+            """curve AS (SELECT model, pos, sum(pos) OVER w / sum(n) OVER w AS prec, sum(pos) OVER (PARTITION BY model) AS every
+  FROM per WINDOW w AS (PARTITION BY model ORDER BY s DESC))""",
+            """ap AS (SELECT model, round(sum(pos * prec) / max(every), 6) AS pr_auc FROM curve GROUP BY model)""",
+        )
+        + "SELECT model, pr_auc, pr_auc = max(pr_auc) OVER () AS selected FROM ap",
+        "importance_one_feature": _one_feature_fit() + """SELECT 'TransactionAmt' AS feature, round(abs(b), 3) AS importance FROM fit""",
+        "bundle_scoring": _one_feature_fit()
+        + """SELECT card_type, count(*) AS n, CAST(sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS predicted, round(avg(p), 3) AS mean_probability
+FROM (SELECT card_type, 1 / (1 + exp(-(a + b * ("TransactionAmt" - m) / s))) AS p FROM transactions, stats, fit) GROUP BY 1""",
+        # Labels -1 and 1: the best cut has the largest sum of squares between its sides; probability = logistic(2 * mean).
+        "boosting_stump": _with(TRANSACTIONS, BINNED, STUMP.format(weights="1.0::DOUBLE", score="sl * sl / nl + sr * sr / nr", least=5))
+        + """SELECT bin, round(1 / (1 + exp(-2 * CASE WHEN bin <= cut THEN sl / nl ELSE sr / nr END)), 6) AS p FROM cells, best""",
+        "mixed_vectors": _with(
+            TRANSACTIONS,
+            """filled AS (SELECT * REPLACE (coalesce(merchant_category, (SELECT merchant_category FROM transactions
+  WHERE merchant_category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS merchant_category) FROM transactions)""",
+        )
+        + """SELECT 'V1' AS slot, round(sum(pow(("V1" - m) / s, 2)), 3) AS squares FROM transactions, (SELECT avg("V1") AS m, stddev_pop("V1") AS s FROM transactions)
+UNION ALL SELECT 'TransactionAmt', round(sum(pow(("TransactionAmt" - m) / s, 2)), 3) FROM transactions, (SELECT avg("TransactionAmt") AS m, stddev_pop("TransactionAmt") AS s FROM transactions)
+UNION ALL SELECT 'card_type=' || card_type, round(count(*)::DOUBLE, 3) FROM filled GROUP BY card_type
+UNION ALL SELECT 'merchant_category=' || merchant_category, round(count(*)::DOUBLE, 3) FROM filled GROUP BY merchant_category""",
+        "labelled_file": _with(TRANSACTIONS) + "SELECT * EXCLUDE (merchant_category) FROM transactions",
+        "scoring_file": _with(TRANSACTIONS)
+        + """SELECT * EXCLUDE (is_fraud, "TransactionID"), CAST(("TransactionDT" // 3600) % 24 AS INTEGER) AS hour_of_day,
+  CAST(("TransactionDT" // 86400 + 1) % 7 AS INTEGER) AS day_of_week FROM transactions""",
+        "interval_lines": _with(INTERVALS)
+        + "SELECT row_number() OVER (ORDER BY asset, start_date, end_date) - 1 AS seq, asset, start_date, end_date FROM labelled",
+        "sorted_file_order": _with(TRANSACTIONS) + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS breaks FROM transactions",
+        "alert_file_order": _with(FLAGS.format(threshold=20.0)) + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS breaks FROM flagged",
+        "series_file_order": _with(SUPPLIER) + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS breaks FROM series",
     }

@@ -19,7 +19,7 @@ from finops_spark.operators.split import (
     stratification_check,
     stratified_split,
 )
-from finops_spark.session import cut_lineage
+from finops_spark.session import cut_lineage, store
 from finops_spark.sources.readers import read_labelled
 from finops_spark.sources.writers import write_report
 
@@ -45,7 +45,7 @@ def run_calibration(
 ) -> CalibrationResult:
     table = read_labelled(spark, source, target) if isinstance(source, str) else source
     # Three parts are read many times by the fits below: written once.
-    parts = cut_lineage(stratified_split(table, target, THREE_WAY, seed))
+    parts = store(stratified_split(table, target, THREE_WAY, seed), "parts", by="split")
     enforce_stratification(stratification_check(parts, target, tolerance=tolerance), target)
     train, held_out, test = (split_part(parts, p) for p in THREE_WAY)
     pipeline, _ = fit_feature_pipeline(train.drop(target))

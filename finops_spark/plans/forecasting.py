@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from finops_spark.operators.features import feature_matrix, feature_names, require_samples
 from finops_spark.operators.forecast import forecast
 from finops_spark.operators.gates import enforce_series
-from finops_spark.operators.ridge import ALL_ROWS, cross_validate, enforce_stability, fold_stability
+from finops_spark.operators.ridge import ALL_ROWS, cross_validate, enforce_stability, fold_stability, residual_flags
 from finops_spark.session import cut_lineage
 from finops_spark.sources.readers import read_series
 from finops_spark.sources.writers import write_report
@@ -38,20 +38,24 @@ def run_forecasting(
     valid_size: int = 90,
     gap: int = 0,
     expanding: bool = True,
+    train_size: int | None = None,
+    initial_train_size: int | None = None,
     alpha: float = 1.0,
+    fmt: str | None = None,
+    series: str | None = None,
     max_cv_percent: float = 5.0,
     strict: bool = True,
     output_path: str | None = None,
 ) -> ForecastResult:
     """All folds of all series and the final refit in one pass over the samples."""
     if isinstance(source, str):
-        series = read_series(spark, source, date, value, strict=strict)
+        table = read_series(spark, source, date, value, fmt, series, strict=strict)
     else:
-        series = source
+        table = source
         if strict:
-            enforce_series(series)
+            enforce_series(table)
     names = feature_names(lags, windows, with_calendar)
-    samples = cut_lineage(feature_matrix(series, lags=lags, windows=windows, with_calendar=with_calendar))
+    samples = cut_lineage(feature_matrix(table, lags=lags, windows=windows, with_calendar=with_calendar))
     require_samples(samples)
     metrics, models = cross_validate(
         samples,
@@ -61,13 +65,15 @@ def run_forecasting(
         n_splits=n_splits,
         valid_size=valid_size,
         gap=gap,
+        train_size=train_size,
+        initial_train_size=initial_train_size,
     )
-    metrics, models = cut_lineage(metrics), cut_lineage(models)
+    metrics, models = cut_lineage(residual_flags(metrics)), cut_lineage(models)
     stability = fold_stability(metrics, max_cv_percent=max_cv_percent)
     if strict:
         enforce_stability(stability, max_cv_percent=max_cv_percent)
     final = models.filter(F.col("fold") == ALL_ROWS)
-    span = series.groupBy("series_id").agg(
+    span = table.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n_samples"), F.min("ts").alias("first_date"), F.max("ts").alias("last_date")
     )
     metadata = span.join(stability, "series_id").select(

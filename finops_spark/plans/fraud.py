@@ -12,7 +12,7 @@ from finops_spark.errors import SchemaError
 from finops_spark.functions.scalar import ID_COLUMNS
 from finops_spark.operators.curves import best_thresholds, threshold_curve
 from finops_spark.operators.error_analysis import amount_stats, class_counts, hour_histogram, with_error_class
-from finops_spark.operators.gates import class_gates, enforce, gate_report, score_gates
+from finops_spark.operators.gates import class_gates, enforce, gate_report, not_empty, score_gates, transaction_gates
 from finops_spark.operators.models import (
     ScoringBundle,
     feature_importance,
@@ -27,7 +27,7 @@ from finops_spark.operators.models import (
 )
 from finops_spark.operators.repair import fit_repair, repair_report
 from finops_spark.operators.split import TWO_WAY, split_part, stratified_split
-from finops_spark.session import cut_lineage
+from finops_spark.session import cut_lineage, store
 from finops_spark.sources.readers import LABEL, read_scoring_input, read_transactions
 from finops_spark.sources.writers import write_predictions, write_report
 
@@ -57,16 +57,23 @@ def run_fraud_training(
     forest_trees: int = 100,
     forest_depth: int = 10,
     strict: bool = True,
+    min_rows: int | None = None,
+    max_rows: int | None = None,
+    min_rate: float = 0.005,
+    max_rate: float = 0.05,
     output_path: str | None = None,
 ) -> FraudResult:
     """``fit_scope="train"`` learns repair and codes from training rows only;
-    ``"all"`` learns them from every row, before the split."""
+    ``"all"`` learns them from every row, before the split. ``strict`` puts files and
+    DataFrames to the same gates; row bounds hold only where given."""
     if fit_scope not in ("train", "all"):
         raise SchemaError(f"fit_scope must be 'train' or 'all', got {fit_scope!r}")
-    table = read_transactions(spark, source, strict) if isinstance(source, str) else source
-    parts = cut_lineage(stratified_split(table, label, TWO_WAY, seed))
+    table = read_transactions(spark, source, strict=False) if isinstance(source, str) else source
+    if strict:
+        enforce(gate_report(table, [not_empty(), *transaction_gates(table, label, min_rows, max_rows, min_rate, max_rate)]))
+    parts = store(stratified_split(table, label, TWO_WAY, seed), "parts", by="split")
     train, test = split_part(parts, "train"), split_part(parts, "test")
-    enforce(class_gates(table, label))
+    enforce(class_gates(parts, label))
     enforce(class_gates(test, label, 1, min_test_positives))
 
     learn_from = train if fit_scope == "train" else parts.drop("split")

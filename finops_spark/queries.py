@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finops_spark.functions.scalar import above_threshold, calendar, hour_of_seconds, weekday_of_seconds
@@ -18,7 +18,7 @@ from finops_spark.operators import calibrate, calibration_metrics, encode, media
 from finops_spark.operators.flat import flag_flat, rolling_stdev
 from finops_spark.operators.ordered import with_position
 from finops_spark.plans.fraud import run_fraud_scoring, run_fraud_training
-from finops_spark.session import cut_lineage, shared_folder
+from finops_spark.session import cut_lineage, shared_folder, store
 from finops_spark.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,7 +545,7 @@ def q_forecast_recursive(spark, folder):
 
 def _labelled_vectors(spark, folder):
     data = transactions(spark, folder).drop("TransactionID").na.fill({"merchant_category": "none"})
-    parts = cut_lineage(split.stratified_split(data, "is_fraud"))
+    parts = store(split.stratified_split(data, "is_fraud"), "parts", by="split")
     train = split.split_part(parts, "train")
     pipeline, names = encode.fit_feature_pipeline(train.drop("is_fraud"))
     vectors = [
@@ -557,7 +557,7 @@ def _labelled_vectors(spark, folder):
 
 def _gbt_calibrated(spark, folder, method):
     (train, held_out, test), _ = _labelled_vectors(spark, folder)
-    _, calibrated = calibrate.train_and_calibrate(cut_lineage(train), held_out, method=method, n_trees=10)
+    _, calibrated = calibrate.train_and_calibrate(cut_lineage(train), held_out, method=method)
     scored = calibrated.transform(test)
     return scored.select(
         "label", models.positive_probability().alias("p"), calibrate.calibrated_probability(scored).alias("p_cal")
@@ -575,7 +575,7 @@ def q_gbt_isotonic_report(spark, folder):
 def q_model_selection(spark, folder):
     (train, _, test), _ = _labelled_vectors(spark, folder)
     train = cut_lineage(train)
-    fitted = {"logistic": models.train_logistic(train), "forest": models.train_forest(train, n_trees=10, max_depth=5)}
+    fitted = {"logistic": models.train_logistic(train), "forest": models.train_forest(train)}
     scores = {}
     for name, model in fitted.items():
         scored = cut_lineage(model.transform(test).select("label", models.positive_probability().alias("score")))
@@ -585,13 +585,13 @@ def q_model_selection(spark, folder):
 
 def q_feature_importance(spark, folder):
     (train, _, _), names = _labelled_vectors(spark, folder)
-    model = models.train_forest(cut_lineage(train), n_trees=10, max_depth=5)
+    model = models.train_forest(cut_lineage(train))
     return models.feature_importance(spark, model, names)
 
 
 def q_fraud_scoring(spark, folder):
     data = transactions(spark, folder)
-    trained = run_fraud_training(spark, data, forest_trees=10, forest_depth=5, min_test_positives=1)
+    trained = run_fraud_training(spark, data, strict=False, min_test_positives=1)
     return run_fraud_scoring(spark, data.drop("is_fraud"), trained.bundle)
 
 
@@ -651,13 +651,48 @@ def q_prediction_file(spark, folder):
 
 
 def q_sorted_file(spark, folder):
-    """The training part of a split, written in the order of all its columns."""
+    """Transactions written in the order of all their columns."""
     path = shared_folder(spark, "sorted")
     data = transactions(spark, folder)
     writers.write_sorted(data, path, data.columns)
     return spark.read.parquet(path)
 
 
+def _order_breaks(df: DataFrame, by: list[str], across_files: bool) -> DataFrame:
+    """(rows, breaks): rows of a stored table that sort before the row ahead of them in their file,
+    or, with ``across_files``, files that start before the end of the file ahead of them."""
+    number = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int")
+    placed = df.select(F.struct(*by).alias("row"), number.alias("file"), F.monotonically_increasing_id().alias("id"))
+    ahead = F.lag("row").over(Window.partitionBy("file").orderBy("id"))
+    inside = placed.withColumn("bad", ahead > F.col("row")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), F.min("row").alias("lo"), F.max("row").alias("hi")
+    )
+    if across_files:  # one row for each file
+        inside = inside.withColumn("bad", F.col("bad") + F.coalesce((F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("file")) > F.col("lo")).cast("long"), F.lit(0)))
+    return inside.agg(F.sum("n").alias("n_rows"), F.sum("bad").alias("breaks"))
+
+
+def q_sorted_file_order(spark, folder):
+    path = shared_folder(spark, "sorted")
+    data = transactions(spark, folder)
+    writers.write_sorted(data, path, data.columns)
+    return _order_breaks(spark.read.parquet(path), data.columns, True)
+
+
+def q_alert_file_order(spark, folder):
+    path = shared_folder(spark, "alerts")
+    writers.write_alerts(event_flags(spark, folder, 20.0), path)
+    asset = F.regexp_extract("value", "asset=([^|]*)", 1).alias("asset")
+    lines = spark.read.text(path).select(asset, F.regexp_extract("value", "date=([^|]*)", 1).alias("date"), "_metadata")
+    return _order_breaks(lines, ["asset", "date"], True)
+
+
+def q_series_file_order(spark, folder):
+    path = shared_folder(spark, "series")
+    writers.write_series(supplier_series(spark, folder), path)
+    return _order_breaks(spark.read.parquet(path), ["series_id", "ts"], False)
+
+
 # --- fits with a closed check --------------------------------------------------------------------
 
 
@@ -678,6 +713,97 @@ def q_logistic_one_feature(spark, folder):
     return out.select("label", "TransactionAmt", F.round(models.positive_probability(), 4).alias("p"))
 
 
+def _one_feature(data: DataFrame, column: str):
+    """A fitted pipeline of one standardised number, the data's vectors, and a logistic model on them."""
+    pipeline, names = encode.fit_feature_pipeline(data, [column], [])
+    vectors = pipeline.transform(data)
+    return pipeline, vectors, models.train_logistic(vectors), names
+
+
+def q_selection_one_feature(spark, folder):
+    """Choice between two one-feature models, fitted on four fifths of the rows, by average precision on the rest."""
+    data = transactions(spark, folder).withColumn("label", F.col("is_fraud"))
+    train = data.filter(F.col("TransactionID") % 5 != 0)
+    test = data.filter(F.col("TransactionID") % 5 == 0)
+    scores = {}
+    for name, column in (("by_V1", "V1"), ("by_amount", "TransactionAmt")):
+        pipeline, _, model, _ = _one_feature(train.select(column, "label"), column)
+        scored = model.transform(pipeline.transform(test.select(column, "label"))).select("label", models.positive_probability().alias("score"))
+        scores[name] = models.score_average_precision(scored, "label")
+    return models.selection_table(spark, scores).withColumn("pr_auc", F.round("pr_auc", 6))
+
+
+def q_importance_one_feature(spark, folder):
+    data = transactions(spark, folder).select("TransactionAmt", F.col("is_fraud").alias("label"))
+    _, _, model, names = _one_feature(data, "TransactionAmt")
+    return models.feature_importance(spark, model, names).withColumn("importance", F.round("importance", 3))
+
+
+def q_bundle_scoring(spark, folder):
+    """Every transaction scored by a bundle that was saved and loaded again."""
+    data = transactions(spark, folder)
+    pipeline, _, model, names = _one_feature(data.select("TransactionAmt", F.col("is_fraud").alias("label")), "TransactionAmt")
+    path = shared_folder(spark, "bundle")
+    stages = models.PipelineModel(stages=[pipeline, model])
+    models.ScoringBundle(stages, 0.5, "logistic", tuple(names), ("TransactionAmt",)).save(spark, path)
+    scored = run_fraud_scoring(spark, data.drop("is_fraud"), path)
+    return scored.groupBy("card_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("predicted_fraud").cast("long")).alias("predicted"),
+        F.round(F.avg("fraud_probability"), 3).alias("mean_probability"),
+    )
+
+
+def _binned(spark, folder):
+    """Transactions with one small whole number as their only feature."""
+    bin_ = F.least(F.floor(F.col("TransactionAmt") / 50000), F.lit(6)).cast("double")
+    data = transactions(spark, folder).select(bin_.alias("bin"), F.col("is_fraud").alias("label"))
+    return data.withColumn("features", calibrate.array_to_vector(F.array("bin")))
+
+
+def q_boosting_stump(spark, folder):
+    """Boosting of one tree of depth 1 without subsampling, at every value of its feature."""
+    data = _binned(spark, folder)
+    model = models.train_gbt(data, n_trees=1, max_depth=1, subsample=1.0)
+    out = model.transform(data.select("bin", "features").distinct())
+    return out.select("bin", F.round(models.positive_probability(), 6).alias("p"))
+
+
+def q_mixed_vectors(spark, folder):
+    """Numbers and texts in one vector: sums of each slot over all rows."""
+    data = transactions(spark, folder).select("TransactionAmt", "V1", "card_type", "merchant_category")
+    pipeline, names = encode.fit_feature_pipeline(data, ["V1", "TransactionAmt"], ["card_type", "merchant_category"])
+    slots = F.posexplode(calibrate.vector_to_array("features"))
+    each = pipeline.transform(data).select(slots.alias("i", "x"))
+    sums = each.groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    return sums.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("slot"), F.round("s", 3).alias("squares"))
+
+
+def q_labelled_file(spark, folder):
+    path = shared_folder(spark, "labelled")
+    transactions(spark, folder).drop("merchant_category").write.option("header", True).csv(path)
+    return readers.read_labelled(spark, path, "is_fraud").withColumn("TransactionID", F.col("TransactionID").cast("long")).withColumn("V1", F.col("V1").cast("double"))
+
+
+def q_scoring_file(spark, folder):
+    """Scoring input as CSV without a label."""
+    path = shared_folder(spark, "scoring")
+    clocked = transactions(spark, folder).withColumns(
+        {"hour_of_day": hour_of_seconds(F.col("TransactionDT")), "day_of_week": weekday_of_seconds(F.col("TransactionDT"))}
+    )
+    clocked.drop("is_fraud", "TransactionID").write.option("header", True).csv(path)
+    return readers.read_scoring_input(spark, path)
+
+
+def q_interval_lines(spark, folder):
+    """Intervals in several unequal files without an order column: numbered along the files."""
+    path = shared_folder(spark, "interval-lines")
+    rows = user_intervals(spark, folder).drop("seq")
+    rows = rows.repartitionByRange(3, "asset", "start_date", "end_date").sortWithinPartitions("asset", "start_date", "end_date")
+    rows.write.option("header", True).csv(path)
+    return readers.read_intervals(spark, path)
+
+
 def q_error_report(spark, folder):
     """Threshold predicate and error classes of every scored row, summed by hour."""
     scored = scored_lines(spark, folder)

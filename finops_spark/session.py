@@ -46,6 +46,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back; ``by`` names a
+    column with few values whose parts are then read on their own."""
+    path = shared_folder(df.sparkSession, name)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder."""
     _checkpoint_root(df.sparkSession)

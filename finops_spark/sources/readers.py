@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,13 +69,29 @@ def read_prices(spark: SparkSession, path: str, date: str = "date", fmt: str | N
     return wide.unpivot(["date"], assets, "asset", "price").select("asset", "date", "price")
 
 
+def _with_line_order(raw: DataFrame) -> DataFrame:
+    """Add ``seq``: zero-based line over all files, taken by name.
+
+    Spark packs large files first, so row ids follow the lines only within one piece of a
+    file. Lines are numbered within their piece (which a task reads) and shifted by the
+    lines of the pieces before it, one row for each piece.
+    """
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    placed = placed.withColumn("_id", F.monotonically_increasing_id())
+    piece = ["_file", "_start"]
+    sizes = placed.groupBy(*piece).agg(F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))).drop("_lines")
+    numbered = placed.withColumn("_line", F.row_number().over(Window.partitionBy(*piece).orderBy("_id")))
+    return numbered.join(shifts, piece).withColumn("seq", F.col("_shift") + F.col("_line") - 1).select(*raw.columns, "seq")
+
+
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """Labelled intervals, by date (asset, start_date, end_date) or by row position
-    (asset_id, window_start_idx, window_end_idx); adds ``seq``, the file order."""
+    (asset_id, window_start_idx, window_end_idx); adds ``seq``, the line order, unless the
+    file has it."""
     raw = _read(spark, path)
-    # Ids rise along the file, so their order is the order of its lines.
-    seq = F.col("seq").cast("long") if "seq" in raw.columns else F.monotonically_increasing_id()
-    raw = raw.withColumn("seq", seq)
+    raw = raw.withColumn("seq", F.col("seq").cast("long")) if "seq" in raw.columns else _with_line_order(raw)
     if {"asset_id", "window_start_idx", "window_end_idx"} <= set(raw.columns):
         return raw.select(
             "seq",
@@ -120,15 +136,13 @@ def read_transactions(
     spark: SparkSession,
     path: str,
     strict: bool = True,
-    min_rows: int | None = 50_000,
-    max_rows: int | None = 600_000,
+    min_rows: int | None = None,
+    max_rows: int | None = None,
     min_rate: float = 0.005,
     max_rate: float = 0.05,
 ) -> DataFrame:
-    """Labelled transactions; ``strict`` enforces row count, label and rate gates.
-
-    The row bounds are those of one training file; pass None for larger tables.
-    """
+    """Labelled transactions; ``strict`` enforces label and rate gates, and bounds on
+    the number of rows where they are given."""
     df = _read(spark, path, _transaction_schema(spark, path, True))
     require(df, list(TRANSACTION_FIELDS), "transaction file")
     _not_empty(df, "transaction file")

@@ -342,3 +342,53 @@ def test_published_fold_metrics(spark):
     )
     got = out.stability.first()
     np.testing.assert_allclose([got.rmse_mean, got.rmse_std, got.cv_percent], [30.680799, 1.054926, 3.438391], atol=1e-6)
+
+
+def test_rows_without_a_series_are_refused(spark):
+    rows = [("a" if i else None, dt.date(2024, 1, 1) + dt.timedelta(i), float(i % 7), float(i % 5)) for i in range(60)]
+    samples = spark.createDataFrame(rows, "series_id string, ts date, x double, target double")
+    with pytest.raises(Exception, match="missing values"):
+        ridge.cross_validate(samples, ["x"], n_splits=2, valid_size=5)[0].collect()
+
+
+def test_series_left_out_of_a_forecast_are_reported(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(5)]
+    series = spark.createDataFrame([(k, d, 1.0) for k in ("a", "b", "c") for d in (days if k != "c" else days[:1])], "series_id string, ts date, value double")
+    fitted = spark.createDataFrame([("a", [1.0], 0.0), ("c", [1.0], 0.0), ("d", [1.0], 0.0)], "series_id string, coefficients array<double>, intercept double")
+    with pytest.raises(Exception, match="no model"):
+        forecast.forecast(series, fitted, [3]).collect()
+    assert {r.series_id for r in forecast.forecast(series, fitted, [3], strict=False).collect()} == {"a"}
+    status = {r.series_id: (r.rows, r.needed, r.has_model, r.used) for r in forecast.forecast_status(series, fitted, [3]).collect()}
+    assert status == {"a": (5, 3, True, True), "b": (5, 3, False, False), "c": (1, 3, True, False), "d": (0, 3, True, False)}
+
+
+def test_fold_metrics_of_two_years_by_closed_form(spark):
+    """A daily series of the published shape: 730 days, 715 samples, 10 features, five folds of 90."""
+    rng = np.random.default_rng(8)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(730)]
+    v = 1000 + 0.1 * np.arange(730) + 40 * np.sin(2 * np.pi * np.arange(730) / 7) + rng.normal(0, 30, 730)
+    series = spark.createDataFrame([("s", d, float(x)) for d, x in zip(days, v)], "series_id string, ts date, value double")
+    out = run_forecasting(spark, series, strict=False)
+
+    rows, target = [], []
+    for t in range(14, 729):
+        past, dow = v[t - 7 : t], days[t].weekday()
+        angle = 2 * np.pi * dow / 7
+        rows.append([v[t - 1], v[t - 7], v[t - 14], past.mean(), past.std(ddof=1), dow, days[t].month, days[t].day, np.sin(angle), np.cos(angle)])
+        target.append(v[t + 1])
+    x, y = np.array(rows), np.array(target)
+    assert x.shape == (715, 10)
+    want = []
+    for fold in range(5):
+        end = 265 + 90 * fold
+        mean, std = x[:end].mean(0), x[:end].std(0)
+        z = (x - mean) / std
+        w = np.linalg.solve(z[:end].T @ z[:end] + np.eye(10), z[:end].T @ (y[:end] - y[:end].mean()))
+        left = y[end : end + 90] - (z[end : end + 90] @ w + y[:end].mean())
+        want.append((np.sqrt((left**2).mean()), np.corrcoef(left, np.arange(90))[0, 1]))
+    got = out.metrics.orderBy("fold").collect()
+    np.testing.assert_allclose([(r.rmse, r.residual_time_correlation) for r in got], want, atol=1e-6)
+    assert [r.drifts for r in got] == [abs(c) > 0.05 for _, c in want]
+    rmses = np.array([r for r, _ in want])
+    s = out.stability.first()
+    np.testing.assert_allclose([s.rmse_mean, s.rmse_std, s.cv_percent], [rmses.mean(), rmses.std(), rmses.std() / rmses.mean() * 100], atol=1e-6)

@@ -243,7 +243,8 @@ def test_transaction_file(spark, tmp_path):
     df = read_transactions(spark, good, min_rows=1000, max_rows=1000)
     assert df.count() == 1000 and dict(df.dtypes)["TransactionDT"] == "bigint" and "note" in df.columns
     with pytest.raises(GateError, match="row_count"):
-        read_transactions(spark, good)
+        read_transactions(spark, good, min_rows=50_000, max_rows=600_000)
+    assert read_transactions(spark, good).count() == 1000
     with pytest.raises(GateError, match="positive_rate"):
         read_transactions(spark, transaction_file(tmp_path / "r.csv", 1000, 100), min_rows=None, max_rows=None)
     (tmp_path / "e.csv").write_text(HEADER + "\n")

@@ -271,7 +271,7 @@ def transactions(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("scope", ["train", "all"])
 def test_fraud_flow(spark, transactions, tmp_path, scope):
-    table = read_transactions(spark, transactions, min_rows=None, max_rows=None)
+    table = read_transactions(spark, transactions)
     out = run_fraud_training(
         spark, table, fit_scope=scope, min_test_positives=5, forest_trees=5, forest_depth=4, output_path=str(tmp_path / "o")
     )
@@ -296,8 +296,29 @@ def test_fraud_flow(spark, transactions, tmp_path, scope):
 
 
 def test_fraud_flow_gates(spark, transactions):
-    table = read_transactions(spark, transactions, min_rows=None, max_rows=None)
+    table = read_transactions(spark, transactions)
     with pytest.raises(GateError):
         run_fraud_training(spark, table)
     with pytest.raises(SchemaError):
         run_fraud_training(spark, table, fit_scope="test")
+
+
+def test_boolean_columns_become_features(spark):
+    from finops_spark.operators.repair import fit_repair
+
+    rows = [(float(i), i % 3 == 0, "ab"[i % 2], i % 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "TransactionAmt double, foreign boolean, card_type string, is_fraud int")
+    steps = models.fit_transaction_pipeline(table, fit_repair(table, "is_fraud", fill_all=True), use_log=False)
+    assert "foreign" in steps.feature_names
+    at = steps.feature_names.index("foreign")
+    got = {(r.foreign, r.features[at]) for r in models.run_stages(table, steps.base).collect()}
+    assert got == {(True, 1.0), (False, 0.0)}
+
+
+def test_row_bounds_are_off_unless_given(spark):
+    from finops_spark.operators.gates import enforce, gate_report, transaction_gates
+
+    table = spark.range(600_001).select((F.col("id") % 100 == 0).cast("int").alias("is_fraud"))
+    enforce(gate_report(table, transaction_gates(table)))
+    with pytest.raises(GateError):
+        enforce(gate_report(table, transaction_gates(table, max_rows=600_000)))

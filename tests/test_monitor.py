@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from finops_spark.errors import GateError, IntervalError, SchemaError
 from finops_spark.operators import alerts, intervals, ordered
+from finops_spark.operators.ordered import with_position
 from finops_spark.operators.flat import flag_flat, rolling_stdev
 from finops_spark.plans.monitor import check_prices, run_monitor
 from finops_spark.sources.readers import read_intervals, read_prices
@@ -86,10 +87,22 @@ def test_split_key_by_timestamp(spark):
     assert a.exceptAll(b).count() == 0 and b.count() == 500
 
 
-def test_text_order_of_a_large_key_is_refused(spark):
-    df = spark.range(50).select(F.lit("a").alias("k"), F.col("id").cast("string").alias("t"), F.lit(1.0).alias("v"))
-    with pytest.raises(TypeError):
-        rolling_stdev(df, "k", ["t"], "v", 3, split_rows=10)
+def test_text_order_of_a_large_key(spark):
+    df = spark.range(50).select(F.lit("a").alias("k"), F.format_string("%03d", "id").alias("t"), F.col("id").cast("double").alias("v"))
+    a = rolling_stdev(df, "k", ["t"], "v", 3, split_hot=False)
+    b = rolling_stdev(df, "k", ["t"], "v", 3, split_rows=10)
+    assert a.exceptAll(b).count() == 0 and b.count() == 50
+
+
+def test_ties_of_a_large_key_are_split(spark):
+    df = spark.range(4000).select(F.lit("a").alias("k"), F.lit(1).alias("t"), F.col("id").alias("v")).repartition(8)
+    placed = with_position(df, ["k"], ["t"], split_rows=50)
+    assert sorted(r.row_idx for r in placed.collect()) == list(range(4000))
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_file" in plan  # numbered within pieces of a file, not within the key
+    ranges = df.withColumn("_tie", F.xxhash64("k", "t", "v")).repartitionByRange(8, "k", "t", "_tie")
+    sizes = [r["count"] for r in ranges.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
 
 
 def test_alert_lines_and_summary(spark):
@@ -99,7 +112,7 @@ def test_alert_lines_and_summary(spark):
     first = alerts.alert_lines(flags).orderBy("asset", "date").first().line
     assert first == "EVENT|asset=Asset_A|date=2023-01-05|rolling_stdev=0.00000000"
     assert alerts.alert_summary(flags).first().asDict() == {"total_events": 3, "unique_assets": 2}
-    assert [r.asset for r in alerts.affected_assets(flags).collect()] == ["Asset_A", "Asset_B"]
+    assert sorted(r.asset for r in alerts.affected_assets(flags).collect()) == ["Asset_A", "Asset_B"]
     assert alerts.alert_summary(flags.limit(0)).first().asDict() == {"total_events": 0, "unique_assets": 0}
 
 
@@ -194,7 +207,7 @@ def test_bad_match_mode(spark, labelled):
 
 def test_positions_become_dates(spark, prices):
     table = spark.createDataFrame(
-        [("Asset_A", 4, 9), ("Asset_B", 0, 2)], "asset_id string, window_start_idx long, window_end_idx long"
+        [(0, "Asset_A", 4, 9), (1, "Asset_B", 0, 2)], "seq long, asset_id string, window_start_idx long, window_end_idx long"
     )
     out = intervals.intervals_to_dates(table, intervals.row_calendar(prices))
     got = sorted((r.asset, r.start_date.day, r.end_date.day) for r in out.collect())
@@ -203,13 +216,13 @@ def test_positions_become_dates(spark, prices):
 
 @pytest.mark.parametrize("row", [("nobody", 0, 1), ("Asset_A", 0, 99), ("Asset_A", -1, 3)])
 def test_positions_outside_raise(spark, prices, row):
-    table = spark.createDataFrame([row], "asset_id string, window_start_idx long, window_end_idx long")
+    table = spark.createDataFrame([(0, *row)], "seq long, asset_id string, window_start_idx long, window_end_idx long")
     with pytest.raises(IntervalError):
         intervals.intervals_to_dates(table, intervals.row_calendar(prices))
 
 
 def test_empty_positions_raise(spark, prices):
-    table = spark.createDataFrame([], "asset_id string, window_start_idx long, window_end_idx long")
+    table = spark.createDataFrame([], "seq long, asset_id string, window_start_idx long, window_end_idx long")
     with pytest.raises(IntervalError):
         intervals.intervals_to_dates(table, intervals.row_calendar(prices))
 
@@ -259,3 +272,26 @@ def test_price_gates(spark, prices):
         check_prices(prices.unionByName(prices.limit(1)))
     with pytest.raises(GateError):
         check_prices(prices.limit(0))
+
+
+def test_positions_without_an_order_are_refused(spark, prices):
+    table = spark.createDataFrame([("Asset_A", 0, 2)], "asset_id string, window_start_idx long, window_end_idx long")
+    with pytest.raises(SchemaError):
+        intervals.intervals_to_dates(table, intervals.row_calendar(prices))
+
+
+def test_lines_are_numbered_over_several_files(spark, tmp_path):
+    small = ["asset,start_date,end_date", "Asset_A,2024-01-01,2024-01-09", "Asset_A,2024-01-02,2024-01-03"]
+    large = ["asset,start_date,end_date"] + [f"Asset_{i},2024-01-01,2024-01-05" for i in range(500)]
+    (tmp_path / "a.csv").write_text("\n".join(small) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join(large) + "\n")
+    got = {r.asset: r.seq for r in read_intervals(spark, str(tmp_path)).collect() if r.asset != "Asset_A"}
+    assert got == {f"Asset_{i}": i + 2 for i in range(500)}
+    first = [r.seq for r in read_intervals(spark, str(tmp_path)).collect() if r.asset == "Asset_A"]
+    assert sorted(first) == [0, 1]
+
+
+def test_metrics_join_the_ranges_once(spark, labelled):
+    plan = intervals.detection_metrics(flags_of(spark, [("Asset_A", day(3), 0.0)]), labelled)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unix_date(date") + plan.count("explode(") <= 4
+    assert plan.count("Generate explode") == 1

@@ -37,7 +37,7 @@ def test_three_way_counts_and_seed(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 5, 7, 35, 115])
 def test_floors_are_exact(spark, n):
-    got = sizes(split.stratified_split(labelled(spark, {0: n}), "target"))
+    got = sizes(split.stratified_split(labelled(spark, {0: n}), "target", allow_empty=True))
     assert got.get(("train", 0), 0) == n * 6 // 10
     assert got.get(("calibration", 0), 0) == n * 2 // 10
     assert got.get(("test", 0), 0) == n - n * 6 // 10 - n * 2 // 10
@@ -49,12 +49,12 @@ def test_two_way_and_null_class(spark):
     assert got == {("train", 0): 76, ("test", 0): 19, ("train", None): 8, ("test", None): 2}
 
 
-@pytest.mark.parametrize("split_rows", [50, 200])
-def test_many_copies_of_one_row(spark, split_rows):
+@pytest.mark.parametrize("pieces", [1, 9])
+def test_many_copies_of_one_row(spark, pieces):
     df = labelled(spark, {0: 300, 1: 100}).unionAll(
         spark.range(600).select(F.lit(-1.0).alias("feature_1"), F.lit(0).alias("target"))
     )
-    got = split.stratified_split(df, "target", split_rows=split_rows)
+    got = split.stratified_split(df.repartition(pieces), "target")
     assert sizes(got) == {("train", 0): 540, ("calibration", 0): 180, ("test", 0): 180, ("train", 1): 60, ("calibration", 1): 20, ("test", 1): 20}
     assert got.drop("split").exceptAll(df).count() == 0
 
@@ -76,7 +76,7 @@ def test_distribution_and_check(spark):
     missing = split.stratification_check(df.filter("not (split = 'test' and target = 1)"), "target", ("train", "test"), 1.0)
     with pytest.raises(SplitError, match="different classes"):
         split.enforce_stratification(missing, "target")
-    tiny = split.stratified_split(labelled(spark, {0: 1, 1: 1}), "target")
+    tiny = split.stratified_split(labelled(spark, {0: 1, 1: 1}), "target", allow_empty=True)
     with pytest.raises(SplitError):
         split.enforce_stratification(split.stratification_check(tiny, "target"), "target")
 
@@ -199,3 +199,26 @@ def test_scalars(spark):
     ).first()
     assert [row.i0, row.i1, row.i2, row.i3, row.f] == pytest.approx([20.0, 0.0, -25.0, 0.0, 0.0])
     assert math.isclose(row.i0, 20.0)
+
+
+def test_missing_scores_and_labels_are_refused(spark):
+    for rows in ([(1, None), (0, 0.5)], [(None, 0.2), (1, 0.5)], [(1, float("nan"))], [(2, 0.5)]):
+        with pytest.raises(Exception, match="missing values|other than 0 and 1"):
+            curves.threshold_curve(spark.createDataFrame(rows, "label int, score double")).collect()
+
+
+def test_an_empty_part_raises(spark):
+    with pytest.raises(SplitError):
+        split.stratified_split(labelled(spark, {0: 1, 1: 1}), "target").collect()
+
+
+def test_split_moves_no_rows(spark):
+    parts = split.stratified_split(labelled(spark, {0: 90, 1: 10}), "target", split.TWO_WAY)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_copies_across_a_cut(spark):
+    table = spark.createDataFrame([(1, "same")] * 100 + [(0, "same")] * 50, "target int, x string").repartition(7)
+    got = {(r.split, r.target): r["count"] for r in split.stratified_split(table, "target").groupBy("split", "target").count().collect()}
+    assert got == {("train", 1): 60, ("calibration", 1): 20, ("test", 1): 20, ("train", 0): 30, ("calibration", 0): 10, ("test", 0): 10}
