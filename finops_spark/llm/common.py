@@ -46,14 +46,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def blocks(texts: Iterable[str | None], chars: int = 1 << 21) -> Iterator[list[str]]:
-    """Cut a sequence of texts into lists of about ``chars`` characters; None is empty."""
+def blocks(texts: Iterable[str | None], chars: int = 1 << 21, most: int = 1_000) -> Iterator[list[str]]:
+    """Cut a sequence of texts into lists of about ``chars`` characters and at most ``most`` texts; None is empty."""
     part: list[str] = []
     held = 0
     for text in texts:
         part.append(text or "")
         held += len(part[-1])
-        if held >= chars:
+        if held >= chars or len(part) >= most:
             yield part
             part, held = [], 0
     if part:
