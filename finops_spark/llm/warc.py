@@ -88,11 +88,12 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> str:
     spark = pages.sparkSession
     total = pages.agg(F.sum(F.octet_length("html"))).head()[0] or 0
     parts = max(1, -(-total // ARCHIVE_BYTES), spark.sparkContext.defaultParallelism if total > ARCHIVE_BYTES else 1)
-    kinds = decide(pages, least).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
+    # a key without NULLs, so that the join takes the rows as they have been dealt out
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_key")
+    kinds = decide(pages, least).select(key, "digest", "first")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
-    ready = rows.repartition(parts, "page_id", "digest").join(kinds, same, "left").select("page_id", "url", "html", "digest", "first")
+    rows = pages.select(key, "page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
+    ready = rows.repartition(parts, "_key", "digest").join(kinds, ["_key", "digest"], "left").select("page_id", "url", "html", "digest", "first")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
