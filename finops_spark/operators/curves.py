@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from finops_spark.functions.scalar import above_threshold, expected_cost, f_beta, safe_ratio
 from finops_spark.operators.ordered import SPLIT_ROWS, literal_bucket
 
-MAX_RANGES = 4096
+MAX_RANGES = 65_536
 
 
 def score_ranges(
