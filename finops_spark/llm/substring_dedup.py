@@ -24,8 +24,8 @@ from finops_spark.llm.hot import with_first
 
 #: Words of a window; the lower levels are its half and its quarter.
 LENGTH = 20
-#: Rows up to which a table of documents (some 100 bytes a row) may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Measured bytes up to which a table of documents may be broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 48 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _EVERY = 2**31 - 1
@@ -66,8 +66,12 @@ def runs_of(values: np.ndarray) -> np.ndarray:
 
 
 def _large(table: DataFrame) -> DataFrame:
-    """A hint to broadcast ``table`` if it has been counted to be small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A hint to broadcast ``table`` (doc_id and perhaps ranges) if its measured size allows it: about
+    64 bytes for each row and 48 for each range."""
+    ranges = [c for c in table.columns if "ranges" in c]
+    size = F.lit(64) + (48 * F.size(ranges[0]) if ranges else 0)
+    measured = table.agg(F.sum(size.cast("bigint"))).head()[0] or 0
+    return F.broadcast(table) if measured <= BROADCAST_BYTES else table
 
 
 def quarter_runs(docs: DataFrame) -> DataFrame:
@@ -92,6 +96,9 @@ def quarter_runs(docs: DataFrame) -> DataFrame:
                     least = parts[at[lo]].view(np.int64)
                 for column, value in zip(columns, (doc, len(words), int(whole[0]), int(whole[1]), least, lo.astype(np.int32)), strict=True):
                     column.append(value)
+                if len(columns[0]) == 1_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                    columns = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(read, schema)
@@ -137,7 +144,7 @@ def half_runs(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     for v, a, b in zip(least, starts, np.r_[starts[1:], len(place)], strict=True):
                         for column, value in zip(columns, (v, doc, r["lo"] + a, full[a:b], check[a:b]), strict=True):
                             column.append(value)
-                if len(columns[0]) > 20_000:
+                if len(columns[0]) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
                     columns = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)

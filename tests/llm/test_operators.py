@@ -167,7 +167,7 @@ def test_substring_dedup(docs, empty, monkeypatch, small):
 
     if small:  # other routes: few common keys, no broadcasts
         monkeypatch.setattr(hot, "COMMON_KEYS", 3)
-        monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
     want = plain_substrings(tables.rows())
     assert counted(substring_dedup.digest_report(docs)) == want and any(k[2] for k in want)
     if not small:
