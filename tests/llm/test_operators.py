@@ -236,6 +236,14 @@ def test_quality_factor_of_normal_data(spark):
         assert abs(fit[f"l_{f}_{f}"] ** 2 - least**2 - 0.25) < 0.06
 
 
+def test_quality_limit_rejects_plain_outliers(spark):
+    """Against a cell without duplicates: word length, duplicate lines with repeats, or repeats alone."""
+    rows = spark.range(400).select(F.lit("a").alias("cell"), (1.6 + 0.04 * F.randn(3)).alias("length"), *[F.lit(0.0).alias(f) for f in ("symbols", "lines", "repeats")])
+    cases = [("a", 1.6, 0.0, 0.2, 0.2), ("a", 2.1, 0.0, 0.0, 0.0), ("a", 1.6, 0.0, 0.5**0.5, 0.29**0.5), ("a", 1.6, 0.0, 0.0, 0.29**0.5), ("a", 1.6, 0.2, 0.0, 0.0)]
+    far = quality.distances(spark.createDataFrame(cases, rows.schema).coalesce(1), quality.fit_cells(rows.persist())).collect()
+    assert {tuple(r)[:5]: r.d2 > quality.LIMIT for r in far} == {c: i > 0 for i, c in enumerate(cases)}
+
+
 def expected_archives(pages):
     by = collections.defaultdict(list)
     for page, _, html in pages:
