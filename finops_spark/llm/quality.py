@@ -99,13 +99,18 @@ def features() -> dict[str, Column]:
 
 
 def with_cells(stats: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """Add ``cell``: language and source, or language, or all, whichever is the first with ``least`` documents."""
+    """Add ``cell``: language and source, or language, or all, whichever is the first with ``least`` documents;
+    and ``feeds``, the cells whose estimates the row enters: all that some row is judged with and that hold it."""
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     counts = stats.where(~F.col("base_failed")).groupBy(lang.alias("_lang"), source.alias("_source")).count()
     counts = counts.withColumn("_in_lang", F.sum("count").over(Window.partitionBy("_lang")))
     named = F.when(F.col("count") >= least, F.to_json(F.array("_lang", "_source"))).when(F.col("_in_lang") >= least, F.to_json(F.array("_lang"))).otherwise("[]")
     cells = store(counts.select("_lang", "_source", named.alias("cell")), "quality-cells")
-    joined = stats.join(cells, (lang == F.col("_lang")) & (source == F.col("_source")), "left")
+    used = cells.select(F.col("cell").alias("_used")).distinct()
+    above = F.explode(F.array_distinct(F.array("cell", F.to_json(F.array("_lang")), F.lit("[]")))).alias("_used")
+    feeds = cells.select("_lang", "_source", "cell", above).join(used, "_used", "left_semi")
+    feeds = store(feeds.groupBy("_lang", "_source", "cell").agg(F.collect_set("_used").alias("feeds")), "quality-feeds")
+    joined = stats.join(feeds, (lang == F.col("_lang")) & (source == F.col("_source")), "left")
     return joined.withColumn("cell", F.coalesce("cell", F.lit("[]"))).drop("_lang", "_source")
 
 
@@ -211,8 +216,8 @@ def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     stats = statistics(docs).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     stats = store(stats.withColumns(features()), "quality-statistics")
     celled = store(with_cells(stats), "quality-rows")
-    fitted = fit_cells(celled.where(~F.col("base_failed")).select("cell", *FEATURES), steps)
-    judged = distances(celled, fitted)
+    fitted = fit_cells(celled.where(~F.col("base_failed")).select(F.explode("feeds").alias("cell"), *FEATURES), steps)
+    judged = distances(celled.drop("feeds"), fitted)
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(
         "doc_id",

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -244,6 +245,24 @@ def test_quality_limit_rejects_plain_outliers(spark):
     assert {tuple(r)[:5]: r.d2 > quality.LIMIT for r in far} == {c: i > 0 for i, c in enumerate(cases)}
 
 
+def test_quality_of_small_cells(spark):
+    """A few documents of a source are judged with their language or, if it is rare, with all documents."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["word", "and", "the", "house", "goes"]) for _ in range(60)), "en", "large") for i in range(120)]
+    rows += [(1000 + i, " ".join(rng.choice(["#####$$$$$ABCDEFGH", "QWERTYUIOP&&&"]) for _ in range(60)), "en" if i < 30 else "xx", "small") for i in range(35)]
+    rows += [(2000, rows[0][1], "en", "small"), (2001, rows[1][1], "xx", "other")]
+    kept = {r.doc_id: r.kept for r in quality.judge(tables.documents(spark, rows)).collect()}
+    assert len(kept) == len(rows) and not any(k for i, k in kept.items() if 1000 <= i < 2000)
+    assert kept[2000] and kept[2001] and sum(kept[i] for i in range(120)) >= 110
+    cells = quality.with_cells(tables.documents(spark, rows).drop("cell").withColumn("base_failed", F.lit(False)))
+    assert {(r.lang, r.source): (r.cell, sorted(r.feeds)) for r in cells.collect()} == {
+        ("en", "large"): ('["en","large"]', ['["en","large"]', '["en"]', "[]"]),
+        ("en", "small"): ('["en"]', ['["en"]', "[]"]),
+        ("xx", "small"): ("[]", ["[]"]),
+        ("xx", "other"): ("[]", ["[]"]),
+    }
+
+
 def expected_archives(pages):
     by = collections.defaultdict(list)
     for page, _, html in pages:
