@@ -44,16 +44,18 @@ def _positions_split(rows: DataFrame, keys: Sequence[str], order_by: Sequence[st
 
     The rows are range-partitioned by key, order columns and a hash of the whole row, so that
     one key, and rows tied in its order, spread over many ranges; only copies of one row stay
-    together. The ranges are written as files in their order; rows are numbered within a piece
-    of a file and shifted by the rows of their key in the pieces before it.
+    together. The ranges are sorted and written as files in their order, so that several files of
+    one range, and several pieces of one file, follow each other, too; rows are numbered within a
+    piece of a file and shifted by the rows of their key in the pieces before it.
     """
     tie = F.xxhash64(*[F.col(c) for c in rows.columns])
     ranged = rows.withColumn("_tie", tie).repartitionByRange(*keys, *order_by, "_tie")
-    stored = store(ranged, "ranges")
-    # Files carry the number of their range, with more digits beyond 99,999.
+    stored = store(ranged.sortWithinPartitions(*keys, *order_by, "_tie"), "ranges")
+    # Files carry the number of their range and their own within it, with more digits beyond 99,999 and 999.
     file = F.col("_metadata.file_name")
     number = F.lpad(F.regexp_extract(file, "part-([0-9]+)", 1), 12, "0")
-    placed = stored.select("*", F.concat(number, file).alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    within_range = F.lpad(F.regexp_extract(file, "-c([0-9]+)[.]", 1), 12, "0")
+    placed = stored.select("*", F.concat(number, within_range, file).alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
     piece = ["_file", "_start"]
     sizes = placed.groupBy(*keys, *piece).agg(F.count(F.lit(1)).alias("_rows"))
     # One row for each piece of a key.

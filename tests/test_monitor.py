@@ -94,6 +94,18 @@ def test_text_order_of_a_large_key(spark):
     assert a.exceptAll(b).count() == 0 and b.count() == 50
 
 
+@pytest.mark.parametrize("most", ["7", "1"])
+def test_ranges_of_several_files_follow_each_other(spark, most):
+    """Up to 1,200 files of one range: their numbers get more digits."""
+    df = spark.range(1200).select(F.lit("a").alias("k"), (F.col("id") * 7919 % 1201).alias("t"), F.col("id").cast("double").alias("v")).repartition(4)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+    try:
+        moved = {r.t: r.row_idx for r in with_position(df, ["k"], ["t"], split_rows=50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert moved == {t: i for i, t in enumerate(sorted(moved))} and len(moved) == 1200
+
+
 def test_ties_of_a_large_key_are_split(spark):
     df = spark.range(4000).select(F.lit("a").alias("k"), F.lit(1).alias("t"), F.col("id").alias("v")).repartition(8)
     placed = with_position(df, ["k"], ["t"], split_rows=50)
