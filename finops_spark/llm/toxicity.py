@@ -79,16 +79,21 @@ class ToxicityModel:
 
 
 def bounded_sample(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """For each label at most ``most`` rows, those of the smallest id hashes.
+    """For each label at most ``most`` rows, those of the smallest id hashes."""
+    return counted_sample(labelled, most)[0]
+
+
+def counted_sample(labelled: DataFrame, most: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """The rows of ``bounded_sample``, and how many rows each label has in all.
 
     A first pass finds, with one counter for each of 4,096 hash ranges, below which hash
     enough rows lie, so that only about as many as are wanted reach the exact cut."""
     hashed = labelled.withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")))
     hashed = hashed.withColumn("_range", F.shiftrightunsigned("_h", 52))
     counts = hashed.groupBy("toxic", "_range").count().collect()  # two labels x 4,096 ranges at most
-    limits = {}
+    limits, totals = {}, {}
     for label in {r.toxic for r in counts}:
-        held = 0
+        held, totals[label] = 0, sum(r["count"] for r in counts if r.toxic == label)
         for r in sorted((r for r in counts if r.toxic == label), key=lambda r: r["_range"]):
             limits[label] = r["_range"]
             held += r["count"]
@@ -98,16 +103,20 @@ def bounded_sample(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
     for label, limit in limits.items():
         near = near | ((F.col("toxic") == label) & (F.col("_range") <= limit))
     order = Window.partitionBy("toxic").orderBy("_range", "_h", "doc_id", "text")
-    return hashed.where(near).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_h", "_range", "_n")
+    return hashed.where(near).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_h", "_range", "_n"), totals
 
 
 def fit_toxicity(labelled: DataFrame, most: int = SAMPLE, rounds: int = 300) -> ToxicityModel:
     """Learn from columns doc_id, text and toxic (0 or 1); NULL texts and labels are passed over.
 
-    ``most`` bounds the documents of each label that are gathered for the fit."""
-    rows = bounded_sample(labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", "toxic"), most).collect()
+    ``most`` bounds the documents of each label that are gathered for the fit; each counts for
+    as many as its label has for one that is gathered, so the fit keeps the labels' own shares."""
+    sample, totals = counted_sample(labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", "toxic"), most)
+    rows = sample.collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text))
-    return train([r.text for r in rows], np.array([r.toxic for r in rows], float), rounds)
+    labels = np.array([r.toxic for r in rows], float)
+    weight = {label: n / (labels == label).sum() for label, n in totals.items()}
+    return train([r.text for r in rows], labels, rounds, np.array([weight[r.toxic] for r in rows], float))
 
 
 def runs_of(values: np.ndarray) -> np.ndarray:
@@ -141,11 +150,12 @@ def telling(found: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels:
     return np.flatnonzero((apart >= CLEAR) & (every >= LEAST_DOCUMENTS))
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 300) -> ToxicityModel:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 300, counts: np.ndarray | None = None) -> ToxicityModel:
     """Full-batch Adam on the shrunk noisy-or likelihood, a weight for each telling bucket.
 
-    With one label only, or none, every document gets that label's share."""
+    ``counts`` says for how many documents each text stands in the likelihood (1 if None). With one label only, or none, every document gets that label's share."""
     weights = np.zeros(BUCKETS, np.float32)
+    counts = np.ones(len(labels)) if counts is None else counts
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(40.0 if len(labels) and labels.min() == 1 else -40.0, weights)
     flat, of, documents = array.array("i"), array.array("i"), array.array("i")
@@ -161,9 +171,10 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 300) -> ToxicityMo
     place[column] = np.arange(len(column))
     rows, cols = sentence[place[flat] >= 0], place[flat][place[flat] >= 0]
     if not len(column):
-        share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
+        share = float(np.clip(np.average(labels, weights=counts), 1e-6, 1 - 1e-6))
         return ToxicityModel(float(np.log(share / (1 - share))) - 5, weights)
     # either label weighs as much as in the given data; the sample only bounds the work
+    every = counts.sum()
     w, bias = np.zeros(len(column)), -5.0
     step_w, size_w, step_b, size_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -171,8 +182,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 300) -> ToxicityMo
         p = 1 / (1 + np.exp(-logit))
         clean = np.minimum(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)), -1e-9)
         # slope of the log likelihood in each sentence's logit
-        slope = np.where(labels > 0, np.exp(clean) / -np.expm1(clean), -1.0)[owner] * p
-        grad_w, grad_b = np.bincount(cols, slope[rows], len(w)) / len(labels) - SHRINK * w, slope.sum() / len(labels)
+        slope = np.where(labels > 0, np.exp(clean) / -np.expm1(clean), -1.0)[owner] * p * counts[owner]
+        grad_w, grad_b = np.bincount(cols, slope[rows], len(w)) / every - SHRINK * w, slope.sum() / every
         step_w, size_w = 0.9 * step_w + 0.1 * grad_w, 0.99 * size_w + 0.01 * grad_w**2
         step_b, size_b = 0.9 * step_b + 0.1 * grad_b, 0.99 * size_b + 0.01 * grad_b**2
         fix, grow = 1 - 0.9**t, 1 - 0.99**t

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -145,6 +146,13 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.bounded_sample(labelled, 7).groupBy("toxic").count().where("count > 7").count() == 0
 
 
+def test_toxicity_sample_keeps_the_labels_shares(spark):
+    """30 of 330 are toxic and no word tells them: the bias comes from 1 in 11, whatever the sample takes of each label."""
+    rows = spark.range(330).select(F.col("id").alias("doc_id"), F.lit("the same words in all").alias("text"), (F.col("id") < 30).cast("int").alias("toxic"))
+    for most in (10, 50, 1000):
+        assert abs(toxicity.fit_toxicity(rows, most).bias - (math.log(0.1) - 5)) < 1e-6
+
+
 def plain_substrings(rows, length=20):
     first = {}
     for doc, text in sorted({(d, t or "") for d, t, _, _ in rows if d is not None}):

@@ -203,3 +203,12 @@ def test_toxic_sentences_are_found():
         assert model.score(empty) == 0.0
     assert toxicity.train([], np.array([])).score("any text") < 1e-6
     assert toxicity.train(["a"], np.array([1.0])).score("any text") > 0.99
+
+
+def test_toxic_counts_weigh_the_labels():
+    rng = random.Random(3)
+    texts = [tables.sentence(rng, tables.ENGLISH, 12) for _ in range(120)]
+    labels = np.array([float(i % 2 == 0) for i in range(120)])
+    texts = [f"{t} vilest" if (y > 0) == (i % 12 > 1) else t for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
+    plain, rare = (toxicity.train(texts, labels, counts=np.where(labels > 0, 1.0, n)) for n in (1.0, 20.0))
+    assert rare.score("the vilest of this") < plain.score("the vilest of this") - 0.1
