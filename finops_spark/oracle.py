@@ -190,6 +190,7 @@ def _gates() -> str:
         ("no_missing", "value", "count(*) FILTER (value IS NULL OR isnan(value))", None, 0),
         ("no_infinite", "value", "count(*) FILTER (isinf(value))", None, 0),
         ("row_count", "*", "count(*)", 50000, 600000),
+        ("row_count", "*", "count(*)", 1, 10000000000),
         ("binary_label", "label", label_bad, None, 0),
         ("positive_rate", "label", "avg(label)", 0.005, 0.05),
         ("no_missing", "label", "count(*) FILTER (label IS NULL)", None, 0),

@@ -243,12 +243,17 @@ def q_heavy_tail(spark, folder):
     return repair.heavy_tail(table(spark, folder, "lineitem"), ["l_extendedprice"])
 
 
+# Two pairs of bounds on the rows of a file: small tables lie outside the first and inside the second.
+ROW_BOUNDS, WIDE_ROW_BOUNDS = (50_000, 600_000), (1, 10_000_000_000)
+
+
 def q_gate_report(spark, folder):
     events = table(spark, folder, "events").withColumn("label", (F.col("event_type") == "error").cast("int"))
     events = events.withColumn("score", F.col("value") / 500).withColumn("day", F.substring(F.col("ts").cast("string"), 1, 10))
     checks = [
         *gates.price_gates(events, "value"),
-        *gates.transaction_gates(events, "label"),
+        *gates.transaction_gates(events, "label", *ROW_BOUNDS),
+        gates.row_count(*WIDE_ROW_BOUNDS),
         *gates.target_gates(events, "label"),
         *gates.series_gates(events, "day", "value"),
         *gates.score_gates(events, "label", "score", 0.5),
