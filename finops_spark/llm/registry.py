@@ -13,6 +13,7 @@ from finops_spark.llm import (
     line_dedup,
     quality,
     simhash,
+    spelling,
     substring_dedup,
     token_counts,
     toxicity,
@@ -72,6 +73,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, folder, "documents"))
+
+
 def registered() -> dict:
     queries = (
         op1_decontaminate,
@@ -84,6 +89,7 @@ def registered() -> dict:
         op8_quality_rules,
         op9_warc,
         op10_simhash,
+        op12_spelling,
     )
     return {q.__name__: q for q in queries}
 
@@ -94,4 +100,5 @@ def statements() -> dict[str, str]:
         "op3_line_dedup": line_dedup.SQL,
         "op5_substring_dedup": substring_dedup.SQL,
         "op9_warc": warc.SQL,
+        "op12_spelling": spelling.SQL,
     }
