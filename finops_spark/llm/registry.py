@@ -11,6 +11,7 @@ from finops_spark.llm import (
     decontaminate,
     language,
     line_dedup,
+    prefix_trie,
     quality,
     simhash,
     spelling,
@@ -77,6 +78,10 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, folder, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.build_trie(read(spark, folder, "conversations"))
+
+
 def registered() -> dict:
     queries = (
         op1_decontaminate,
@@ -90,6 +95,7 @@ def registered() -> dict:
         op9_warc,
         op10_simhash,
         op12_spelling,
+        op13_prefix_trie,
     )
     return {q.__name__: q for q in queries}
 
@@ -101,4 +107,5 @@ def statements() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.SQL,
         "op9_warc": warc.SQL,
         "op12_spelling": spelling.SQL,
+        "op13_prefix_trie": prefix_trie.SQL,
     }
