@@ -11,6 +11,7 @@ from finops_spark.llm import (
     decontaminate,
     language,
     line_dedup,
+    minhash,
     prefix_trie,
     quality,
     simhash,
@@ -74,6 +75,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents"))
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, folder, "documents"))
 
@@ -94,6 +99,7 @@ def registered() -> dict:
         op8_quality_rules,
         op9_warc,
         op10_simhash,
+        op11_minhash,
         op12_spelling,
         op13_prefix_trie,
     )
@@ -106,6 +112,7 @@ def statements() -> dict[str, str]:
         "op3_line_dedup": line_dedup.SQL,
         "op5_substring_dedup": substring_dedup.SQL,
         "op9_warc": warc.SQL,
+        "op11_minhash": minhash.SQL,
         "op12_spelling": spelling.SQL,
         "op13_prefix_trie": prefix_trie.SQL,
     }
