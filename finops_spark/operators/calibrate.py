@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finops_spark.errors import FitError
+from finops_spark.operators.isotonic import pool_violators
 from finops_spark.operators.models import train_gbt
 
 METHODS = ("sigmoid", "isotonic")
@@ -58,14 +59,20 @@ def fit_sigmoid(scored: DataFrame, label: str = "label", margin: str = "margin")
 
 def fit_isotonic(scored: DataFrame, label: str = "label", margin: str = "margin"):
     """Isotonic regression of the label on the margin; equal margins are averaged
-    first, with their row count as weight."""
+    first, with their row count as weight.
+
+    Violators are pooled by Spark in ranges; the model is made from the first and last
+    margin of each pooled block, which is the curve itself."""
     m = vector_to_array(F.col(margin))[0]
-    grouped = scored.groupBy(m.alias(margin)).agg(
+    grouped = scored.groupBy(m.alias("m")).agg(
         F.avg(F.col(label).cast("double")).alias("target"), F.count(F.lit(1)).cast("double").alias("weight")
     )
-    if grouped.isEmpty():
+    blocks = pool_violators(grouped, "m", "target", "weight")
+    if blocks.isEmpty():
         raise FitError("calibration table is empty")
-    rows = grouped.select(array_to_vector(F.array(margin)).alias(margin), "target", "weight")
+    ends = F.explode(F.array_distinct(F.array("lo", "hi"))).alias("m")
+    corners = blocks.select(ends, (F.col("total") / F.col("weight")).alias("target"), "weight")
+    rows = corners.select(array_to_vector(F.array("m")).alias(margin), "target", "weight")
     return IsotonicRegression(
         featuresCol=margin, labelCol="target", weightCol="weight", predictionCol="calibrated_value"
     ).fit(rows)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +19,9 @@ from pyspark.sql import types as T
 from finops_spark.errors import FitError, SchemaError
 from finops_spark.functions.scalar import null_if_nan, numeric_columns, string_columns
 from finops_spark.operators.gates import same_columns
+from finops_spark.operators.levels import LevelIndexer, SlotNames
 from finops_spark.operators.medians import exact_medians, exact_modes
 
-# Levels of one text column that an encoder takes; each is kept by the driver and is a slot or code of the model.
-MAX_LEVELS = 10_000
-
 
 def column_roles(df: DataFrame) -> tuple[list[str], list[str]]:
     """(numeric, categorical) columns by type; booleans are categorical."""
@@ -87,7 +85,7 @@ def fit_feature_pipeline(
     numeric: Sequence[str] | None = None,
     categorical: Sequence[str] | None = None,
     features_col: str = "features",
-) -> tuple[PipelineModel, list[str]]:
+) -> tuple[PipelineModel, SlotNames]:
     """Fill, standardise and one-hot encode; fitted on the training rows only.
 
     Returns the pipeline and the names of the vector's entries, numeric block
@@ -100,8 +98,7 @@ def fit_feature_pipeline(
         raise FitError("training table is empty")
     stages: list = []
     inputs: list[str] = []
-    names: list[str] = list(numeric)
-    current = train
+    names = SlotNames(numeric)
     if numeric:
         fits = fit_numeric(train, numeric)
         scaled = _with_columns([standardized(c, fits[c], f"{c}__std") for c in numeric])
@@ -113,17 +110,11 @@ def fit_feature_pipeline(
         empty = sorted(set(categorical) - set(modes))
         if empty:
             raise FitError(f"columns {empty} have no values")
-        check_levels(texts, categorical)
         filled = _with_columns(
             [f"coalesce(cast(`{c}` AS string), {_text(modes[c])}) AS `{c}__cat`" for c in categorical]
         )
         current = filled.transform(train)
-        indexer = StringIndexer(
-            inputCols=[f"{c}__cat" for c in categorical],
-            outputCols=[f"{c}__idx" for c in categorical],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        ).fit(current)
+        indexer = LevelIndexer.fit_columns(current, {f"{c}__cat": f"{c}__idx" for c in categorical}, unseen=None)
         encoder = OneHotEncoder(
             inputCols=[f"{c}__idx" for c in categorical],
             outputCols=[f"{c}__hot" for c in categorical],
@@ -131,8 +122,7 @@ def fit_feature_pipeline(
         ).fit(indexer.transform(current))
         stages += [filled, indexer, encoder]
         inputs += [f"{c}__hot" for c in categorical]
-        for c, levels in zip(categorical, indexer.labelsArray):
-            names += [f"{c}={v}" for v in levels]
+        names = SlotNames(numeric, indexer, {f"{c}__cat": c for c in categorical})
     assembler = VectorAssembler(inputCols=inputs, outputCol=features_col, handleInvalid="keep")
     return PipelineModel(stages=[*stages, assembler]), names
 
@@ -143,33 +133,10 @@ def transform_splits(pipeline: PipelineModel, *frames: DataFrame) -> list[DataFr
     return [pipeline.transform(f) for f in frames]
 
 
-def check_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> None:
-    """Raise where a text column has (to within a few hundredths) more than ``limit`` levels: a fitted encoder holds them
-    all, on the driver and in the model. Such columns, ids above all, are to be dropped or
-    grouped before."""
-    counts = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
-    wide = {c: counts[c] for c in columns if counts[c] > limit}
-    if wide:
-        raise FitError(f"text columns with more than {limit} levels: {wide}")
-
-
 def fit_ordinal_encoder(train: DataFrame, columns: Sequence[str]) -> list:
     """Stages adding ``<column>_code``: alphabetical codes from 0, unseen levels -1."""
     columns = list(columns)
-    if not columns:
-        return []
-    check_levels(train, columns)
-    indexer = StringIndexer(
-        inputCols=columns,
-        outputCols=[f"{c}__idx" for c in columns],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(train)
-    codes = [
-        f"CASE WHEN `{c}__idx` >= {len(levels)} THEN -1D ELSE `{c}__idx` END AS `{c}_code`"
-        for c, levels in zip(columns, indexer.labelsArray)
-    ]
-    return [indexer, _with_columns(codes)]
+    return [LevelIndexer.fit_columns(train, {c: f"{c}_code" for c in columns})] if columns else []
 
 
 def ordinal_encode(df: DataFrame, encoder: Sequence, columns: Sequence[str]) -> DataFrame:

@@ -427,6 +427,26 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
         + """SELECT "TransactionID", CAST(coalesce(c.code, -1) AS INTEGER) AS card_type,
   CAST(coalesce(k.code, -1) AS INTEGER) AS merchant_category
 FROM filled f LEFT JOIN cards c ON f.card_type = c.v LEFT JOIN kinds k ON f.m = k.v""",
+        "ordinal_many_levels": _with(
+            TRANSACTIONS,
+            """devices AS (SELECT 'd-' || CAST("TransactionID" AS VARCHAR) AS v FROM transactions WHERE "TransactionID" % 31 <> 0)""",
+            "codes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT v FROM devices))",
+        )
+        + """SELECT "TransactionID", coalesce(code, -1) AS code FROM transactions LEFT JOIN codes ON v = 'd-' || CAST("TransactionID" AS VARCHAR)""",
+        "transaction_features": _with(
+            TRANSACTIONS,
+            """everyone AS (SELECT *, 'd-' || CAST("TransactionID" AS VARCHAR) AS device FROM transactions)""",
+            """seen AS (SELECT * FROM everyone WHERE "TransactionID" % 31 <> 0)""",
+            "common AS (SELECT merchant_category AS c FROM seen WHERE merchant_category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
+            """filled AS (SELECT *, coalesce(merchant_category, (SELECT c FROM common)) AS kind FROM everyone)""",
+            "cards AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT card_type AS v FROM seen))",
+            "kinds AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(merchant_category, (SELECT c FROM common)) AS v FROM seen))",
+            "devices AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT device AS v FROM seen))",
+        )
+        + """SELECT "TransactionID", round(ln(1 + "TransactionAmt"), 9) AS log_amount, CAST(("TransactionDT" // 3600) % 24 AS DOUBLE) AS hour_of_day,
+  CAST(("TransactionDT" // 86400 + 1) % 7 AS DOUBLE) AS day_of_week, "V1", CAST(coalesce(cards.code, -1) AS DOUBLE) AS card_type,
+  CAST(coalesce(kinds.code, -1) AS DOUBLE) AS merchant_category, CAST(coalesce(devices.code, -1) AS DOUBLE) AS device
+FROM filled LEFT JOIN cards ON cards.v = card_type LEFT JOIN kinds ON kinds.v = kind LEFT JOIN devices ON devices.v = device""",
         "one_hot": _with(TRANSACTIONS)
         + """SELECT "TransactionID", CAST(card_type = '1-URGENT' AS INTEGER) AS is_1_urgent, CAST(card_type = '2-HIGH' AS INTEGER) AS is_2_high,
   CAST(card_type = '4-NOT SPECIFIED' AS INTEGER) AS is_4_not_specified, CAST(card_type = '5-LOW' AS INTEGER) AS is_5_low,

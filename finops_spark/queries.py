@@ -337,6 +337,29 @@ def q_ordinal_encode(spark, folder):
     return coded.select("TransactionID", *[F.col(n).cast("int").alias(n) for n in names])
 
 
+def many_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions with a text column that differs in every row."""
+    return transactions(spark, folder).withColumn("device", F.concat(F.lit("d-"), F.col("TransactionID").cast("string")))
+
+
+def q_ordinal_many_levels(spark, folder):
+    """Codes of a text column with a level for every row, one in 31 of them not seen in training."""
+    data = many_levels(spark, folder)
+    seen = data.filter(F.col("TransactionID") % 31 != 0)
+    coded = encode.ordinal_encode(data, encode.fit_ordinal_encoder(seen, ["device"]), ["device"])
+    return coded.select("TransactionID", F.col("device").cast("long").alias("code"))
+
+
+def q_transaction_features(spark, folder):
+    """The feature vector of every transaction, by a pipeline fitted on all but one in 31 of them."""
+    data = many_levels(spark, folder)
+    seen = data.filter(F.col("TransactionID") % 31 != 0)
+    fitted = models.fit_transaction_pipeline(seen, repair.fit_repair(seen, "is_fraud", fill_all=True, ids=["TransactionID"]), use_log=True, ids=["TransactionID"])
+    x = models.vector_to_array(F.col("features"))
+    out = models.run_stages(data, fitted.base)
+    return out.select("TransactionID", *[F.round(x[i], 9).alias(n) for i, n in enumerate(fitted.feature_names)])
+
+
 def q_one_hot(spark, folder):
     data = transactions(spark, folder).select("TransactionID", "card_type", "merchant_category")
     seen = data.filter(F.col("card_type") != "3-MEDIUM")

@@ -322,3 +322,65 @@ def test_row_bounds_are_off_unless_given(spark):
     enforce(gate_report(table, transaction_gates(table)))
     with pytest.raises(GateError):
         enforce(gate_report(table, transaction_gates(table, max_rows=600_000)))
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_levels_without_a_cap(spark, tmp_path, monkeypatch, broadcast_bytes):
+    """More levels than an encoder in the driver's memory would take: codes, one-hot slots and a saved pipeline agree."""
+    from finops_spark.operators import levels
+
+    monkeypatch.setattr(levels, "BROADCAST_BYTES", broadcast_bytes)
+    n = 12_000
+    train = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 2 == 0).alias("even"), F.col("id").cast("double").alias("x"))
+    want = {k: i for i, k in enumerate(sorted(f"k{i}" for i in range(n)))}
+    new = spark.createDataFrame([("k0", True, 1.0), ("k11999", False, 2.0), ("other", None, 3.0), (None, True, 4.0)], "key string, even boolean, x double")
+    coded = encode.ordinal_encode(new, encode.fit_ordinal_encoder(train, ["key"]), ["key"])
+    assert sorted((r.key, r.x) for r in coded.collect()) == sorted([(want["k0"], 1.0), (want["k11999"], 2.0), (-1.0, 3.0), (-1.0, 4.0)])
+
+    pipeline, names = encode.fit_feature_pipeline(train, ["x"], ["key", "even"])
+    pipeline.write().overwrite().save(str(tmp_path / "pipeline"))
+    loaded = type(pipeline).load(str(tmp_path / "pipeline"))
+    assert len(names) == n + 3 and names[1] == "key=k0" and list(names)[-2:] == ["even=false", "even=true"]
+    for p in (pipeline, loaded):
+        slots = {r.x: r.features for r in p.transform(new).select("x", "features").collect()}
+        assert {int(i) for i in slots[2.0].indices} == {0, 1 + want["k11999"], 1 + n}
+        assert {int(i) for i in slots[3.0].indices} == {0, 1 + n}  # unseen: zeros; the flag is filled with the smaller mode
+
+
+def test_level_codes_over_ranges(spark):
+    """Many levels are numbered over sorted ranges, with the same result."""
+    from finops_spark.operators.levels import level_table
+
+    rows = spark.range(3_000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("a"), F.when(F.col("id") < 5, F.col("id").cast("string")).alias("b"))
+    plain, split = ({(r["column"], r["level"]): r["code"] for r in level_table(rows, ["a", "b"], n).collect()} for n in (10_000, 100))
+    assert plain == split and plain["a", "v10"] == 2 and plain["b", "4"] == 4 and len(plain) == 3_005
+
+
+@pytest.mark.parametrize("kind", ["noise", "falling", "rising", "humps"])
+def test_isotonic_blocks_equal_the_library(spark, kind):
+    """Pooling in many small ranges gives the blocks of a fit in one piece, whatever the shape."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    from finops_spark.operators.isotonic import pool_violators
+
+    rng = np.random.default_rng(4)
+    n = 600
+    x = rng.permutation(n).astype(float)
+    shape = {"noise": (x / n + rng.normal(0, 0.4, n)), "falling": -x, "rising": x, "humps": np.sin(x / 40)}[kind]
+    w = rng.integers(1, 5, n).astype(float)
+    table = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, shape, w)], "m double, y double, w double").repartition(4)
+    got = pool_violators(table, "m", "y", "w", block_rows=40).orderBy("lo").collect()
+    values = [r.total / r.weight for r in got]
+    assert values == sorted(values) and sum(r.weight for r in got) == w.sum() and all(a.hi < b.lo for a, b in zip(got, got[1:]))
+    model = IsotonicRegression(featuresCol="f", labelCol="y", weightCol="w").fit(table.withColumn("f", array_to_vector(F.array("m"))))
+    fitted = dict(zip(model.boundaries, model.predictions))
+    for r in got:
+        assert abs(fitted[r.lo] - r.total / r.weight) < 1e-9 and abs(fitted[r.hi] - r.total / r.weight) < 1e-9
+
+
+def test_isotonic_of_nothing(spark):
+    from finops_spark.operators.isotonic import pool_violators
+
+    assert pool_violators(spark.createDataFrame([], "m double, y double, w double"), "m", "y", "w").collect() == []
+    with pytest.raises(FitError):
+        calibrate.fit_isotonic(spark.createDataFrame([(array, 1) for array in []], "margin array<double>, label int").select(array_to_vector("margin").alias("margin"), "label"))
