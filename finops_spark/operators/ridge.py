@@ -2,8 +2,8 @@
 
 A ridge fit needs only counts, sums and sums of products. Those add up, so each
 row is aggregated once into the block between two fold boundaries, and the
-statistics of a fold's training range are sums over its blocks: rows are not
-repeated for each fold. A fit is then one small linear solve for each (series,
+statistics of a fold's training range are merged from its blocks: rows are not
+repeated for each fold. Folds use centred moments, which merge without losing digits. A fit is then one small linear solve for each (series,
 fold) row, done in Arrow batches on the executors.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from finops_spark.errors import FitError, GateError
 from finops_spark.functions.scalar import safe_ratio
+from finops_spark.operators.ordered import SPLIT_ROWS
 from finops_spark.operators.split import (
     first_train_end,
     fold_bounds,
@@ -28,6 +29,12 @@ from finops_spark.operators.split import (
 )
 
 ALL_ROWS = -1  # fold number of the final fit on every row
+_MODEL = [
+    T.StructField("coefficients", T.ArrayType(T.DoubleType())),
+    T.StructField("intercept", T.DoubleType()),
+    T.StructField("feature_mean", T.ArrayType(T.DoubleType())),
+    T.StructField("feature_scale", T.ArrayType(T.DoubleType())),
+]
 
 
 def _statistics(features: Sequence[str], label: str) -> dict[str, Column]:
@@ -47,6 +54,19 @@ def gram(df: DataFrame, features: Sequence[str], label: str = "target", by: Sequ
     return df.groupBy(*by).agg(*[c.alias(n) for n, c in _statistics(features, label).items()])
 
 
+def _models(n, mean, y_mean, centred, target, alpha: float, fit_intercept: bool) -> dict:
+    """Fits from counts, means and centred products of k groups at once."""
+    d = mean.shape[1]
+    spread = np.sqrt(np.maximum(np.einsum("kii->ki", centred) / n[:, None], 0.0))
+    scale = np.where(spread > 1e-12 * np.maximum(1.0, np.abs(mean)), spread, 1.0)
+    lhs = centred / (scale[:, :, None] * scale[:, None, :]) + alpha * np.eye(d)
+    weights = np.linalg.solve(lhs, (target / scale)[:, :, None])[:, :, 0]
+    raw = weights / scale
+    # Standardised features are centred, so the intercept is the mean of y.
+    start = (y_mean if fit_intercept else 0.0) - (raw * mean).sum(axis=1)
+    return {"coefficients": list(raw), "intercept": start, "feature_mean": list(mean), "feature_scale": list(scale)}
+
+
 def _solve_batches(d: int, alpha: float, fit_intercept: bool):
     upper = [(i, j) for i in range(d) for j in range(i, d)]
 
@@ -61,21 +81,49 @@ def _solve_batches(d: int, alpha: float, fit_intercept: bool):
             sy = b["s_y"].to_numpy(float)
             mean = sx / n[:, None]
             centred = sxx - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
-            spread = np.sqrt(np.maximum(np.einsum("kii->ki", centred) / n[:, None], 0.0))
-            scale = np.where(spread > 1e-12 * np.maximum(1.0, np.abs(mean)), spread, 1.0)
-            y_mean = sy / n
-            target = sxy - mean * sy[:, None]
-            lhs = centred / (scale[:, :, None] * scale[:, None, :]) + alpha * np.eye(d)
-            weights = np.linalg.solve(lhs, (target / scale)[:, :, None])[:, :, 0]
-            raw = weights / scale
-            # Standardised features are centred, so the intercept is the mean of y.
-            start = (y_mean if fit_intercept else 0.0) - (raw * mean).sum(axis=1)
-            out = b[[c for c in b.columns if not c.startswith("s_")]].copy()
-            out["coefficients"] = list(raw)
-            out["intercept"] = start
-            out["feature_mean"] = list(mean)
-            out["feature_scale"] = list(scale)
-            yield out
+            fitted = _models(n, mean, sy / n, centred, sxy - mean * sy[:, None], alpha, fit_intercept)
+            yield b[[c for c in b.columns if not c.startswith("s_")]].assign(**fitted)
+
+    return run
+
+
+def _moments(features: Sequence[str], label: str) -> dict[str, Column]:
+    """Count, means and centred products of features and label; Spark merges partial ones pairwise, so nothing far
+    from zero is squared."""
+    columns = [F.col(c).cast("double") for c in (*features, label)]
+    n = F.count(F.lit(1))
+    products = [F.covar_pop(a, b) * n for i, a in enumerate(columns) for b in columns[i:]]
+    return {"n": n, "means": F.array(*[F.avg(c) for c in columns]), "products": F.array(*products)}
+
+
+def merged_moments(n, means, products):
+    """Moments of several stretches taken together, by the update of Chan, Golub and LeVeque."""
+    total, mean, product = float(n[0]), means[0].copy(), products[0].copy()
+    for k in range(1, len(n)):
+        apart, both = means[k] - mean, total + n[k]
+        product += products[k] + np.outer(apart, apart) * (total * n[k] / both)
+        mean += apart * (n[k] / both)
+        total = both
+    return total, mean, product
+
+
+def _solve_folds(d: int, alpha: float, fit_intercept: bool):
+    upper = np.triu_indices(d + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            whole = []
+            for parts in b["parts"]:
+                products = np.zeros((len(parts), d + 1, d + 1))
+                for k, p in enumerate(parts):
+                    products[k][upper] = p["products"]
+                    products[k] += np.triu(products[k], 1).T
+                whole.append(merged_moments([p["n"] for p in parts], [np.array(p["means"], float) for p in parts], products))
+            n = np.array([w[0] for w in whole])
+            mean = np.array([w[1] for w in whole]).reshape(-1, d + 1)
+            product = np.array([w[2] for w in whole]).reshape(-1, d + 1, d + 1)
+            fitted = _models(n, mean[:, :d], mean[:, d], product[:, :d, :d], product[:, :d, d], alpha, fit_intercept)
+            yield b.drop(columns="parts").assign(n=n.astype("int64"), **fitted)
 
     return run
 
@@ -91,17 +139,7 @@ def solve_ridge(
     if alpha <= 0:
         raise FitError(f"alpha must be positive, got {alpha}")
     kept = [f for f in statistics.schema.fields if not f.name.startswith("s_")]
-    doubles = T.ArrayType(T.DoubleType())
-    schema = T.StructType(
-        kept
-        + [
-            T.StructField("coefficients", doubles),
-            T.StructField("intercept", T.DoubleType()),
-            T.StructField("feature_mean", doubles),
-            T.StructField("feature_scale", doubles),
-        ]
-    )
-    return statistics.mapInPandas(_solve_batches(len(features), alpha, fit_intercept), schema)
+    return statistics.mapInPandas(_solve_batches(len(features), alpha, fit_intercept), T.StructType(kept + _MODEL))
 
 
 def predict(features: Sequence[str], coefficients: Column, intercept: Column) -> Column:
@@ -126,17 +164,6 @@ def fit_ridge(
 # --- cross-validation over time ---------------------------------------------------
 
 
-def _centred(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Subtract each column's series mean (kept as ``_c_<i>``).
-
-    A ridge fit with intercept does not depend on it, while sums of squares of
-    values far from zero lose digits. The series is already in one task.
-    """
-    w = Window.partitionBy(key)
-    means = df.withColumns({f"_c_{i}": F.avg(c).over(w) for i, c in enumerate(columns)})
-    return means.withColumns({c: F.col(c) - F.col(f"_c_{i}") for i, c in enumerate(columns)})
-
-
 def cv_models(
     samples: DataFrame,
     features: Sequence[str],
@@ -149,16 +176,14 @@ def cv_models(
 ) -> DataFrame:
     """(key, fold, n, coefficients, intercept, ...) of all folds and of all rows.
 
-    ``samples`` has row_idx and n_rows (``with_series_rows``). Fold ALL_ROWS is
-    the final refit.
+    ``samples`` has row_idx and n_rows. Fold ALL_ROWS is the final refit.
     """
     bounds = fold_bounds(F.col("n_rows"), expanding=expanding, **layout)
     base = first_train_end(F.col("n_rows"), expanding=expanding, **layout)
-    sums = _statistics(features, label)
     blocks = (
         samples.withColumn("_block", training_block(F.col("row_idx"), base, expanding, **layout))
         .groupBy(key, "n_rows", "_block")
-        .agg(*[c.alias(n) for n, c in sums.items()])
+        .agg(*[c.alias(n) for n, c in _moments(features, label).items()])
     )
     everything = F.struct(
         F.lit(ALL_ROWS).alias("fold"), F.lit(0).cast("long").alias("train_lo"), F.col("n_rows").alias("train_hi")
@@ -171,12 +196,13 @@ def cv_models(
         F.array(everything),
     )
     users = F.filter(ranges, lambda f: (F.col("_block") >= f["train_lo"]) & (F.col("_block") < f["train_hi"]))
-    statistics = (
-        blocks.withColumn("_f", F.explode(users))
-        .groupBy(key, F.col("_f.fold").alias("fold"))
-        .agg(*[F.sum(n).alias(n) for n in sums])
-    )
-    return solve_ridge(statistics, features, alpha, fit_intercept)
+    # A series has a few blocks for each fold, whatever its length.
+    part = F.struct("_block", "n", "means", "products")
+    folds = blocks.withColumn("_f", F.explode(users)).groupBy(key, F.col("_f.fold").alias("fold")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    if alpha <= 0:
+        raise FitError(f"alpha must be positive, got {alpha}")
+    kept = [f for f in folds.schema.fields if f.name != "parts"]
+    return folds.mapInPandas(_solve_folds(len(features), alpha, fit_intercept), T.StructType(kept + [T.StructField("n", T.LongType())] + _MODEL))
 
 
 def cv_predictions(
@@ -258,26 +284,18 @@ def cross_validate(
     label: str = "target",
     alpha: float = 1.0,
     expanding: bool = True,
+    split_rows: int = SPLIT_ROWS,
     **layout,
 ) -> tuple[DataFrame, DataFrame]:
-    """(fold metrics, models): every fold of every series, plus the final refit."""
-    columns = [*features, label]
+    """(fold metrics, models): every fold of every series, plus the final refit.
+
+    A series may be of any length: positions of one above ``split_rows`` come from ranges, its moments
+    are combined on the map side, and its rows meet its models in a join that may be split."""
     # A row without a series is an error, not a row less. Stated once here, the filter
     # the join needs is the same in every branch, and the branches share one shuffle.
     named = F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} has missing values")))
-    present = features_df.withColumn(key, named).filter(F.col(key).isNotNull())
-    samples = _centred(with_series_rows(present, key, date), key, columns)
+    present = features_df.withColumn(key, named).filter(F.col(key).isNotNull()).select(key, date, *features, label)
+    samples = with_series_rows(present, key, date, split_rows)
     models = cv_models(samples, features, key, label, alpha, True, expanding, **layout)
     metrics = fold_metrics(cv_predictions(samples, models, features, key, label, expanding, **layout), key)
-    shifts = samples.groupBy(key).agg(*[F.first(f"_c_{i}").alias(f"_c_{i}") for i in range(len(columns))])
-    shift = F.col("intercept") + F.col(f"_c_{len(features)}")
-    for i in range(len(features)):
-        shift = shift - F.col("coefficients")[i] * F.col(f"_c_{i}")
-    moved = F.transform("feature_mean", lambda m, i: m + F.array(*[F.col(f"_c_{j}") for j in range(len(features))])[i])
-    raw_models = (
-        models.join(shifts, key)
-        .withColumn("intercept", shift)
-        .withColumn("feature_mean", moved)
-        .drop(*[f"_c_{i}" for i in range(len(columns))])
-    )
-    return metrics, raw_models
+    return metrics, models

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from finops_spark.errors import SplitError
 from finops_spark.functions.scalar import require
+from finops_spark.operators.ordered import SPLIT_ROWS, with_position
 from finops_spark.session import store
 
 # Shares of the two standard layouts.
@@ -324,12 +325,9 @@ def assign_folds(
     return df.withColumn("_role", F.explode(roles)).select(*df.columns, "_role.fold", "_role.role")
 
 
-def with_series_rows(df: DataFrame, key: str = "series_id", date: str = "ts") -> DataFrame:
-    """Add ``row_idx`` and ``n_rows`` within each daily series (bounded length)."""
-    w = Window.partitionBy(key)
-    return df.withColumns(
-        {
-            "row_idx": F.row_number().over(w.orderBy(date)).cast("long") - 1,
-            "n_rows": F.count(F.lit(1)).over(w),
-        }
-    )
+def with_series_rows(df: DataFrame, key: str = "series_id", date: str = "ts", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Add ``row_idx`` and ``n_rows`` within each series, of any length: positions are written once, and the
+    counts join rows that Spark may split by itself."""
+    placed = store(with_position(df, [key], [date], "row_idx", split_rows=split_rows), "positions")
+    sizes = placed.groupBy(F.col(key).alias("_series")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return placed.join(sizes, F.col(key).eqNullSafe(F.col("_series"))).drop("_series")

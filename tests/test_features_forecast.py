@@ -392,3 +392,42 @@ def test_fold_metrics_of_two_years_by_closed_form(spark):
     rmses = np.array([r for r, _ in want])
     s = out.stability.first()
     np.testing.assert_allclose([s.rmse_mean, s.rmse_std, s.cv_percent], [rmses.mean(), rmses.std(), rmses.std() / rmses.mean() * 100], atol=1e-6)
+
+
+def test_moments_merge_like_one_piece():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (500, 3)) + 1e8
+    cuts = [0, 1, 40, 41, 300, 500]
+    parts = [x[a:b] for a, b in zip(cuts, cuts[1:])]
+    moments = [(len(p), p.mean(0), (p - p.mean(0)).T @ (p - p.mean(0))) for p in parts]
+    n, mean, product = ridge.merged_moments(*map(list, zip(*moments)))
+    assert n == 500
+    np.testing.assert_allclose(mean, x.mean(0), rtol=1e-15)
+    np.testing.assert_allclose(product, (x - x.mean(0)).T @ (x - x.mean(0)), rtol=1e-6, atol=1e-5)
+
+
+def test_a_series_longer_than_a_task_holds(spark):
+    """One series is placed by ranges, values lie far from zero; folds and models are those of a plain fit."""
+    rng = np.random.default_rng(3)
+    n = 900
+    x = rng.normal(0, 1, (n, 2)) + np.array([1e7, -3e6])
+    y = 2.0 * (x[:, 0] - 1e7) - 0.5 * (x[:, 1] + 3e6) + 5e6 + rng.normal(0, 0.1, n)
+    start = dt.date(2000, 1, 1)
+    rows = [("long", start + dt.timedelta(i), float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(n)]
+    rows += [("short", start + dt.timedelta(i), float(x[i, 1]), float(x[i, 0]), float(y[i])) for i in range(80)]
+    samples = spark.createDataFrame(rows, "series_id string, ts date, a double, b double, target double").repartition(5)
+    out = {}
+    for split_rows in (200, 10_000):
+        metrics, fitted = ridge.cross_validate(samples, ["a", "b"], split_rows=split_rows, n_splits=3, valid_size=20)
+        out[split_rows] = ({(r.series_id, r.fold): (r.n_samples, r.rmse) for r in metrics.collect()}, {(r.series_id, r.fold): (r.n, *r.coefficients, r.intercept) for r in fitted.collect()})
+    for a, b in zip(out[200], out[10_000]):
+        assert set(a) == set(b)
+        for k in a:
+            np.testing.assert_allclose(a[k], b[k], rtol=1e-7)
+    for fold, end in enumerate((840, 860, 880)):
+        m, s = x[:end].mean(0), x[:end].std(0)
+        z = (x[:end] - m) / s
+        w = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y[:end] - y[:end].mean())) / s
+        np.testing.assert_allclose(out[200][1]["long", fold][1:3], w, rtol=1e-6)
+        valid = y[end : end + 20] - (x[end : end + 20] - m) @ w - y[:end].mean()
+        np.testing.assert_allclose(out[200][0]["long", fold], (20, np.sqrt((valid**2).mean())), rtol=1e-5)
