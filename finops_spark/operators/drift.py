@@ -109,24 +109,28 @@ def leakage_audit(df: DataFrame, fitted: FittedBins, label: str, period: str, li
     window where the correlation is beyond ``limit`` either way."""
     require(df, [label, period], "table to audit")
     rows = _long(df.where(F.col(label).isNotNull()), fitted, F.col(period).alias("period"), F.col(label).cast("double").alias("y"))
-    # Sums of values far from zero lose digits: each number is taken from its middle edge.
-    middle = F.coalesce(*[F.when(F.col("feature") == c, F.lit(float(e[len(e) // 2]))) for c, e in fitted.edges.items() if e], F.lit(0.0))
-    x = F.col("x") - middle
-    y = F.when(F.col("x").isNotNull(), F.col("y"))
-    sums = {"k": F.count("x"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y), "syy": F.sum(y * y)}
-    cells = rows.groupBy("period", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n1"), *[c.alias(a) for a, c in sums.items()])
+    # Centred moments of each cell, which Spark merges pairwise: values far from zero keep their digits.
+    x, y = F.col("x"), F.when(F.col("x").isNotNull(), F.col("y"))
+    k = F.count("x")
+    moments = {"k": k, "mx": F.avg(x), "my": F.avg(y), "xx": F.var_pop(x) * k, "xy": F.covar_pop(x, y) * k, "yy": F.var_pop(y) * k}
+    cells = rows.groupBy("period", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n1"), *[c.alias(a) for a, c in moments.items()])
     # from here on a few rows for each window and feature, or one for each level of a text
-    margins = cells.groupBy(F.col("period").alias("_p"), F.col("feature").alias("_f")).agg(F.sum("n").alias("_n"), F.sum("n1").alias("_n1"))
+    margins = cells.groupBy(F.col("period").alias("_p"), F.col("feature").alias("_f")).agg(
+        F.sum("n").alias("_n"), F.sum("n1").alias("_n1"), *[F.try_divide(F.sum(F.col("k") * F.col(m)), F.sum("k")).alias(f"_{m}") for m in ("mx", "my")]
+    )
     joined = cells.join(margins, F.col("period").eqNullSafe(F.col("_p")) & (F.col("feature") == F.col("_f")))
 
     def part(cell: Column, side: Column) -> Column:
         return F.when(cell > 0, cell / F.col("_n") * F.log(cell * F.col("_n") / (F.col("n") * side))).otherwise(F.lit(0.0))
 
     information = part(F.col("n1"), F.col("_n1")) + part(F.col("n") - F.col("n1"), F.col("_n") - F.col("_n1"))
-    out = joined.groupBy("period", "feature").agg(F.sum("n").alias("n"), F.sum(information).alias("mutual_information"), *[F.sum(a).alias(a) for a in sums])
-    k, sx, sy = F.col("k").cast("double"), F.col("sx"), F.col("sy")
-    spread = (F.col("sxx") - sx * sx / k) * (F.col("syy") - sy * sy / k)
-    flat = (F.col("sxx") - sx * sx / k <= 1e-12 * F.col("sxx")) | (F.col("syy") - sy * sy / k <= 1e-12 * F.col("syy"))
-    correlation = F.when((k > 1) & ~flat, (F.col("sxy") - sx * sy / k) / F.sqrt(spread))
-    out = out.withColumn("correlation", correlation)
+    dx, dy = F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
+    whole = {"xx": dx * dx, "xy": dx * dy, "yy": dy * dy}
+    out = joined.groupBy("period", "feature").agg(
+        F.sum("n").alias("n"), F.sum(information).alias("mutual_information"), F.sum("k").alias("k"), F.max(F.abs("_mx")).alias("_mx"),
+        *[F.sum(F.col(m) + F.col("k") * apart).alias(m) for m, apart in whole.items()],
+    )
+    # a constant is off its mean by rounding only
+    varies = (F.col("xx") > F.col("k") * F.pow(1e-13 * F.col("_mx"), 2)) & (F.col("yy") > 1e-24)
+    out = out.withColumn("correlation", F.when((F.col("k") > 1) & varies, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))))
     return out.select("period", "feature", "n", "correlation", "mutual_information", F.coalesce(F.abs("correlation") > limit, F.lit(False)).alias("leaks"))

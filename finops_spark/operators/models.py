@@ -102,7 +102,9 @@ def train_forest(
     n_trees: int = 100,
     max_depth: int = 10,
     seed: int = SEED,
+    bootstrap: bool = True,
 ):
+    """Balanced random forest; without ``bootstrap`` every tree takes every row."""
     weighted, _ = balanced_weights(train, label)
     return RandomForestClassifier(
         labelCol=label,
@@ -111,6 +113,7 @@ def train_forest(
         numTrees=n_trees,
         maxDepth=max_depth,
         seed=seed,
+        bootstrap=bootstrap,
     ).fit(weighted)
 
 

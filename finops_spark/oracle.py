@@ -226,6 +226,38 @@ newton AS (
 fit AS (SELECT a, b FROM newton WHERE step = {rounds})"""
 
 
+def _edges(name: str, source: str, columns) -> str:
+    """Decile edges (feature, e) of each column: the values at ranks ceil(i / 10 * n)."""
+    parts = [
+        f"SELECT '{c}' AS feature, list_sort(list_distinct(list_transform(range(1, 10), lambda i: v[CAST(ceil(i / 10 * len(v)) AS BIGINT)]))) AS e FROM (SELECT list_sort(list(CAST(\"{c}\" AS DOUBLE))) AS v FROM {source} WHERE \"{c}\" IS NOT NULL)"
+        for c in columns
+    ]
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+
+def _long(name: str, source: str, kept: str, numbers, texts) -> str:
+    """(kept, feature, x, bin) of every row and feature."""
+    parts = [
+        f"SELECT {kept}, '{c}' AS feature, CAST(\"{c}\" AS DOUBLE) AS x, CASE WHEN \"{c}\" IS NULL THEN 'missing' ELSE CAST(len(list_filter(e, lambda t: t <= \"{c}\")) AS VARCHAR) END AS bin FROM {source}, edges WHERE feature = '{c}'"
+        for c in numbers
+    ] + [f"SELECT {kept}, '{c}' AS feature, NULL AS x, coalesce('=' || \"{c}\", 'missing') AS bin FROM {source}" for c in texts]
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+
+def _psi(last: str) -> str:
+    numbers, texts = ("l_quantity", "l_discount", "l_extendedprice", "l_tax"), ("l_returnflag",)
+    return _with(
+        """lines AS (SELECT l_quantity, l_discount, l_returnflag, nullif(l_tax, 0) AS l_tax, CAST(l_shipdate AS DATE) >= DATE '1995-06-17' AS late,
+    CASE WHEN CAST(l_shipdate AS DATE) >= DATE '1995-06-17' THEN l_extendedprice * 1.5 ELSE l_extendedprice END AS l_extendedprice FROM lineitem)""",
+        "early AS (SELECT * FROM lines WHERE NOT late)",
+        _edges("edges", "early", numbers),
+        _long("rows_", "lines", "late", numbers, texts),
+        "cells AS (SELECT feature, bin, count(*) FILTER (NOT late) AS r, count(*) FILTER (late) AS c FROM rows_ GROUP BY ALL)",
+        "shares AS (SELECT feature, r, c, greatest(r / sum(r) OVER f, 0.0001) AS p, greatest(c / sum(c) OVER f, 0.0001) AS q FROM cells WINDOW f AS (PARTITION BY feature))",
+        """psi AS (SELECT feature, CAST(sum(r) AS BIGINT) AS n_reference, CAST(sum(c) AS BIGINT) AS n_current, count(*) AS bins, sum((q - p) * ln(q / p)) AS psi FROM shares GROUP BY feature)""",
+    ) + last
+
+
 BINNED = """binned AS (SELECT least(floor("TransactionAmt" / 50000), 6)::DOUBLE AS bin, is_fraud AS label FROM transactions),
 sizes AS (SELECT count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS np FROM transactions)"""
 
@@ -258,6 +290,11 @@ def statements() -> dict[str, str]:
 
 
 def _statements() -> dict[str, str]:
+    named_metrics = """SELECT tp, n - tp AS fp, n_int - n_hit AS fn, round(coalesce(tp::DOUBLE / nullif(n, 0), 0), 6) AS precision,
+  round(coalesce(n_hit::DOUBLE / nullif(n_int, 0), 0), 6) AS recall, round(coalesce(lat, 0), 6) AS avg_latency
+FROM (SELECT (SELECT CAST(coalesce(sum(n_flags), 0) AS BIGINT) FROM firsts) AS tp, (SELECT count(*) FROM flagged) AS n,
+  (SELECT count(*) FROM outcomes) AS n_int, (SELECT count(*) FROM outcomes WHERE is_hit) AS n_hit,
+  (SELECT avg(latency) FROM outcomes) AS lat)"""
     return {
         "flat_feed_flags": """
 SELECT user_id, ts, event_id, round(rolling_stdev, 6) AS rolling_stdev FROM (
@@ -298,12 +335,7 @@ FROM counted c LEFT JOIN firsts f ON c.asset = f.asset AND c.date = f.date""",
 FROM labelled l LEFT JOIN first_flags f ON l.seq = f.seq
 LEFT JOIN numbered a ON a.asset = l.asset AND a.date = l.start_date
 LEFT JOIN numbered b ON b.asset = l.asset AND b.date = f.first_flag""",
-        "interval_metrics": _with(MATCHED, OUTCOMES)
-        + """SELECT tp, n - tp AS fp, n_int - n_hit AS fn, round(coalesce(tp::DOUBLE / nullif(n, 0), 0), 6) AS precision,
-  round(coalesce(n_hit::DOUBLE / nullif(n_int, 0), 0), 6) AS recall, round(coalesce(lat, 0), 6) AS avg_latency
-FROM (SELECT (SELECT CAST(coalesce(sum(n_flags), 0) AS BIGINT) FROM firsts) AS tp, (SELECT count(*) FROM flagged) AS n,
-  (SELECT count(*) FROM outcomes) AS n_int, (SELECT count(*) FROM outcomes WHERE is_hit) AS n_hit,
-  (SELECT avg(latency) FROM outcomes) AS lat)""",
+        "interval_metrics": _with(MATCHED, OUTCOMES) + named_metrics,
         "interval_idx_to_date": """
 WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date) - 1 AS i FROM days),
@@ -447,6 +479,21 @@ FROM filled f LEFT JOIN cards c ON f.card_type = c.v LEFT JOIN kinds k ON f.m =
   CAST(("TransactionDT" // 86400 + 1) % 7 AS DOUBLE) AS day_of_week, "V1", CAST(coalesce(cards.code, -1) AS DOUBLE) AS card_type,
   CAST(coalesce(kinds.code, -1) AS DOUBLE) AS merchant_category, CAST(coalesce(devices.code, -1) AS DOUBLE) AS device
 FROM filled LEFT JOIN cards ON cards.v = card_type LEFT JOIN kinds ON kinds.v = kind LEFT JOIN devices ON devices.v = device""",
+        "psi_by_feature": _psi("SELECT feature, n_reference, n_current, bins, round(psi, 9) AS psi, psi > 0.1 AS unstable FROM psi"),
+        "psi_alert": _psi("SELECT count(*) AS features, count(*) FILTER (psi > 0.1) AS unstable_features, round(sum(psi), 9) AS total_psi, sum(psi) > 0.2 AS alert FROM psi"),
+        "leakage_audit": _with(
+            TRANSACTIONS,
+            """everyone AS (SELECT t.*, CAST(year(o_orderdate) AS INTEGER) AS period, is_fraud * 100.0::DOUBLE + "V1" / 10 AS planted FROM transactions t JOIN orders ON o_orderkey = "TransactionID")""",
+            _edges("edges", "everyone", ("TransactionAmt", "V1", "planted")),
+            _long("rows_", "everyone", "period, is_fraud", ("TransactionAmt", "V1", "planted"), ("card_type", "merchant_category")),
+            "cells AS (SELECT period, feature, bin, count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS n1 FROM rows_ GROUP BY ALL)",
+            "sided AS (SELECT *, sum(n) OVER w AS tn, sum(n1) OVER w AS t1 FROM cells WINDOW w AS (PARTITION BY period, feature))",
+            """info AS (SELECT period, feature, sum(CASE WHEN n1 > 0 THEN n1 / tn * ln(n1 * tn / (n * t1)) ELSE 0 END
+    + CASE WHEN n > n1 THEN (n - n1) / tn * ln((n - n1) * tn / (n * (tn - t1))) ELSE 0 END) AS mi FROM sided GROUP BY ALL)""",
+            """correlations AS (SELECT period, feature, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(is_fraud) > 0 THEN corr(x, is_fraud) END AS r FROM rows_ GROUP BY ALL)""",
+        )
+        + """SELECT period, feature, n, round(r, 7) AS correlation, round(mi, 9) AS mutual_information, coalesce(abs(r) > 0.8, false) AS leaks
+FROM correlations JOIN info USING (period, feature)""",
         "one_hot": _with(TRANSACTIONS)
         + """SELECT "TransactionID", CAST(card_type = '1-URGENT' AS INTEGER) AS is_1_urgent, CAST(card_type = '2-HIGH' AS INTEGER) AS is_2_high,
   CAST(card_type = '4-NOT SPECIFIED' AS INTEGER) AS is_4_not_specified, CAST(card_type = '5-LOW' AS INTEGER) AS is_5_low,
@@ -668,6 +715,36 @@ FROM (SELECT card_type, 1 / (1 + exp(-(a + b * ("TransactionAmt" - m) / s))) AS
         # Labels -1 and 1: the best cut has the largest sum of squares between its sides; probability = logistic(2 * mean).
         "boosting_stump": _with(TRANSACTIONS, BINNED, STUMP.format(weights="1.0::DOUBLE", score="sl * sl / nl + sr * sr / nr", least=5))
         + """SELECT bin, round(1 / (1 + exp(-2 * CASE WHEN bin <= cut THEN sl / nl ELSE sr / nr END)), 6) AS p FROM cells, best""",
+        "forest_stump": _with(
+            TRANSACTIONS,
+            BINNED,
+            STUMP.format(weights="CASE WHEN label = 1 THEN sizes.n / (2 * np) ELSE sizes.n / (2 * (sizes.n - np)) END", score="sl * sl / nl + sr * sr / nr", least=1),
+        )
+        + """SELECT bin, round(CASE WHEN bin <= cut THEN (nl + sl) / (2 * nl) ELSE (nr + sr) / (2 * nr) END, 6) AS p FROM cells, best""",
+        "calibrated_stump": _with(
+            TRANSACTIONS,
+            BINNED,
+            STUMP.format(weights="1.0::DOUBLE", score="sl * sl / nl + sr * sr / nr", least=5),
+            "goals AS (SELECT (np + 1) / (np + 2) AS hi, 1 / (n - np + 2) AS lo FROM sizes)",
+        )
+        + """SELECT bin, round(CASE WHEN bin <= cut THEN ((nl + sl) * hi + (nl - sl) * lo) / (2 * nl) ELSE ((nr + sr) * hi + (nr - sr) * lo) / (2 * nr) END, 4) AS p_cal
+FROM cells, best, goals""",
+        "monitor_flow": _with(
+            "daily AS (SELECT CAST(user_id AS VARCHAR) AS asset, CAST(ts AS DATE) AS date, round(avg(value), 4) AS price FROM events GROUP BY ALL)",
+            """flagged AS (SELECT asset, date, rolling_stdev FROM (SELECT asset, date, CASE WHEN count(price) OVER w = 3 THEN stddev_pop(price) OVER w END AS rolling_stdev
+    FROM daily WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE rolling_stdev < 40)""",
+            INTERVALS,
+            COUNTS,
+            PAIRS,
+            FIRST,
+            OUTCOMES,
+        )
+        + named_metrics,
+        "forecast_flow": _with(SUPPLIER, SAMPLES, CV, SOLVE, CV_METRICS)
+        + """SELECT * FROM (SELECT series_id, count(*) AS n_samples, min(ts) AS first_date, max(ts) AS last_date FROM series GROUP BY series_id)
+JOIN (SELECT series_id, count(*) AS folds, round(avg(rmse), 2) AS rmse_mean, round(stddev_pop(rmse), 2) AS rmse_std,
+  round(stddev_pop(rmse) / avg(rmse) * 100, 6) AS cv_percent, stddev_pop(rmse) / avg(rmse) * 100 <= 15 AS stable FROM metrics GROUP BY series_id) USING (series_id),
+  (SELECT 'lag_1,lag_7' AS features, 2 AS n_features, '1,7' AS lags, false AS with_calendar, 1.0::DOUBLE AS alpha)""",
         "mixed_vectors": _with(
             TRANSACTIONS,
             """filled AS (SELECT * REPLACE (coalesce(merchant_category, (SELECT merchant_category FROM transactions

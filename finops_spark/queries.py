@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from finops_spark.functions.scalar import above_threshold, calendar, hour_of_seconds, weekday_of_seconds
 from finops_spark.operators import alerts, curves, error_analysis, features, forecast, gates, intervals, models
-from finops_spark.operators import calibrate, calibration_metrics, encode, medians, repair, ridge, split
+from finops_spark.operators import calibrate, calibration_metrics, drift, encode, medians, repair, ridge, split
 from finops_spark.operators.flat import flag_flat, rolling_stdev
 from finops_spark.operators.ordered import with_position
+from finops_spark.plans.forecasting import run_forecasting
 from finops_spark.plans.fraud import run_fraud_scoring, run_fraud_training
+from finops_spark.plans.monitor import run_monitor
 from finops_spark.session import cut_lineage, shared_folder, store
 from finops_spark.sources import readers, writers
 
@@ -623,6 +625,34 @@ def q_fraud_scoring(spark, folder):
     return run_fraud_scoring(spark, data.drop("is_fraud"), trained.bundle)
 
 
+# --- drift and leakage ---------------------------------------------------------------------------
+
+
+def _drift_batches(spark, folder):
+    """Line items shipped before a day, and those from it on, dearer and with fewer flags."""
+    lines = table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_returnflag", "l_extendedprice", F.nullif("l_tax", F.lit(0.0)).alias("l_tax"), (F.to_date("l_shipdate") < F.lit("1995-06-17").cast("date")).alias("early"))
+    early = lines.filter("early").drop("early")
+    late = lines.filter("not early").drop("early").withColumn("l_extendedprice", F.col("l_extendedprice") * 1.5)
+    return early, late, drift.fit_bins(early, early.columns, accuracy=1_000_000)
+
+
+def q_psi_by_feature(spark, folder):
+    return _rounded(drift.psi_by_feature(*_drift_batches(spark, folder)), 9, "psi")
+
+
+def q_psi_alert(spark, folder):
+    return _rounded(drift.psi_alert(drift.psi_by_feature(*_drift_batches(spark, folder))), 9, "total_psi")
+
+
+def q_leakage_audit(spark, folder):
+    """Every feature against the label by year; the planted one follows the label."""
+    data = transactions(spark, folder).withColumn("year", F.year(F.timestamp_seconds(F.col("TransactionDT") - F.col("TransactionID") * 977)))
+    data = data.withColumn("planted", F.col("is_fraud") * 100.0 + F.col("V1") / 10)
+    fitted = drift.fit_bins(data, ["TransactionAmt", "V1", "planted", "card_type", "merchant_category"], accuracy=1_000_000)
+    out = drift.leakage_audit(data, fitted, "is_fraud", "year")
+    return _rounded(_rounded(out, 7, "correlation"), 9, "mutual_information")
+
+
 # --- reading and writing files in the shared folder ---------------------------------------------
 
 
@@ -797,6 +827,37 @@ def q_boosting_stump(spark, folder):
     return out.select("bin", F.round(models.positive_probability(), 6).alias("p"))
 
 
+def q_forest_stump(spark, folder):
+    """A balanced forest of one tree of depth 1, which takes every row, at every value of its feature."""
+    data = _binned(spark, folder)
+    model = models.train_forest(data, n_trees=1, max_depth=1, bootstrap=False)
+    out = model.transform(data.select("bin", "features").distinct())
+    return out.select("bin", F.round(models.positive_probability(), 6).alias("p"))
+
+
+def q_calibrated_stump(spark, folder):
+    """A boosted stump calibrated on its own rows: two margins, which the logistic curve meets."""
+    data = _binned(spark, folder)
+    _, calibrated = calibrate.train_and_calibrate(data, data, n_trees=1, max_depth=1, subsample=1.0)
+    out = calibrated.transform(data.select("bin", "features").distinct())
+    return out.select("bin", F.round(calibrate.calibrated_probability(out), 4).alias("p_cal"))
+
+
+def q_monitor_flow(spark, folder):
+    """The monitor from daily prices and labels to its metrics, with all gates."""
+    events = table(spark, folder, "events")
+    prices = events.groupBy(F.col("user_id").cast("string").alias("asset"), F.to_date("ts").alias("date")).agg(F.round(F.avg("value"), 4).alias("price"))
+    result = run_monitor(spark, prices, user_intervals(spark, folder), window=3, threshold=40.0)
+    return _rounded(result.metrics, 6, ("precision", "recall", "avg_latency"))
+
+
+def q_forecast_flow(spark, folder):
+    """Metadata of a forecasting run over all suppliers, but for its time stamp."""
+    result = run_forecasting(spark, supplier_series(spark, folder), lags=[1, 7], windows=[], with_calendar=False, max_cv_percent=15.0, strict=False, **CV_LAYOUT)
+    out = result.metadata.drop("created_at", "windows").withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("features", "lags")})
+    return _rounded(_rounded(out, 2, ("rmse_mean", "rmse_std")), 6, "cv_percent")
+
+
 def q_mixed_vectors(spark, folder):
     """Numbers and texts in one vector: sums of each slot over all rows."""
     data = transactions(spark, folder).select("TransactionAmt", "V1", "card_type", "merchant_category")
