@@ -26,9 +26,8 @@ _BROADCAST_CLASSES = 100_000
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """(label, n, share) of each class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    # One row for each class, so the single window partition stays small.
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("share", F.col("n") / total)
+    # The total is a scalar subquery over the counts: no task holds all classes.
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def _part_ends(n: Column, exact: Mapping[str, Decimal]) -> list[Column]:
@@ -161,10 +160,11 @@ def stratification_check(
     by_class = df.groupBy(label).agg(
         F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(name) == p).alias(f"_p{i}") for i, p in enumerate(parts)]
     )
-    # One row for each class from here on.
-    everything = Window.partitionBy(F.lit(0))
-    totals = {f"_t{i}": F.sum(f"_p{i}").over(everything) for i in range(len(parts))}
-    totals["overall_share"] = F.col("_all") / F.sum("_all").over(everything)
+    # Totals are a scalar subquery over the counts: no task holds all classes.
+    sums = by_class.agg(F.struct(F.sum("_all").alias("all"), *[F.sum(f"_p{i}").alias(f"p{i}") for i in range(len(parts))]))
+    counted = by_class.withColumn("_sums", sums.scalar())
+    totals = {f"_t{i}": F.col(f"_sums.p{i}") for i in range(len(parts))}
+    totals["overall_share"] = F.col("_all") / F.col("_sums.all")
     entries = [
         F.struct(
             F.lit(p).alias("split"),
@@ -173,7 +173,7 @@ def stratification_check(
         )
         for i, p in enumerate(parts)
     ]
-    sized = by_class.withColumns(totals).select(label, "overall_share", F.explode(F.array(*entries)).alias("e"))
+    sized = counted.withColumns(totals).select(label, "overall_share", F.explode(F.array(*entries)).alias("e"))
     deviation = F.abs(F.col("e.share") - F.col("overall_share"))
     within = F.round(deviation, 12) <= F.lit(float(tolerance))
     return sized.select(
