@@ -190,13 +190,56 @@ def date_gaps(
     )
 
 
-def enforce_series(df: DataFrame, key: str = "series_id", date: str = "ts", value: str = "value", daily: bool = True) -> None:
-    """All series checks, raising on the first kind that fails."""
+def _expected(frequency: str) -> Column:
+    """Whether a day is expected at a frequency, in a series that starts on the day ``_first``."""
+    day = F.col("_day")
+    rules = {
+        "D": F.lit(True),
+        "B": F.weekday(day) < 5,
+        "W": F.pmod(F.datediff(day, "_first"), F.lit(7)) == 0,
+        "MS": F.dayofmonth(day) == 1,
+        "ME": day == F.last_day(day),
+    }
+    if frequency not in rules:
+        raise SchemaError(f"frequency must be one of {list(rules)}, got {frequency}")
+    return rules[frequency]
+
+
+def frequency_gaps(df: DataFrame, key: str = "series_id", date: str = "ts", frequency: str = "D") -> DataFrame:
+    """(key, date, kind) of every day where a series leaves its frequency, between its first and last day.
+
+    The frequency is D (every day), B (Monday to Friday), W (every seventh day from the first one on), MS or ME
+    (first or last day of each month). A day is ``missing`` if it is expected but has no row, ``unexpected`` if it
+    has a row but is not expected. Repeated days count once, rows without a date are left out, a NULL key is a
+    series of its own. The calendar is made year by year from each series' two ends, and both sides are compared
+    by sums over key and day, so neither a long series nor a far-off date gathers in one task."""
+    require(df, [key, date], "series")
+    rule = _expected(frequency)
+    seen = df.select(F.col(key).alias("_key"), F.col(date).cast("date").alias("_day")).where("_day is not null")
+    ends = seen.groupBy("_key").agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+    years = ends.select("*", F.explode(F.sequence(F.year("_first"), F.year("_last"))).alias("_year"))
+    lo = F.greatest(F.col("_first"), F.make_date("_year", F.lit(1), F.lit(1)))
+    hi = F.least(F.col("_last"), F.make_date("_year", F.lit(12), F.lit(31)))
+    days = years.select("_key", "_first", F.explode(F.sequence(lo, hi)).alias("_day")).where(rule)
+    both = days.select("_key", "_day", F.lit(1).alias("_e"), F.lit(0).alias("_s")).unionByName(seen.select("_key", "_day", F.lit(0).alias("_e"), F.lit(1).alias("_s")))
+    sides = both.groupBy("_key", "_day").agg(F.max("_e").alias("_e"), F.max("_s").alias("_s")).where("_e <> _s")
+    kind = F.when(F.col("_e") == 1, F.lit("missing")).otherwise(F.lit("unexpected"))
+    return sides.select(F.col("_key").alias(key), F.col("_day").alias(date), kind.alias("kind"))
+
+
+def enforce_series(
+    df: DataFrame, key: str = "series_id", date: str = "ts", value: str = "value", daily: bool = True, frequency: str | None = None
+) -> None:
+    """All series checks, raising on the first kind that fails. ``frequency``, if given, takes the place of ``daily``."""
     enforce(gate_report(df, series_gates(df, date, value)))
     twice = duplicate_dates(df, key, date).orderBy(key, date).limit(5).collect()
     if twice:
         raise GateError(f"duplicate dates: {[(r[key], str(r[date])) for r in twice]}")
-    if daily:
+    if frequency is not None:
+        off = frequency_gaps(df, key, date, frequency).orderBy(key, date).limit(5).collect()
+        if off:
+            raise GateError(f"not of frequency {frequency}: {[(r[key], str(r[date]), r['kind']) for r in off]}")
+    elif daily:
         # Dates are unique by now, so a series has at most one row a day.
         gaps = date_gaps(df, key, date, split_hot=False).limit(5).collect()
         if gaps:

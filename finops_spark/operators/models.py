@@ -76,17 +76,22 @@ def balanced_weights(train: DataFrame, label: str = "label", name: str = "class_
 
 
 def train_logistic(
-    train: DataFrame, label: str = "label", features: str = "features", c: float = 0.1, max_iter: int = 1000
+    train: DataFrame, label: str = "label", features: str = "features", c: float = 0.1, max_iter: int = 1000, weight: str | None = None
 ):
-    """Balanced logistic regression with penalty strength 1/c on given features.
+    """Logistic regression with penalty strength 1/c on given features; balanced, or with a column of weights.
 
     MLlib divides the loss by the sum of weights, so its penalty is 1 / (c * sum).
     """
-    weighted, n = balanced_weights(train, label)
+    if weight is None:
+        weighted, n = balanced_weights(train, label)
+    else:
+        weighted, n = train, train.agg(F.sum(weight)).first()[0]
+        if not n or n <= 0:
+            raise FitError(f"the weights in {weight} do not add up to more than 0")
     return LogisticRegression(
         labelCol=label,
         featuresCol=features,
-        weightCol="class_weight",
+        weightCol=weight or "class_weight",
         regParam=1.0 / (c * n),
         elasticNetParam=0.0,
         standardization=False,

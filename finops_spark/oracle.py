@@ -267,22 +267,60 @@ cuts AS (SELECT bin AS cut, sum(c) OVER w AS cl, sum(c) OVER () - sum(c) OVER w
 best AS (SELECT * FROM cuts WHERE cl >= {least} AND cr >= {least} ORDER BY {score} DESC, cut LIMIT 1)"""
 
 
-def _one_feature_fit() -> str:
-    """Balanced logistic regression of is_fraud on the standardised amount: stats (m, s), fit (a, b)."""
+def _one_feature_fit(one: str = "n / (2 * np)", zero: str = "n / (2 * (n - np))") -> str:
+    """Logistic regression of is_fraud on the standardised amount, balanced unless weights are given: stats (m, s), fit (a, b)."""
     return _with(
         TRANSACTIONS,
-        """stats AS (SELECT avg("TransactionAmt") AS m, stddev_pop("TransactionAmt") AS s,
+        """stats AS (SELECT avg("TransactionAmt") AS m, stddev_pop("TransactionAmt") AS s, sum("TransactionAmt") FILTER (is_fraud = 1) AS balance,
     count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS np FROM transactions)""",
         _newton(
-            """points AS (
-  SELECT ("TransactionAmt" - m) / s AS x, CASE WHEN is_fraud = 1 THEN n / (2 * np) ELSE 0 END AS pos,
-    CASE WHEN is_fraud = 0 THEN n / (2 * (n - np)) ELSE 0 END AS neg
+            f"""points AS (
+  SELECT ("TransactionAmt" - m) / s AS x, CASE WHEN is_fraud = 1 THEN {one} ELSE 0 END AS pos,
+    CASE WHEN is_fraud = 0 THEN {zero} ELSE 0 END AS neg
   FROM transactions, stats)""",
             10.0,
         ),
     ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _two_feature_fit(rounds: int = 30) -> str:
+    """Balanced logistic regression of is_fraud on standardised V1 and amount: points (id, x, y), fit (a, b, c).
+
+    Newton steps; the 3 x 3 system is solved by its cofactors."""
+    return _with(
+        TRANSACTIONS,
+        """stats AS (SELECT avg("V1") AS mx, stddev_pop("V1") AS sx, avg("TransactionAmt") AS my, stddev_pop("TransactionAmt") AS sy,
+    count(*)::DOUBLE AS n, sum(is_fraud)::DOUBLE AS np FROM transactions)""",
+        """points AS (SELECT "TransactionID" AS id, ("V1" - mx) / sx AS x, ("TransactionAmt" - my) / sy AS y, is_fraud AS label,
+    CASE WHEN is_fraud = 1 THEN n / (2 * np) ELSE n / (2 * (n - np)) END AS w FROM transactions, stats)""",
+        f"""newton AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c
+  UNION ALL
+  SELECT step + 1, a + (k00 * g0 + k01 * g1 + k02 * g2) / det, b + (k01 * g0 + k11 * g1 + k12 * g2) / det, c + (k02 * g0 + k12 * g1 + k22 * g2) / det
+  FROM (SELECT *, h00 * k00 + h01 * k01 + h02 * k02 AS det
+    FROM (SELECT *, h11 * h22 - h12 * h12 AS k00, h02 * h12 - h01 * h22 AS k01, h01 * h12 - h02 * h11 AS k02,
+        h00 * h22 - h02 * h02 AS k11, h01 * h02 - h00 * h12 AS k12, h00 * h11 - h01 * h01 AS k22
+      FROM (SELECT step, a, b, c, sum(w * (label - p)) AS g0, sum(w * (label - p) * x) - 10 * b AS g1, sum(w * (label - p) * y) - 10 * c AS g2,
+          sum(q) AS h00, sum(q * x) AS h01, sum(q * y) AS h02, sum(q * x * x) + 10 AS h11, sum(q * x * y) AS h12, sum(q * y * y) + 10 AS h22
+        FROM (SELECT *, w * p * (1 - p) AS q FROM (SELECT n.step, n.a, n.b, n.c, x, y, label, w, 1 / (1 + exp(-(n.a + n.b * x + n.c * y))) AS p
+          FROM newton n, points WHERE n.step < {rounds}))
+        GROUP BY step, a, b, c)))),
+fit AS (SELECT a, b, c FROM newton WHERE step = {rounds})""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _frequency(source: str, expected: str) -> str:
+    """Days of ``series`` that a rule over (d, lo) expects but that have no row, and the other way round."""
+    return _with(
+        source,
+        "ends AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM series GROUP BY 1)",
+        "days AS (SELECT series_id, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM ends)",
+        f"wanted AS (SELECT series_id, d FROM days WHERE {expected})",
+        "seen AS (SELECT DISTINCT series_id, ts AS d FROM series)",
+    ) + """SELECT series_id, d AS ts, 'missing' AS kind FROM (SELECT * FROM wanted EXCEPT SELECT * FROM seen)
+UNION ALL SELECT series_id, d, 'unexpected' FROM (SELECT * FROM seen EXCEPT SELECT * FROM wanted)"""
+
+
 def statements() -> dict[str, str]:
     named = _statements()
     named["report_file"] = named["calibration_report"]
@@ -404,6 +442,29 @@ SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL
         "date_gaps": _with(PRIORITY)
         + """SELECT * FROM (SELECT series_id, lag(ts) OVER w AS previous, ts, CAST(ts - lag(ts) OVER w AS INTEGER) AS gap_days
   FROM series WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE gap_days <> 1""",
+        "frequency_gaps_business": _frequency(PRIORITY, "isodow(d) < 6"),
+        "frequency_gaps_month_end": _frequency("series AS (SELECT DISTINCT o_custkey AS series_id, last_day(CAST(o_orderdate AS DATE)) AS ts FROM orders)", "d = last_day(d)"),
+        "frequency_gaps_weekly": _frequency(SUPPLIER, "(d - lo) % 7 = 0"),
+        "reason_codes": _two_feature_fit()
+        + """, told AS (
+  SELECT id, unnest(['V1', 'TransactionAmt']) AS feature, unnest([b * x, c * y]) AS s, unnest(['R07 activity out of line', 'R01 amount too high for the history']) AS code
+  FROM points, fit WHERE 1 / (1 + exp(-(a + b * x + c * y))) >= 0.5)
+SELECT id AS "TransactionID", CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, feature) AS INTEGER) AS rank, feature, code FROM told WHERE s > 0""",
+        "value_weighted_fit": _one_feature_fit('"TransactionAmt" * n / (balance + 20000 * (n - np))', "20000 * n / (balance + 20000 * (n - np))")
+        + """SELECT is_fraud AS label, v AS "TransactionAmt", round(1 / (1 + exp(-(a + b * (v - m) / s))), 4) AS p
+FROM (SELECT is_fraud, min("TransactionAmt") AS v FROM transactions GROUP BY 1), stats, fit""",
+        "value_curve": _with(SCORED, "per AS (SELECT score AS threshold, count(*) AS n, sum(CASE WHEN label = 1 THEN CAST(amount AS DECIMAL(28,4)) ELSE 0 END) AS captured FROM scored GROUP BY 1)")
+        + """SELECT threshold, n, captured::DOUBLE AS captured, CAST(sum(n) OVER w AS BIGINT) AS n_top, (sum(captured) OVER w)::DOUBLE AS captured_top,
+  CAST(sum(n) OVER () AS BIGINT) AS n_all, (sum(captured) OVER ())::DOUBLE AS captured_all FROM per WINDOW w AS (ORDER BY threshold DESC)""",
+        "recovered_value": _with(
+            SCORED,
+            "long AS (SELECT 'score' AS ranking, score AS s, label, amount FROM scored UNION ALL SELECT 'expected_loss', score * amount, label, amount FROM scored)",
+            "per AS (SELECT ranking, s, count(*) AS n, sum(CASE WHEN label = 1 THEN CAST(amount AS DECIMAL(28,4)) ELSE 0 END) AS c FROM long GROUP BY ALL)",
+            "run AS (SELECT *, sum(n) OVER w AS top, sum(n) OVER (PARTITION BY ranking) AS n_all, sum(c) OVER (PARTITION BY ranking) AS c_all FROM per WINDOW w AS (PARTITION BY ranking ORDER BY s DESC))",
+            "taken AS (SELECT *, CAST((n_all * percent) // 100 AS BIGINT) AS k FROM run, (SELECT unnest([1, 5, 10, 20, 50, 100]) AS percent))",
+        )
+        + """SELECT ranking, CAST(percent AS INTEGER) AS percent, any_value(k) AS n_taken, round(sum(c::DOUBLE * least(n, greatest(0, k - (top - n))) / n), 2) AS captured,
+  round(sum(c::DOUBLE * least(n, greatest(0, k - (top - n))) / n) / any_value(c_all)::DOUBLE, 9) AS captured_share FROM taken GROUP BY ranking, percent""",
         "lag_features": _with(PRIORITY)
         + """SELECT *, lag(value, 1) OVER w AS lag_1, lag(value, 7) OVER w AS lag_7, lag(value, 14) OVER w AS lag_14
 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY ts)""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from finops_spark.functions.scalar import above_threshold, calendar, hour_of_seconds, weekday_of_seconds
 from finops_spark.operators import alerts, curves, error_analysis, features, forecast, gates, intervals, models
-from finops_spark.operators import calibrate, calibration_metrics, drift, encode, medians, repair, ridge, split
+from finops_spark.operators import calibrate, calibration_metrics, drift, encode, medians, reasons, repair, ridge, split, value
 from finops_spark.operators.flat import flag_flat, rolling_stdev
 from finops_spark.operators.ordered import with_position
 from finops_spark.plans.forecasting import run_forecasting
@@ -653,6 +653,64 @@ def q_leakage_audit(spark, folder):
     return _rounded(_rounded(out, 7, "correlation"), 9, "mutual_information")
 
 
+# --- expected frequency, reasons, value at stake ---------------------------------------------------
+
+
+def q_frequency_gaps_business(spark, folder):
+    """Order days of each priority against the business days between the first and the last."""
+    return gates.frequency_gaps(priority_series(spark, folder), frequency="B")
+
+
+def q_frequency_gaps_month_end(spark, folder):
+    """Monthly order value of each customer, dated at the month's end: months without an order."""
+    monthly = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("series_id"), F.last_day("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value"))
+    return gates.frequency_gaps(monthly, frequency="ME")
+
+
+def q_frequency_gaps_weekly(spark, folder):
+    """Shipping days of each supplier against every seventh day from its first one on."""
+    return gates.frequency_gaps(supplier_series(spark, folder), frequency="W")
+
+
+REASONS = {"V1": "R07 activity out of line", "TransactionAmt": "R01 amount too high for the history"}
+
+
+def q_reason_codes(spark, folder):
+    """Reasons, best first, of every transaction that a saved two-feature bundle refuses."""
+    data = transactions(spark, folder)
+    train = data.select("V1", "TransactionAmt", F.col("is_fraud").alias("label"))
+    pipeline, names = encode.fit_feature_pipeline(train, ["V1", "TransactionAmt"], [])
+    model = models.train_logistic(pipeline.transform(train))
+    path = shared_folder(spark, "bundle")
+    models.ScoringBundle(models.PipelineModel(stages=[pipeline, model]), 0.5, "logistic", tuple(names), ("V1", "TransactionAmt")).save(spark, path)
+    bundle = models.ScoringBundle.load(spark, path)
+    told = reasons.reason_codes(data, bundle, reasons.fit_explainer(bundle, train), REASONS)
+    return told.select("TransactionID", F.explode("reasons").alias("r")).select("TransactionID", "r.rank", "r.feature", "r.code")
+
+
+def q_value_weighted_fit(spark, folder):
+    """Logistic regression weighted by the amount at stake, on one standardised feature."""
+    data = transactions(spark, folder).select("TransactionAmt", F.col("is_fraud").alias("label"))
+    pipeline, _ = encode.fit_feature_pipeline(data.select("TransactionAmt"), ["TransactionAmt"], [])
+    weighted = value.value_weights(pipeline.transform(data), "label", "TransactionAmt", contact_cost=20_000.0)
+    model = models.train_logistic(weighted, weight="value_weight")
+    points = pipeline.transform(data.groupBy("label").agg(F.min("TransactionAmt").alias("TransactionAmt")))
+    return model.transform(points).select("label", "TransactionAmt", F.round(models.positive_probability(), 4).alias("p"))
+
+
+def q_value_curve(spark, folder):
+    """Amount of returned lines captured down to every distinct score."""
+    curve = value.value_curve(scored_lines(spark, folder), value="amount")
+    return curve.withColumns({c: F.col(c).cast("double") for c in ("captured", "captured_top", "captured_all")})
+
+
+def q_recovered_value(spark, folder):
+    """Returned amount in the first lines by score, and by score times amount."""
+    scored = scored_lines(spark, folder).withColumn("expected_loss", F.col("score") * F.col("amount"))
+    out = value.compare_rankings(scored, ["score", "expected_loss"], [1, 5, 10, 20, 50, 100], value="amount")
+    return _rounded(_rounded(out, 2, ("captured",)), 9, ("captured_share",))
+
+
 # --- reading and writing files in the shared folder ---------------------------------------------
 
 

@@ -168,8 +168,9 @@ def read_series(
     series: str | None = None,
     daily: bool = True,
     strict: bool = True,
+    frequency: str | None = None,
 ) -> DataFrame:
-    """Series file as series_id, ts, value; ``strict`` runs all series checks."""
+    """Series file as series_id, ts, value; ``strict`` runs all series checks, with ``frequency`` in place of ``daily``."""
     header: Sequence[str] = [date, value, *([series] if series else [])]
     if path.endswith(".parquet") or path.rstrip("/").endswith("_parquet"):
         raw = spark.read.parquet(path)
@@ -184,5 +185,5 @@ def read_series(
         F.col(value).try_cast("double").alias("value"),
     )
     if strict:
-        enforce_series(df, daily=daily)
+        enforce_series(df, daily=daily, frequency=frequency)
     return df
