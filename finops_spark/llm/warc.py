@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finops_spark.llm.common import store
 from finops_spark.session import shared_folder
 
 #: Payloads below so many bytes are always stored in full.
@@ -65,17 +66,15 @@ def member(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, digest, first): for every distinct payload of a page its digest, and the smallest
-    page_id that has this payload if it is long enough to be revisited, else NULL.
+    """(page_id, digest, first): for every distinct payload of a page that others have, too, its digest
+    and the smallest page_id with this payload; only payloads of at least ``least`` bytes.
 
-    First the smallest id of each digest is found with partial sums, then it is joined back on
-    narrow rows, where a common digest may be split."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    firsts = narrow.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where("n > 1").select(F.col("digest").alias("_digest"), "first")
-    joined = narrow.join(firsts, F.col("digest") == F.col("_digest"), "left")
-    return joined.select("page_id", "digest", "first").distinct()
+    Shorter payloads stay where they are. The smallest id of each digest is found with partial sums and
+    written, so that the other side of the join is a plain scan and a common digest can be split."""
+    long = pages.where(F.octet_length("html") >= least).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    firsts = long.groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = store(firsts.where("n > 1").select("_digest", "first"), "first-payloads")
+    return long.join(firsts, F.col("digest") == F.col("_digest")).select("page_id", "digest", "first").distinct()
 
 
 def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> str:
@@ -188,8 +187,8 @@ class _Record:
 
 def read_archives(spark, folder: str) -> DataFrame:
     """One row for each record of the archives in a folder: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, digest_ok. For a revisit, length and digest are those of the payload it
-    stands for. A broken archive raises; a record whose content does not match its digests has
+    record_type, refers_to, digest_ok. For a revisit, length and digest are those it states of the payload
+    it stands for; ``with_checked_revisits`` compares them with its response. A broken archive raises; a record whose content does not match its digests has
     digest_ok false."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_())])
 
@@ -209,11 +208,28 @@ def read_archives(spark, folder: str) -> DataFrame:
     return files.mapInArrow(opened, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, digest_ok boolean")
 
 
+def with_checked_revisits(records: DataFrame) -> DataFrame:
+    """The records with digest_ok false for revisits whose length and digest are not those of an intact
+    response named by refers_to. ``records`` is read three times, so it should be a stored table.
+
+    What revisits claim is made distinct first, so a response with very many revisits is one row; only
+    wrong claims, none in a sound archive, go back to the rows."""
+    claim = ["refers_to", "payload_bytes", "payload_digest"]
+    claims = records.where("record_type = 'revisit'").select(*claim).distinct()
+    sound = records.where("record_type = 'response' and digest_ok").select(F.col("page_id").alias("refers_to"), *claim[1:])
+    wrong = store(claims.join(sound, claim, "left_anti").select(*[F.col(c).alias(f"_{c}") for c in claim], F.lit(True).alias("_wrong")), "wrong-revisits")
+    same = F.col("record_type") == "revisit"
+    for c in claim:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = records.join(wrong, same, "left")
+    return joined.select(*[(F.col("digest_ok") & F.col("_wrong").isNull()).alias(c) if c == "digest_ok" else c for c in records.columns])
+
+
 def archive_report(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Write ``pages`` as archives and read them back, a row for each record; see ``write_archives``.
 
     An empty table gives no record; columns other than page_id, url and html are ignored."""
-    return read_archives(pages.sparkSession, write_archives(pages, least))
+    return with_checked_revisits(store(read_archives(pages.sparkSession, write_archives(pages, least)), "archive-records"))
 
 
 SQL = """

@@ -294,6 +294,36 @@ def test_archives(spark):
     assert warc.archive_report(table.limit(0)).count() == 0
 
 
+def test_archives_of_many_empty_pages(spark):
+    """Pages too short for revisits, half of all, take no part in the search for first payloads."""
+    pages = [(i, "u", ("", None, "p" * 120, f"{i:0200d}")[i % 4]) for i in range(400)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    assert counted(warc.archive_report(table)) == expected_archives(pages)
+    assert sorted(tuple(r) for r in warc.decide(table).select("page_id", "first").collect()) == [(i, 2) for i in range(2, 400, 4)]
+    assert warc.decide(table.where("page_id % 4 < 2")).count() == 0
+
+
+def test_revisits_are_compared_with_their_response(spark, tmp_path):
+    body, other = b"x" * 300, b"y" * 300
+    digest, wrong = hashlib.sha256(body).hexdigest(), hashlib.sha256(other).hexdigest()
+    records = [
+        (warc.member(1, "u", body, digest, None, False), True),
+        (warc.member(2, "u", body, digest, 1, True), True),
+        (warc.member(3, "u", other, wrong, 1, True), False),  # another payload than its response
+        (warc.member(4, "u", body[:-1], digest, 1, True), False),  # another length
+        (warc.member(5, "u", body, digest, 77, True), False),  # no such response
+        (warc.member(6, "u", body, digest, 2, True), False),  # refers to a revisit
+        (warc.member(7, "u", body, wrong, None, False), False),  # a damaged response
+        (warc.member(8, "u", body, wrong, 7, True), False),  # and its revisit
+        (warc.member(9, "u", body, digest, None, True), False),  # refers to nothing
+    ]
+    (tmp_path / "part-0").write_bytes(b"".join(m for m, _ in records))
+    read = warc.read_archives(spark, str(tmp_path)).persist()
+    out = warc.with_checked_revisits(read)
+    assert out.columns == read.columns
+    assert sorted((r.page_id, r.digest_ok) for r in out.collect()) == [(i, ok) for i, (_, ok) in enumerate(records, 1)]
+
+
 def test_a_record_of_over_16_mib(spark):
     import random
 
