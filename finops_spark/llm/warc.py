@@ -87,12 +87,14 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> str:
     spark = pages.sparkSession
     total = pages.agg(F.sum(F.octet_length("html"))).head()[0] or 0
     parts = max(1, -(-total // ARCHIVE_BYTES), spark.sparkContext.defaultParallelism if total > ARCHIVE_BYTES else 1)
+    # no fewer than Spark deals out itself, or the join would deal anew; then put together without moving
+    deal = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a key without NULLs, and both sides dealt alike, so that the join takes the rows as they have been dealt out
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_key")
-    kinds = decide(pages, least).select(key, "digest", "first").repartition(parts, "_key", "digest")
+    kinds = decide(pages, least).select(key, "digest", "first").repartition(deal, "_key", "digest")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(key, "page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    ready = rows.repartition(parts, "_key", "digest").join(kinds, ["_key", "digest"], "left").select("page_id", "url", "html", "digest", "first")
+    ready = rows.repartition(deal, "_key", "digest").join(kinds, ["_key", "digest"], "left").select("page_id", "url", "html", "digest", "first").coalesce(parts)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
