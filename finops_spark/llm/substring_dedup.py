@@ -19,13 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finops_spark.llm.common import store
+from finops_spark.llm.common import shuffles_freed, store
 from finops_spark.llm.hot import with_first
 
 #: Words of a window; the lower levels are its half and its quarter.
 LENGTH = 20
-#: Measured bytes up to which a table of documents may be broadcast; beyond, the join shuffles.
-BROADCAST_BYTES = 48 << 20
+#: Words of documents whose candidate windows are hashed in one array.
+WORDS_AT_ONCE = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _EVERY = 2**31 - 1
@@ -65,13 +65,10 @@ def runs_of(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
 
 
-def _large(table: DataFrame) -> DataFrame:
-    """A hint to broadcast ``table`` (doc_id and perhaps ranges) if its measured size allows it: about
-    64 bytes for each row and 48 for each range."""
-    ranges = [c for c in table.columns if "ranges" in c]
-    size = F.lit(64) + (48 * F.size(ranges[0]) if ranges else 0)
-    measured = table.agg(F.sum(size.cast("bigint"))).head()[0] or 0
-    return F.broadcast(table) if measured <= BROADCAST_BYTES else table
+def by_document(table: DataFrame) -> DataFrame:
+    """A hint for ``table`` (a row of ids and ranges for each document): its join goes by doc_id at every size,
+    with ``table`` as the hashed side, so that texts are not sorted and a hot doc_id may be split."""
+    return table.hint("shuffle_hash")
 
 
 def quarter_runs(docs: DataFrame) -> DataFrame:
@@ -107,8 +104,7 @@ def quarter_runs(docs: DataFrame) -> DataFrame:
 def copies(runs: DataFrame) -> DataFrame:
     """doc_id of documents of LENGTH words or more whose whole word sequence has a smaller doc_id, too: nothing of them stays."""
     whole = runs.where(F.col("n_words") >= LENGTH).select("doc_id", "d1", "d2")
-    firsts = whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return whole.join(firsts.drop("last"), ["d1", "d2"]).where("doc_id > first").select("doc_id").distinct()
+    return with_first(whole, "d1", ["d2"], F.col("doc_id")).where("doc_id > _first").select("doc_id").distinct()
 
 
 def merged(ranges: DataFrame) -> DataFrame:
@@ -126,30 +122,49 @@ def half_runs(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     hold two hashes of each window of the run at full length."""
     half = LENGTH // 2
     schema = "least bigint, doc_id bigint, lo int, h array<bigint>, check array<int>"
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = ["least", "doc_id", "lo", "h", "check"]
 
+    def hashed(pieces: list[np.ndarray], owners: list[tuple[int, int]]) -> pa.RecordBatch:
+        """All ranges in one array: ``pieces`` are their word hashes, ``owners`` their documents and first words."""
+        sizes = np.fromiter((len(p) - LENGTH + 1 for p in pieces), np.int64, len(pieces))
+        flat = np.concatenate(pieces)
+        doc, lo = np.array(owners, np.int64).T
+        nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # windows that cross the end of a piece are left out here; the others lie within theirs
+        at = nth + np.repeat(np.cumsum(sizes + LENGTH - 1) - (sizes + LENGTH - 1), sizes)
+        parts = window_hashes(flat, half)
+        place = least_of(parts, LENGTH - half + 1)[at]
+        starts = runs_of(place)
+        offsets = pa.array(np.r_[starts, len(place)], pa.int32())
+        full = window_hashes(flat, LENGTH).view(np.int64)[at]
+        check = window_hashes(flat, LENGTH, _OTHER).astype(np.uint32).view(np.int32)[at]
+        columns = [
+            pa.array(parts[place[starts]].view(np.int64)),
+            pa.array(np.repeat(doc, sizes)[starts]),
+            pa.array((np.repeat(lo, sizes) + nth)[starts].astype(np.int32)),
+            pa.ListArray.from_arrays(offsets, pa.array(full)),
+            pa.ListArray.from_arrays(offsets, pa.array(check)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in names]
+            pieces: list[np.ndarray] = []
+            owners: list[tuple[int, int]] = []
+            held = 0
             for doc, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
                 hashes = word_hashes(words_of(text.as_py()))
                 for r in ranges:
-                    part = hashes[r["lo"] : r["hi"] + LENGTH]
-                    parts = window_hashes(part, half)
-                    place = least_of(parts, LENGTH - half + 1)
-                    full, check = window_hashes(part, LENGTH).view(np.int64), window_hashes(part, LENGTH, _OTHER).astype(np.uint32).view(np.int32)
-                    starts = runs_of(place)
-                    least = parts[place[starts]].view(np.int64)
-                    for v, a, b in zip(least, starts, np.r_[starts[1:], len(place)], strict=True):
-                        for column, value in zip(columns, (v, doc, r["lo"] + a, full[a:b], check[a:b]), strict=True):
-                            column.append(value)
-                if len(columns[0]) > 5_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-                    columns = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(_large(candidates), "doc_id")
+                    pieces.append(hashes[r["lo"] : r["hi"] + LENGTH])
+                    owners.append((doc, r["lo"]))
+                held += len(hashes)
+                if held > WORDS_AT_ONCE:
+                    yield hashed(pieces, owners)
+                    pieces, owners, held = [], [], 0
+            if pieces:
+                yield hashed(pieces, owners)
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(by_document(candidates), "doc_id")
     return rows.select("doc_id", "text", "ranges").mapInArrow(read, schema)
 
 
@@ -159,7 +174,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     runs = store(quarter_runs(docs), "quarter-runs")
     same = store(copies(runs), "copies")
     # level 5: runs of windows whose least quarter is found elsewhere, too
-    alone = runs.select("doc_id", "n_words", F.arrays_zip("least", F.col("lo").alias("lo")).alias("runs"), "lo").join(_large(same), "doc_id", "left_anti")
+    alone = runs.select("doc_id", "n_words", F.arrays_zip("least", F.col("lo").alias("lo")).alias("runs"), "lo").join(by_document(same), "doc_id", "left_anti")
     ends = F.transform("runs", lambda r, i: F.struct(r["least"].alias("least"), r["lo"].alias("lo"), (F.coalesce(F.get("lo", i + 1), F.col("n_words") - (LENGTH - 1)) - 1).alias("hi")))
     level = alone.select("doc_id", F.inline(ends))
     level = with_first(level, "least", [], place).where("not _single").select("doc_id", "lo", "hi")
@@ -185,10 +200,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     for nothing; repeated rows of a document are treated alike. Columns of the three names are
     replaced. Texts of any length are read whole, one at a time.
     """
-    ranges = store(removed_ranges(docs), "removed")
+    with shuffles_freed(docs.sparkSession):
+        ranges = store(removed_ranges(docs), "removed")
     ranges = ranges.select(F.col("doc_id").alias("_doc"), F.col("ranges").alias("_ranges"))
     plain = docs.drop("n_words", "n_removed", "kept_text")
-    joined = plain.join(_large(ranges), F.col("doc_id") == F.col("_doc"), "left")
+    joined = plain.join(by_document(ranges), F.col("doc_id") == F.col("_doc"), "left")
 
     @F.pandas_udf("n_words bigint, n_removed bigint, kept_text string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -174,9 +174,9 @@ def plain_substrings(rows, length=20):
 def test_substring_dedup(docs, empty, monkeypatch, small):
     from finops_spark.llm import hot
 
-    if small:  # other routes: few common keys, no broadcasts
+    if small:  # other routes: few common keys, many arrays
         monkeypatch.setattr(hot, "COMMON_KEYS", 3)
-        monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(substring_dedup, "WORDS_AT_ONCE", 50)
     want = plain_substrings(tables.rows())
     assert counted(substring_dedup.digest_report(docs)) == want and any(k[2] for k in want)
     if not small:
