@@ -2,9 +2,10 @@
 
 Each document has four shares that junk pushes up, or a word length that is off. Within
 each cell (language and source) their centre and spread are estimated by minimum
-covariance determinant: from a start at median and median deviation, concentration steps
-take the three quarters of the documents that lie nearest by Mahalanobis distance and
-estimate again from these. A document beyond the limit at the end is rejected.
+covariance determinant: from each of four deterministic starts, concentration steps take
+the three quarters of the documents that lie nearest by Mahalanobis distance and estimate
+again from these, until the determinant stops falling. Of the four ends a cell takes the
+one of least determinant. A document beyond the limit is rejected.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ CORE = 0.75
 LIMIT = 18.467
 #: Cells of fewer documents are judged with their language, and those with all documents.
 LEAST_DOCUMENTS = 50
-STEPS = 4
+#: Scatter matrices that the steps start from, all about the medians: squared median deviations, covariances of
+#: two bounded scores of the standardised values, and covariances of their spatial signs.
+STARTS = ("medians", "tanh", "clipped", "signs")
+#: Steps go on in a cell while they lower the logarithm of its determinant by more than this.
+FALL = 1e-3
 #: Distances and features are counted in bins of this width to find medians and quantiles.
 _BIN = 1 / 64
 _FARTHEST = 1e6
@@ -123,55 +128,64 @@ def _quantile(binned: DataFrame, keys: list[str], share: float, name: str) -> Da
 
 
 def _medians(long: DataFrame, name: str) -> DataFrame:
-    return _quantile(long.groupBy("cell", "f", "bin").agg(F.count(F.lit(1)).alias("n")), ["cell", "f"], 0.5, name)
+    counts = store(long.groupBy("cell", "f", "bin").agg(F.count(F.lit(1)).alias("n")), "quality-bins")
+    return _quantile(counts, ["cell", "f"], 0.5, name)
 
 
 def _bin(x: Column) -> Column:
     return F.round(x / _BIN).cast("bigint")
 
 
+def _pairs() -> list[tuple[str, str]]:
+    names = list(FEATURES)
+    return [(f, g) for i, f in enumerate(names) for g in names[: i + 1]]
+
+
 def start_estimates(core: DataFrame) -> DataFrame:
-    """cell, m_<f>, c_<f>_<g>: medians, and squared median deviations on the diagonal."""
+    """cell, start, m_<f>, c_<f>_<g>: medians and the scatter matrix of each of STARTS."""
     names = list(FEATURES)
     long = core.select("cell", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("x")) for f in names])).alias("s")).select("cell", "s.f", "s.x")
     middle = store(_medians(long.withColumn("bin", _bin(F.col("x"))), "middle"), "quality-medians")
     spread = _medians(long.join(middle, ["cell", "f"]).withColumn("bin", _bin(F.abs(F.col("x") - F.col("middle") * _BIN))), "spread")
     both = middle.join(spread, ["cell", "f"]).groupBy("cell")
     pick = lambda f, x: F.max(F.when(F.col("f") == f, x))
-    cells = [pick(f, F.col("middle") * _BIN).alias(f"m_{f}") for f in names]
-    for i, f in enumerate(names):
-        for g in names[: i + 1]:
-            cells.append((pick(f, F.pow(1.4826 * F.col("spread") * _BIN, 2)) if f == g else F.lit(0.0)).alias(f"c_{f}_{g}"))
-    return both.agg(*cells)
+    least = {f: F.greatest(1.4826 * F.col("spread") * _BIN, F.lit(x)) for f, x in FEATURES.items()}
+    middles = [pick(f, F.col("middle") * _BIN).alias(f"m_{f}") for f in names]
+    base = store(both.agg(*middles, *[pick(f, least[f]).alias(f"s_{f}") for f in names]), "quality-base")
+    z = core.join(base, "cell").select("cell", *[((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in names])
+    length = sum((F.pow(F.col(f), 2) for f in names), F.lit(0.0))
+    bounded = {"tanh": F.tanh, "clipped": lambda x: F.greatest(F.least(x, F.lit(2.0)), F.lit(-2.0))}
+    scatter = [F.covar_pop(h(F.col(f)), h(F.col(g))).alias(f"{kind}_{f}_{g}") for kind, h in bounded.items() for f, g in _pairs()]
+    scatter += [F.avg(F.coalesce(F.try_divide(F.col(f) * F.col(g), length), F.lit(0.0))).alias(f"signs_{f}_{g}") for f, g in _pairs()]
+    wide = z.groupBy("cell").agg(*scatter).join(base, "cell")
+    unit = lambda kind, f, g: F.lit(float(f == g)) if kind == "medians" else F.col(f"{kind}_{f}_{g}")
+    starts = [F.struct(F.lit(kind).alias("start"), *[(unit(kind, f, g) * F.col(f"s_{f}") * F.col(f"s_{g}")).alias(f"c_{f}_{g}") for f, g in _pairs()]) for kind in STARTS]
+    return wide.select("cell", *[f"m_{f}" for f in names], F.inline(F.array(*starts)))
 
 
 def moments(core: DataFrame, factor: float) -> DataFrame:
-    """cell, m_<f>, c_<f>_<g>: mean and covariance, the latter times ``factor``."""
-    names = list(FEATURES)
-    cells = [F.avg(f).alias(f"m_{f}") for f in names]
-    cells += [(F.covar_pop(f, g) * factor).alias(f"c_{f}_{g}") for i, f in enumerate(names) for g in names[: i + 1]]
-    return core.groupBy("cell").agg(*cells)
+    """cell, start, m_<f>, c_<f>_<g>: mean and covariance, the latter times ``factor``."""
+    cells = [F.avg(f).alias(f"m_{f}") for f in FEATURES]
+    return core.groupBy("cell", "start").agg(*cells, *[(F.covar_pop(f, g) * factor).alias(f"c_{f}_{g}") for f, g in _pairs()])
 
 
 def factors(estimates: DataFrame) -> DataFrame:
     """Add the Cholesky factor l_<f>_<g> of the covariance in which no pivot is below the least deviation, and ``log_det``."""
     names = list(FEATURES)
     out = estimates
-    for i, f in enumerate(names):
-        for j, g in enumerate(names[: i + 1]):
-            rest = F.col(f"c_{f}_{g}")
-            for h in names[:j]:
-                rest = rest - F.col(f"l_{f}_{h}") * F.col(f"l_{g}_{h}")
-            value = F.sqrt(F.greatest(rest, F.lit(FEATURES[f] ** 2))) if i == j else rest / F.col(f"l_{g}_{g}")
-            out = out.withColumn(f"l_{f}_{g}", value)
-    diagonal = F.lit(0.0)
-    for f in names:
-        diagonal = diagonal + 2 * F.log(F.col(f"l_{f}_{f}"))
-    return out.withColumn("log_det", diagonal).select("cell", *[f"m_{f}" for f in names], *[f"l_{f}_{g}" for i, f in enumerate(names) for g in names[: i + 1]], "log_det")
-
-
-def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Rows with ``d2``, the squared Mahalanobis distance from their cell's centre; NULL without an estimate."""
+    for f, g in _pairs():
+        rest = F.col(f"c_{f}_{g}")
+        for h in names[: names.index(g)]:
+            rest = rest - F.col(f"l_{f}_{h}") * F.col(f"l_{g}_{h}")
+        value = F.sqrt(F.greatest(rest, F.lit(FEATURES[f] ** 2))) if f == g else rest / F.col(f"l_{g}_{g}")
+        out = out.withColumn(f"l_{f}_{g}", value)
+    diagonal = sum((2 * F.log(F.col(f"l_{f}_{f}")) for f in names), F.lit(0.0))
+    return out.select("cell", "start", *[f"m_{f}" for f in names], *[f"l_{f}_{g}" for f, g in _pairs()], diagonal.alias("log_det"))
+
+
+def distances(rows: DataFrame, fitted: DataFrame, *also: str) -> DataFrame:
+    """Rows with the columns ``also`` of their cell's estimates and ``d2``, the squared Mahalanobis distance
+    from the centre; NULL without an estimate."""
     names = list(FEATURES)
     out = rows.join(fitted, "cell", "left")
     total = F.lit(0.0)
@@ -181,7 +195,7 @@ def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l_{f}_{g}") * F.col(f"_z_{g}")
         out = out.withColumn(f"_z_{f}", rest / F.col(f"l_{f}_{f}"))
         total = total + F.pow(F.col(f"_z_{f}"), 2)
-    return out.withColumn("d2", F.least(total, F.lit(_FARTHEST))).select(*rows.columns, "d2")
+    return out.withColumn("d2", F.least(total, F.lit(_FARTHEST))).select(*rows.columns, *also, "d2")
 
 
 def core_factor(share: float) -> float:
@@ -193,18 +207,28 @@ def core_factor(share: float) -> float:
     return share / (1 - math.exp(-low / 2) * (1 + low / 2 + low * low / 8))
 
 
-def fit_cells(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and factor of every cell by concentration steps over ``rows`` (cell and features)."""
-    fitted = store(factors(start_estimates(rows)), "quality-fit")
-    for _ in range(steps):
-        near = distances(rows, fitted).withColumn("bin", _bin(F.log1p("d2")))
-        counts = near.groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("n"))
-        cut = store(_quantile(counts, ["cell"], CORE, "cut"), "quality-cut")
-        fitted = store(factors(moments(near.join(cut, "cell").where("bin <= cut"), core_factor(CORE))), "quality-fit")
-    return fitted
-
-
-def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
+def fit_cells(rows: DataFrame) -> DataFrame:
+    """cell, start, centre, factor and log_det of every cell over ``rows`` (cell and features): from all starts at
+    once, concentration steps until no determinant falls; the least of a cell's determinants wins.
+
+    A step reads only the cells and starts whose determinant fell in the step before."""
+    keys = ["cell", "start"]
+    best = store(factors(start_estimates(rows)).withColumn("log_det", F.lit(math.inf)), "quality-fit")
+    fell = best
+    while not fell.isEmpty():
+        near = distances(rows, fell, "start").where("start is not null").withColumn("bin", _bin(F.log1p("d2")))
+        counts = store(near.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")), "quality-bins")
+        cut = _quantile(counts, keys, CORE, "cut")
+        fit = factors(moments(near.join(cut, keys).where("bin <= cut"), core_factor(CORE)))
+        before = best.select(*keys, F.col("log_det").alias("_before"))
+        fell = store(fit.join(before, keys).where(F.col("log_det") < F.col("_before") - FALL).drop("_before"), "quality-fell")
+        best = store(best.join(fell, keys, "left_anti").unionByName(fell), "quality-fit")
+    rest = [c for c in best.columns if c not in ("cell", "start", "log_det")]
+    least = best.groupBy("cell").agg(F.min(F.struct("log_det", "start", *rest)).alias("fit"))
+    return store(least.select("cell", "fit.*"), "quality-least")
+
+
+def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance.
 
@@ -216,7 +240,7 @@ def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     stats = statistics(docs).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     stats = store(stats.withColumns(features()), "quality-statistics")
     celled = store(with_cells(stats), "quality-rows")
-    fitted = fit_cells(celled.where(~F.col("base_failed")).select(F.explode("feeds").alias("cell"), *FEATURES), steps)
+    fitted = fit_cells(celled.where(~F.col("base_failed")).select(F.explode("feeds").alias("cell"), *FEATURES))
     judged = distances(celled.drop("feeds"), fitted)
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(

@@ -239,12 +239,33 @@ def test_quality_factor_of_normal_data(spark):
     rows = spark.range(20_000).select(
         F.lit("a").alias("cell"), *[(F.randn(i) * 0.5 + F.when(F.rand(9) < 0.1, 8.0).otherwise(1.0)).alias(f) for i, f in enumerate(quality.FEATURES)]
     ).persist()
-    fit = quality.fit_cells(rows, 6).head()
+    fit = quality.fit_cells(rows).head()
     for f, least in quality.FEATURES.items():
         assert abs(fit[f"m_{f}"] - 1.0) < 0.06
         assert abs(fit[f"l_{f}_{f}"] ** 2 - least**2 - 0.25) < 0.06
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quality_determinant_is_the_least_of_all_subsets(spark, seed):
+    """12 rows, 3 of them far off: no subset of 9 has a smaller determinant than the estimate's."""
+    import itertools
+
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    mix = draw.normal(size=(4, 4)) + 2 * np.eye(4)
+    x = draw.normal(size=(12, 4)) @ mix
+    x[9:] += 40 * draw.normal(size=4)
+    names = list(quality.FEATURES)
+    rows = spark.createDataFrame([("a", *map(float, r)) for r in x], ["cell", *names]).coalesce(1)
+    got = quality.fit_cells(rows).head()
+    factor = quality.core_factor(quality.CORE)
+    dets = {s: np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) * factor)[1] for s in itertools.combinations(range(12), 9)}
+    least = min(dets, key=dets.get)
+    assert least == tuple(range(9)) and abs(got.log_det - dets[least]) < 1e-6
+    assert all(abs(got[f"m_{f}"] - x[:9, i].mean()) < 1e-9 for i, f in enumerate(names))
+
+
 def test_quality_limit_rejects_plain_outliers(spark):
     """Against a cell without duplicates: word length, duplicate lines with repeats, or repeats alone."""
     rows = spark.range(400).select(F.lit("a").alias("cell"), (1.6 + 0.04 * F.randn(3)).alias("length"), *[F.lit(0.0).alias(f) for f in ("symbols", "lines", "repeats")])
