@@ -224,8 +224,9 @@ def fit_cells(rows: DataFrame) -> DataFrame:
         fell = store(fit.join(before, keys).where(F.col("log_det") < F.col("_before") - FALL).drop("_before"), "quality-fell")
         best = store(best.join(fell, keys, "left_anti").unionByName(fell), "quality-fit")
     rest = [c for c in best.columns if c not in ("cell", "start", "log_det")]
-    least = best.groupBy("cell").agg(F.min(F.struct("log_det", "start", *rest)).alias("fit"))
-    return store(least.select("cell", "fit.*"), "quality-least")
+    order = F.array_position(F.array(*map(F.lit, STARTS)), F.col("start")).alias("_order")  # ties: the earlier start
+    least = best.groupBy("cell").agg(F.min(F.struct("log_det", order, "start", *rest)).alias("fit"))
+    return store(least.select("cell", "fit.*").drop("_order"), "quality-least")
 
 
 def judge(docs: DataFrame) -> DataFrame:
