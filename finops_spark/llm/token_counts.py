@@ -29,8 +29,10 @@ from finops_spark.llm.common import blocks
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[^{WHITE}]+")
 _NONE = np.int64(2**62)
-#: Words whose counts a worker remembers; beyond it the older half stays.
+#: Runs whose counts a worker remembers; beyond it the older half stays.
 REMEMBERED = 600_000
+#: Longer runs are forgotten after their block, so that memory is bounded in characters, too.
+LONGEST = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -139,7 +141,11 @@ class MergeTable:
             self._known = dict(itertools.islice(self._known.items(), REMEMBERED // 2))
         if fresh := list(set().union(*chunked).difference(self._known)):
             self._learn(fresh)
-        return [sum(map(self._known.__getitem__, chunks)) for chunks in chunked]
+        sums = [sum(map(self._known.__getitem__, chunks)) for chunks in chunked]
+        for chunk in fresh:
+            if len(chunk) > LONGEST:
+                del self._known[chunk]
+        return sums
 
 
 def normalized(text: str) -> str:
