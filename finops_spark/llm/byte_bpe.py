@@ -26,6 +26,8 @@ from finops_spark.llm.common import blocks
 
 #: Pieces and token pairs that a worker remembers; beyond it the older half stays (of the pairs: none).
 REMEMBERED = 600_000
+#: Longer pieces are forgotten after their block, so that memory is bounded in characters, too.
+LONGEST = 64
 _NEVER = 1 << 60
 #: Bytes up to which looking up every substring is quicker than the automaton.
 _SHORT = 48
@@ -165,8 +167,13 @@ class Vocabulary:
         pieces = [pattern.findall(text) for text in texts]
         if len(self._known) > REMEMBERED:  # the oldest are the most common ones
             self._known = dict(itertools.islice(self._known.items(), REMEMBERED // 2))
-        self._learn([p.encode() for p in set().union(*pieces).difference(self._known)])
-        return [b"".join(map(self._known.__getitem__, p)) for p in pieces]
+        fresh = set().union(*pieces).difference(self._known)
+        self._learn([p.encode() for p in fresh])
+        ids = [b"".join(map(self._known.__getitem__, p)) for p in pieces]
+        for piece in fresh:
+            if len(piece) > LONGEST:
+                del self._known[piece]
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -53,6 +53,18 @@ def test_ids_match_the_library(encoding):
     assert [vocabulary(BYTE).decode(i).decode() for i in found] == [*TEXTS, ""]
 
 
+def test_long_runs_are_counted_and_forgotten(tokenizer, encoding):
+    """Runs without white space, repeated in a text and over calls, are right each time and never remembered."""
+    long = ["语言模型" * 400, "QUJD" * 3_000 + "=", "<|endoftext|>" * 40, "https://a.b/" + "c" * 500]
+    texts = [f"{x} and {x} {y}" for x, y in zip(long, long[1:] + long[:1], strict=True)]
+    table, words = merge_table(WORD), vocabulary(BYTE)
+    for _ in range(2):
+        assert table.counts(texts) == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = words.encode(texts, PATTERN)
+        assert [np.frombuffer(i, "<u4").tolist() for i in found] == [encoding.encode_ordinary(t) for t in texts]
+    assert max(map(len, table._known)) <= 64 and max(map(len, words._known)) <= 64
+
+
 @settings(deadline=None, max_examples=300)
 @given(odd_text)
 def test_odd_texts_round_trip(text):
