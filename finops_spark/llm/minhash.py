@@ -9,9 +9,12 @@ First each set is paired with its neighbours in its regions, each takes its like
 those with the longest common prefixes over all orders, and these pairs are confirmed on the full
 sets; this joins most of what belongs together. Then the
 regions are read again with the components found: a region of at most REGION sets pairs all
-that are still apart, a larger one is cut by its next value, so the depth adapts to how crowded
-a region is. What these pairs add is confirmed in the same way. Pairs within a component are
-never formed, so large groups of copies cost no more than their number.
+that are still apart. What these pairs add is confirmed in the same way. Pairs within a component
+are never formed, so large groups of copies cost no more than their number.
+
+The sets of all larger regions that still hold several components go through one exact join in
+the end: two linked sets have one of their rarest shingles in common (prefix filter), at a place
+that leaves enough shingles behind it. So no crowd is cut, and none is compared all with all.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ SHINGLE = 5
 SHARE = 85
 ORDERS, VALUES = 16, 12
 LEAST_DEPTH = 4
-#: Sets of a region that are compared with each other; larger regions are cut by one more value.
+#: Sets of a region that are compared with each other by signature; those of larger regions are joined exactly.
 REGION = 64
 #: Neighbours of a set, of at most two in each order, that are confirmed before anything else.
 PARTNERS = 3
-#: Regions with more sets than this are dealt out by longer prefixes, which meet through their first sets.
+#: Regions with more sets than this are dealt out by longer prefixes, which meet through their first sets, and count as crowded.
 CROWDED = 200_000
+#: Bits by which sets are told apart before they are compared in full; a multiple of 64.
+PARITIES = 512
 #: Pairs whose signatures agree in a smaller share than this are not confirmed: five deviations below SHARE.
 LEAST_AGREEMENT = SHARE / 100 - 5 * (SHARE / 100 * (1 - SHARE / 100) / (ORDERS * VALUES)) ** 0.5
 _BYTES = 2 * VALUES
@@ -71,6 +76,12 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least >> np.uint64(20)).astype("<u2").tobytes()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of PARITIES classes of hashes is odd; sets differ in no fewer shingles than in these bits."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def node_of(shingles: np.ndarray) -> bytes | None:
     """128 bits that stand for a set; None for the empty one."""
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
@@ -111,11 +122,22 @@ def similar(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-@F.pandas_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
-def full_set(texts: pd.Series) -> pd.DataFrame:
-    """The set of a text, and its node."""
-    sets = [shingle_set(t) for t in texts]
-    return pd.DataFrame({"node": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of ``wanted`` (node, first), made again from the texts of their first doc_ids.
+
+    Texts go through a step that no filter is pushed below: no other set is made. A few are held at once."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                sets = [shingle_set(text.as_py()) for text in batch.column("text").slice(at, 200)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+    firsts = wanted.select(F.col("first").alias("_first")).distinct()
+    near = docs.select("doc_id", "text").join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    sets = near.select("text").mapInArrow(made, "node binary, shingles binary")
+    sets = sets.join(wanted.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi")
+    return store(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "full-sets")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -128,8 +150,9 @@ def _prefix(values: int) -> Column:
     return F.substring("key", 1, 2 * values)
 
 
-def read_regions(nodes: DataFrame, pair: Callable) -> DataFrame:
+def read_regions(nodes: DataFrame, pair: Callable, most: int | None = None) -> DataFrame:
     """(a, b, prefix): what ``pair`` (keys, nodes, comps of one region, sorted) yields for all regions of all orders.
+    With ``most``, a region of more sets than this is not paired: if they are not all of one component, each gives (node, region, -1).
 
     A region is one stream of sorted rows in one task. Where it has over CROWDED sets its sets are
     first dealt out by their whole key and a share of their node, then one of each lot by half
@@ -138,12 +161,14 @@ def read_regions(nodes: DataFrame, pair: Callable) -> DataFrame:
     sizes = rows.groupBy("ord", _prefix(LEAST_DEPTH).alias("p")).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > CROWDED)
     crowded = store(sizes.select(F.col("ord").alias("_ord"), F.col("p").alias("_p"), F.ceil(F.col("_size") / CROWDED).alias("_lots")), "crowded-regions")
     lot, group = F.lit(0).cast("bigint").alias("lot"), _prefix(LEAST_DEPTH).alias("group")
+    dealt_out = None
     if crowded.isEmpty():
         placed = rows.select("ord", group, lot, "key", "node", "comp")
     else:  # at most one region of an order for every CROWDED sets
         here = rows.join(F.broadcast(crowded), (F.col("ord") == F.col("_ord")) & (_prefix(LEAST_DEPTH) == F.col("_p")), "left")
         placed = here.where("_lots is null").select("ord", group, lot, "key", "node", "comp")
         rest = here.where("_lots is not null").select("ord", "key", "node", "comp", F.pmod(F.xxhash64("node"), F.col("_lots")).alias("lot"))
+        dealt_out = rest.select(F.col("node").alias("a"), _prefix(LEAST_DEPTH).alias("b"), F.lit(-1).alias("prefix"))
         for values in (VALUES, (LEAST_DEPTH + VALUES) // 2, LEAST_DEPTH):
             rest = rest.select("ord", _prefix(values).alias("group"), "lot", "key", "node", "comp")
             placed = placed.unionByName(rest)
@@ -154,32 +179,41 @@ def read_regions(nodes: DataFrame, pair: Callable) -> DataFrame:
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("ord", "group", "lot")
         now, held = None, ([], [], [])
-
-        def told() -> None:
-            if len(held[0]) > 1:
-                for row in pair(*held):
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
+        out: tuple[list, list, list] = ([], [], [])
 
         def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["a", "b", "prefix"])
+            told = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["a", "b", "prefix"])
+            for column in out:
+                column.clear()
+            return told
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys, sets, comps = held
+            if len(keys) < 2:
+                return
+            if most is None or len(keys) <= most:
+                rows = pair(*held)
+            else:
+                rows = ((n, k[: 2 * LEAST_DEPTH], -1) for k, n in zip(keys, sets, strict=True)) if len(set(comps)) > 1 else ()
+            for row in rows:
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+                if len(out[0]) > 50_000:
+                    yield sent()
 
-        out: tuple[list, list, list] = ([], [], [])
         for batch in batches:
             of = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
             for region, key, node, comp in zip(of, *(batch.column(n).to_pylist() for n in ("key", "node", "comp")), strict=True):
                 if region != now:
-                    told()
+                    yield from told()
                     now, held = region, ([], [], [])
                 for column, value in zip(held, (key, node, comp), strict=True):
                     column.append(value)
-            if len(out[0]) > 50_000:
-                yield sent()
-                out = ([], [], [])
-        told()
+        yield from told()
         yield sent()
 
-    return dealt.mapInArrow(regions, "a binary, b binary, prefix int")
+    met = dealt.mapInArrow(regions, "a binary, b binary, prefix int")
+    return met if most is None or dealt_out is None else met.unionByName(dealt_out)
 
 
 def _ordered(a: bytes, b: bytes, prefix: int) -> tuple[bytes, bytes, int]:
@@ -233,15 +267,67 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough. Only sets in pairs are made again: one text of each
     is found by the set's first doc_id, and its set goes to the pairs it is in."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = store(nodes.join(ends, "node", "left_semi").select("node", "first"), "wanted")
-    firsts = wanted.select(F.col("first").alias("_first")).distinct()
-    near = docs.select("doc_id", "text").join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    sets = near.select(full_set("text").alias("s")).select("s.*")
-    sets = sets.join(wanted.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return overlapping(full_sets(docs, store(nodes.join(ends, "node", "left_semi").select("node", "first"), "wanted")), pairs)
+
+
+def overlapping(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets, of ``sets`` (node, shingles), overlap enough."""
     sides = [sets.select(F.col("node").alias(side), F.col("shingles").alias(f"_{side}")) for side in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").where(similar("_a", "_b")).select("a", "b")
 
 
+def exact_links(docs: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(a, b): all links between sets of different components among ``crowd`` (node, first, comp), by a prefix filter.
+
+    In the order of rarity the larger one of two linked sets of n shingles has one of the smaller one's first
+    n - 2 SHARE n / (100 + SHARE) + 1 among its own first n - SHARE n + 1, and where the first common one
+    stands enough of both sets is left. At most (100 - SHARE) / (100 + SHARE) of all their shingles are in
+    one of them only, so no more of their parities differ. Shingles of one set, or of one component, link nothing. Of a
+    shingle's sets those of its largest component meet the others only."""
+    sets = full_sets(docs, crowd)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, shingles in zip(batch.column("node"), batch.column("shingles"), strict=True):
+                s = np.frombuffer(shingles.as_buffer(), np.int64)
+                for at in range(0, len(s), 100_000):
+                    part = s[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.binary()), pa.array(np.full(len(part), len(s), np.int64)), pa.array(part)], ["node", "n", "s"])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parities(np.frombuffer(s.as_buffer(), np.uint64)).tolist() for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.list_(pa.int64()))], ["node", "bits"])
+
+    each = sets.mapInArrow(spread, "node binary, n bigint, s bigint")
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1")
+    of_set = Window.partitionBy("node")
+    at = F.col("n") - F.count(F.lit(1)).over(of_set) + F.row_number().over(of_set.orderBy("_sets", "s")) - 1
+    first = each.join(shared, "s").withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * SHARE / 100))
+    marked = store(crowd.select("node", "comp").join(sets.mapInArrow(folded, "node binary, bits array<bigint>"), "node"), "crowd-parities")
+    first = store(first.join(marked, "node").select("s", "node", "comp", "n", "at", "bits"), "rare-shingles")
+    comps = first.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("s").agg(F.count(F.lit(1)).alias("_comps"), F.max(F.struct("_n", "comp")).alias("_most"))
+    first = store(first.join(comps.where("_comps > 1"), "s").select("s", "node", "comp", "n", "at", "bits", (F.col("comp") == F.col("_most.comp")).alias("main")), "rare-shingles")
+    small = first.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * SHARE) / (100 + SHARE))).select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "comp", "n", "at", "bits", "main")])
+    left = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
+    both = F.col("n") + F.col("_n")
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    may = (F.struct("_n", "_node") < F.struct("n", "node")) & (F.col("comp") != F.col("_comp")) & (100 * F.col("_n") >= SHARE * F.col("n")) & ((100 + SHARE) * left >= SHARE * both) & ((100 + SHARE) * differ <= (100 - SHARE) * both)
+    met = [small.where(~F.col("_main")).join(first, "s").where(may), small.where("_main").join(first.where(~F.col("main")), "s").where(may)]
+    pairs = met[0].unionByName(met[1]).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    return overlapping(sets, store(pairs, "rare-pairs"))
+
+
+def merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` (node, first, comp) with the components made one that ``links`` (a, b), between nodes, join."""
+    comps = [named.select(F.col("node").alias(side), F.col("comp").alias(f"_of_{side}")) for side in "ab"]
+    more = store(links.join(comps[0], "a").join(comps[1], "b").select(F.col("_of_a").alias("a"), F.col("_of_b").alias("b")).distinct(), "more-links")
+    if more.isEmpty():
+        return named.select("node", "first", "comp")
+    over = store(connected_components(more), "components")
+    return store(named.join(over.withColumnRenamed("node", "_comp"), F.col("comp") == F.col("_comp"), "left").select("node", "first", F.coalesce("root", "comp").alias("comp")), "components-so-far")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -261,16 +347,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = store(connected_components(store(confirmed(docs, nodes, best), "links")), "components")
     named = nodes.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("comp", F.coalesce("root", "node"))
     named = store(named.select("node", "first", "signature", "comp"), "components-so-far")
-    # what is still apart: other neighbours, and all others of a region
-    others = read_regions(named, strangers).select("a", "b").unionByName(side_by_side.select("a", "b")).distinct()
+    # what is still apart: other neighbours, and all others of a small region
+    read = store(read_regions(named, strangers, REGION), "regions-read")
+    others = read.where("prefix >= 0").select("a", "b").unionByName(side_by_side.select("a", "b")).distinct()
     comps = [named.select(F.col("node").alias(f"_{side}"), F.col("comp").alias(f"_of_{side}")) for side in "ab"]
     apart = others.join(best, ["a", "b"], "left_anti").join(comps[0], F.col("a") == F.col("_a")).join(comps[1], F.col("b") == F.col("_b")).where("_of_a <> _of_b")
-    apart = store(apart.select("a", "b", "_of_a", "_of_b"), "still-apart")
-    apart = store(apart.join(likely(apart.select("a", "b"), nodes), ["a", "b"], "left_semi"), "still-apart")
-    more = store(confirmed(docs, nodes, apart.select("a", "b")).join(apart, ["a", "b"]).select(F.col("_of_a").alias("a"), F.col("_of_b").alias("b")).distinct(), "more-links")
-    if not more.isEmpty():
-        over = store(connected_components(more), "components")
-        named = store(named.join(over.withColumnRenamed("node", "_comp"), F.col("comp") == F.col("_comp"), "left").select("node", "first", F.coalesce("root", "comp").alias("comp")), "components-so-far")
+    apart = store(likely(store(apart.select("a", "b"), "still-apart"), nodes), "still-apart")
+    named = merged(named, confirmed(docs, nodes, apart))
+    # the sets of crowded regions, exactly
+    marked = read.where("prefix < 0").select(F.col("a").alias("node"), F.col("b").alias("region")).join(named, "node")
+    several = marked.groupBy("region").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least <> _most")
+    crowd = store(marked.join(several, "region", "left_semi").select("node", "first", "comp").distinct(), "crowd")
+    if not crowd.isEmpty():
+        named = merged(named, exact_links(docs, crowd))
     least = store(named.groupBy("comp").agg(F.min("first").alias("component_id")).withColumnRenamed("comp", "_comp"), "component-ids")
     answer = store(named.join(least, F.col("comp") == F.col("_comp")).select(F.col("node").alias("_node"), "component_id"), "set-components")
     linked = filled.join(answer, F.col("node") == F.col("_node")).select("doc_id", "n_shingles", "component_id")

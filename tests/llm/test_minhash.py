@@ -100,3 +100,23 @@ def test_strangers_are_of_different_components():
     assert all((int.from_bytes(a) % 2 or int.from_bytes(b) % 2) and a < b for a, b, _ in pairs)
     assert {(int.from_bytes(a) // 30, int.from_bytes(b) // 30) for a, b, _ in pairs} == {(k, k) for k in range(4)}
     assert list(minhash.strangers(keys, nodes, [b"x"] * 120)) == []
+
+
+@pytest.mark.parametrize("crowded", [20, 200_000])
+def test_crowded_regions_have_an_exact_way(spark, monkeypatch, crowded):
+    """The exact join alone finds every link, without neighbours and pairs of small regions."""
+    monkeypatch.setattr(minhash, "neighbours", lambda keys, nodes, comps: iter(()))
+    monkeypatch.setattr(minhash, "strangers", lambda keys, nodes, comps: iter(()))
+    monkeypatch.setattr(minhash, "REGION", 1)
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
+    rows = crowd()
+    assert got(minhash.near_duplicates(tables.documents(spark, rows))) == expected(rows)
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 3_000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.r_[a[n // 5 :], rng.integers(0, 2**64, n // 4, np.uint64)])
+        x, y = (np.unpackbits(minhash.parities(s).view(np.uint8)) for s in (a, b))
+        assert len(x) == minhash.PARITIES and int((x != y).sum()) <= len(np.setxor1d(a, b))
