@@ -21,7 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finops_spark.llm.common import store
@@ -81,49 +81,37 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
     return rows.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-def _ends(length: Column, path: Column, depth: int) -> tuple[Column, Column]:
-    """(characters before, characters after) the rest of a chunk word of ``length`` once ``depth`` halves are
-    kept; bit i of ``path`` tells whether the second half was kept at step i."""
-    before, after = F.lit(0), F.lit(0)
-    for step in range(depth):
-        rest = length - before - after
-        first = F.floor(rest / 2).cast("int")
-        second = F.getbit(path, F.lit(step)) == 1
-        before, after = F.when(second, before).otherwise(before + first), F.when(second, after + rest - first).otherwise(after)
-    return before, after
-
-
-def _signed(words: DataFrame, chunks: bool, depth: int) -> DataFrame:
-    """(key, word, len, of, path) of every chunk (or gram) after ``depth`` halvings along each row's path.
+def _signed(words: DataFrame) -> DataFrame:
+    """Add the key of every chunk (or gram): the ``before`` first and ``after`` last characters of the word.
 
     ``of`` is the length of the word that is cut: the word's own for chunks, for grams that or one less."""
-    before, after = _ends(F.col("of"), F.col("path"), depth)
-    kept = [F.col("word").substr(F.lit(1), before), F.col("word").substr(F.col("len") - after + 1, after)]
-    return words.withColumn("key", F.xxhash64("of", "path", *kept))
+    kept = [F.col("word").substr(F.lit(1), F.col("before")), F.col("word").substr(F.col("len") - F.col("after") + 1, F.col("after"))]
+    return words.withColumn("key", F.xxhash64("of", "before", "after", *kept))
 
 
-def _halved(rows: DataFrame, depth: int) -> DataFrame:
-    """Each row with its path continued by either half."""
-    return rows.withColumn("path", F.explode(F.array(F.col("path"), F.col("path") + F.lit(1 << depth).cast("bigint"))))
+def _halved(rows: DataFrame) -> DataFrame:
+    """Each row twice, with either half of the rest kept too. The ends are columns, so no plan grows with the halvings."""
+    rest = F.col("of") - F.col("before") - F.col("after")
+    first = F.floor(rest / 2).cast("int")
+    halves = F.array(
+        F.struct((F.col("before") + first).alias("before"), F.col("after").alias("after")), F.struct(F.col("before").alias("before"), (F.col("after") + rest - first).alias("after"))
+    )
+    return rows.select("word", "len", "of", F.explode(halves).alias("_half")).select("word", "len", "of", "_half.before", "_half.after")
 
 
 def near_pairs(words: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(u, v): every pair of distinct words one inserted, deleted or replaced character apart, once."""
     sized = words.select("word", F.char_length("word").alias("len")).where("len > 0")
-    start = F.lit(0).cast("bigint").alias("path")
-    chunks = sized.select("word", "len", F.col("len").alias("of"), start)
-    grams = sized.select("word", "len", F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("of"), start).where("of > 0")
-    found, depth = [], 0
+    whole = [F.lit(0).alias("before"), F.lit(0).alias("after")]
+    chunks = sized.select("word", "len", F.col("len").alias("of"), *whole)
+    grams = sized.select("word", "len", F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("of"), *whole).where("of > 0")
+    found = []
     while True:
-        chunks, grams = (_signed(_halved(side, depth), kind, depth + 1).drop("_n") for side, kind in ((chunks, True), (grams, False)))
-        depth += 1
-        chunks, grams = store(chunks, "chunks"), store(grams, "grams")
+        chunks, grams = store(_signed(_halved(chunks)), "chunks"), store(_signed(_halved(grams)), "grams")
         sizes = chunks.select("key", F.lit(1).alias("c"), F.lit(0).alias("g")).unionByName(grams.select("key", F.lit(0).alias("c"), F.lit(1).alias("g")))
         sizes = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum("g").alias("g")).where("c > 0 and g > 0")
         # what is left to cut: at most one character once the longest word has been halved often enough
-        before, after = _ends(F.col("of"), F.col("path"), depth)
-        open_ = F.col("of") - before - after > 1
-        hot = store(sizes.where(F.col("c") * F.col("g") > most_pairs).select("key").join(chunks.where(open_).select("key").distinct(), "key", "left_semi"), "hot-chunks")
+        hot = store(sizes.where(F.col("c") * F.col("g") > most_pairs).select("key").join(chunks.where("of - before - after > 1").select("key").distinct(), "key", "left_semi"), "hot-chunks")
         any_hot = not hot.isEmpty()
         cold = (lambda side: side.join(hot, "key", "left_anti")) if any_hot else (lambda side: side)
         met = cold(chunks).select("key", F.col("word").alias("u"), F.col("of").alias("a")).join(cold(grams).select("key", F.col("word").alias("v"), "of", F.col("len").alias("b")), "key")

@@ -81,3 +81,18 @@ def test_awkward_documents(spark, monkeypatch, chars):
 def test_no_documents(spark):
     assert spelling.spelling_variants(tables.documents(spark, [])).collect() == []
     assert spelling.spelling_variants(tables.documents(spark, [(1, None, None, None), (2, "", None, None)])).collect() == []
+
+
+def test_plans_do_not_grow_with_the_halvings(spark, monkeypatch):
+    sizes, write = [], spelling.store
+
+    def told(df, name):
+        if name == "chunks":
+            sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "store", told)
+    words = ["a" * 39 + chr(97 + i) for i in range(12)] + ["b" * 40]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    assert spelling.near_pairs(table, most_pairs=1).count() == 66
+    assert len(sizes) > 4 and max(sizes) < 2 * sizes[1]
