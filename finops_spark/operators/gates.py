@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,20 +211,24 @@ def frequency_gaps(df: DataFrame, key: str = "series_id", date: str = "ts", freq
     The frequency is D (every day), B (Monday to Friday), W (every seventh day from the first one on), MS or ME
     (first or last day of each month). A day is ``missing`` if it is expected but has no row, ``unexpected`` if it
     has a row but is not expected. Repeated days count once, rows without a date are left out, a NULL key is a
-    series of its own. The calendar is made year by year from each series' two ends, and both sides are compared
-    by sums over key and day, so neither a long series nor a far-off date gathers in one task."""
+    series of its own. Each day answers for the days since the one before it, so a calendar is never moved nor
+    grouped; a task holds the distinct days of one series, which the calendar bounds, and they may spill."""
     require(df, [key, date], "series")
     rule = _expected(frequency)
-    seen = df.select(F.col(key).alias("_key"), F.col(date).cast("date").alias("_day")).where("_day is not null")
-    ends = seen.groupBy("_key").agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
-    years = ends.select("*", F.explode(F.sequence(F.year("_first"), F.year("_last"))).alias("_year"))
-    lo = F.greatest(F.col("_first"), F.make_date("_year", F.lit(1), F.lit(1)))
-    hi = F.least(F.col("_last"), F.make_date("_year", F.lit(12), F.lit(31)))
-    days = years.select("_key", "_first", F.explode(F.sequence(lo, hi)).alias("_day")).where(rule)
-    both = days.select("_key", "_day", F.lit(1).alias("_e"), F.lit(0).alias("_s")).unionByName(seen.select("_key", "_day", F.lit(0).alias("_e"), F.lit(1).alias("_s")))
-    sides = both.groupBy("_key", "_day").agg(F.max("_e").alias("_e"), F.max("_s").alias("_s")).where("_e <> _s")
-    kind = F.when(F.col("_e") == 1, F.lit("missing")).otherwise(F.lit("unexpected"))
-    return sides.select(F.col("_key").alias(key), F.col("_day").alias(date), kind.alias("kind"))
+    seen = df.select(F.col(key).alias("_key"), F.col(date).cast("date").alias("_seen")).where("_seen is not null").distinct()
+    in_order = Window.partitionBy("_key").orderBy("_seen")
+    placed = seen.withColumns({"_first": F.first("_seen").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), "_last": F.lag("_seen").over(in_order)})
+    after = F.coalesce(F.date_add("_last", 1), F.col("_seen"))
+    if frequency == "W":  # only every seventh day, and the day itself
+        weeks = F.ceil(F.datediff(after, "_first") / 7).cast("int") * 7
+        after = F.date_add("_first", weeks)
+        week = F.expr("interval 7 days")
+        days = F.when(after < F.col("_seen"), F.array_union(F.sequence(after, F.col("_seen"), week), F.array("_seen"))).otherwise(F.array("_seen"))
+    else:
+        days = F.sequence(after, F.col("_seen"))
+    kind = F.when(rule, F.lit("missing")).otherwise(F.lit("unexpected"))
+    off = placed.withColumn("_day", F.explode(days)).where(rule != (F.col("_day") == F.col("_seen")))
+    return off.select(F.col("_key").alias(key), F.col("_day").alias(date), kind.alias("kind"))
 
 
 def enforce_series(

@@ -159,6 +159,14 @@ def test_frequency_gaps(spark):
         off(spark, [], "fortnight")
 
 
+@pytest.mark.parametrize("frequency", ["D", "B", "W", "MS", "ME"])
+def test_calendars_are_not_moved(spark, frequency):
+    """Days are made after the last shuffle, so no task gathers the calendar of many series."""
+    df = spark.createDataFrame([(k, dt.date(2024, 1, 1 + k)) for k in range(9)], "series_id int, ts date")
+    plan = gates.frequency_gaps(df, frequency=frequency)._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.index("Generate") < plan.index("Exchange") and plan.count("Generate") == 1
+
+
 def test_series_of_a_frequency(spark):
     series = spark.createDataFrame([(k, dt.date(2024, m, 1), 1.0) for k in ("x", None) for m in (1, 2, 3)], "series_id string, ts date, value double")
     gates.enforce_series(series, frequency="MS")
