@@ -43,6 +43,8 @@ REGION = 64
 PARTNERS = 3
 #: Regions with more sets than this are dealt out by longer prefixes, which meet through their first sets, and count as crowded.
 CROWDED = 200_000
+#: Classes of shingles that are counted for the order of rarity; a power of two, 2 MB of counts.
+CLASSES = 1 << 18
 #: Bits by which sets are told apart before they are compared in full; a multiple of 64.
 PARITIES = 512
 #: Pairs whose signatures agree in a smaller share than this are not confirmed: five deviations below SHARE.
@@ -276,34 +278,56 @@ def overlapping(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").where(similar("_a", "_b")).select("a", "b")
 
 
+def _class(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(CLASSES - 1)).astype(np.int64)
+
+
+def class_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` are of each class: an order of rarity, of a fixed size at any number of sets."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for s in batch.column("shingles"):
+                np.add.at(n, _class(np.frombuffer(s.as_buffer(), np.uint64)), 1)
+        c = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n[c])], ["c", "n"])
+
+    told = sets.select("shingles").mapInArrow(counted, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CLASSES, np.int64)
+    counts[told.column("c").to_numpy()] = told.column("n").to_numpy()
+    return counts
+
+
 def exact_links(docs: DataFrame, crowd: DataFrame) -> DataFrame:
     """(a, b): all links between sets of different components among ``crowd`` (node, first, comp), by a prefix filter.
 
-    In the order of rarity the larger one of two linked sets of n shingles has one of the smaller one's first
+    In one order of all shingles, here by the rarity of their class, the larger one of two linked sets of n shingles has one of the smaller one's first
     n - 2 SHARE n / (100 + SHARE) + 1 among its own first n - SHARE n + 1, and where the first common one
     stands enough of both sets is left. At most (100 - SHARE) / (100 + SHARE) of all their shingles are in
     one of them only, so no more of their parities differ. Shingles of one set, or of one component, link nothing. Of a
     shingle's sets those of its largest component meet the others only."""
     sets = full_sets(docs, crowd)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    often = class_counts(sets)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, shingles in zip(batch.column("node"), batch.column("shingles"), strict=True):
-                s = np.frombuffer(shingles.as_buffer(), np.int64)
-                for at in range(0, len(s), 100_000):
-                    part = s[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.binary()), pa.array(np.full(len(part), len(s), np.int64)), pa.array(part)], ["node", "n", "s"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                arrays = [np.frombuffer(s.as_buffer(), np.uint64) for s in part.column("shingles")]
+                first = [s[np.lexsort((s, often[_class(s)]))[: len(s) - -(-SHARE * len(s) // 100) + 1]] for s in arrays]
+                nodes = [node for node, f in zip(part.column("node").to_pylist(), first, strict=True) for _ in range(len(f))]
+                sizes = np.repeat([len(s) for s in arrays], [len(f) for f in first])
+                columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate([np.arange(len(f)) for f in first]), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "s", "at"])
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [parities(np.frombuffer(s.as_buffer(), np.uint64)).tolist() for s in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.list_(pa.int64()))], ["node", "bits"])
 
-    each = sets.mapInArrow(spread, "node binary, n bigint, s bigint")
-    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1")
-    of_set = Window.partitionBy("node")
-    at = F.col("n") - F.count(F.lit(1)).over(of_set) + F.row_number().over(of_set.orderBy("_sets", "s")) - 1
-    first = each.join(shared, "s").withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * SHARE / 100))
+    first = sets.mapInArrow(rarest, "node binary, n bigint, s bigint, at bigint")
     marked = store(crowd.select("node", "comp").join(sets.mapInArrow(folded, "node binary, bits array<bigint>"), "node"), "crowd-parities")
     first = store(first.join(marked, "node").select("s", "node", "comp", "n", "at", "bits"), "rare-shingles")
     comps = first.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("s").agg(F.count(F.lit(1)).alias("_comps"), F.max(F.struct("_n", "comp")).alias("_most"))
