@@ -27,7 +27,7 @@ from finops_spark.operators.models import (
 )
 from finops_spark.operators.repair import fit_repair, repair_report
 from finops_spark.operators.split import TWO_WAY, split_part, stratified_split
-from finops_spark.session import cut_lineage, store
+from finops_spark.session import cut_lineage, spread, store
 from finops_spark.sources.readers import LABEL, read_scoring_input, read_transactions
 from finops_spark.sources.writers import write_predictions, write_report
 
@@ -80,10 +80,11 @@ def run_fraud_training(
     repair = fit_repair(learn_from, label, fill_all=True, ids=ID_COLUMNS)
     steps = fit_transaction_pipeline(learn_from, repair, label)
     all_steps = [*steps.base, *steps.scaling]
-    ready = cut_lineage(run_stages(train, all_steps).select(F.col(label).cast("int").alias("label"), "features", "scaled_features"))
+    # The rows are dealt over all cores before they are kept: fitting and scoring take a task for each part.
+    ready = cut_lineage(run_stages(spread(train), all_steps).select(F.col(label).cast("int").alias("label"), "features", "scaled_features"))
     # Error analysis reads the prepared amount and hour beside the vectors.
     shown = {"f_log_amount": "log_amount", "f_TransactionAmt": "TransactionAmt", "f_amount": "amount", "f_hour_of_day": "hour_of_day"}
-    prepared = run_stages(test, all_steps)
+    prepared = run_stages(spread(test), all_steps)
     extra = [F.col(k).alias(v) for k, v in shown.items() if k in prepared.columns]
     held = cut_lineage(prepared.select(F.col(label).cast("int").alias("label"), "features", "scaled_features", *extra))
 
@@ -155,7 +156,7 @@ def run_fraud_scoring(
     """Score a batch with a saved bundle: training statistics, never the batch's."""
     table = read_scoring_input(spark, source) if isinstance(source, str) else source
     loaded = ScoringBundle.load(spark, bundle) if isinstance(bundle, str) else bundle
-    scored = score_batch(table, loaded)
+    scored = score_batch(table if table.isStreaming else spread(table), loaded)
     if output_path:
         write_predictions(scored, output_path, fmt)
     return scored

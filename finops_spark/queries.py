@@ -20,7 +20,7 @@ from finops_spark.operators.ordered import with_position
 from finops_spark.plans.forecasting import run_forecasting
 from finops_spark.plans.fraud import run_fraud_scoring, run_fraud_training
 from finops_spark.plans.monitor import run_monitor
-from finops_spark.session import cut_lineage, shared_folder, store
+from finops_spark.session import cut_lineage, shared_folder, spread, store
 from finops_spark.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -587,7 +587,7 @@ def _labelled_vectors(spark, folder):
 
 def _gbt_calibrated(spark, folder, method):
     (train, held_out, test), _ = _labelled_vectors(spark, folder)
-    _, calibrated = calibrate.train_and_calibrate(cut_lineage(train), held_out, method=method)
+    _, calibrated = calibrate.train_and_calibrate(cut_lineage(spread(train)), held_out, method=method)
     scored = calibrated.transform(test)
     return scored.select(
         "label", models.positive_probability().alias("p"), calibrate.calibrated_probability(scored).alias("p_cal")
@@ -604,7 +604,7 @@ def q_gbt_isotonic_report(spark, folder):
 
 def q_model_selection(spark, folder):
     (train, _, test), _ = _labelled_vectors(spark, folder)
-    train = cut_lineage(train)
+    train = cut_lineage(spread(train))
     fitted = {"logistic": models.train_logistic(train), "forest": models.train_forest(train)}
     scores = {}
     for name, model in fitted.items():
@@ -615,7 +615,7 @@ def q_model_selection(spark, folder):
 
 def q_feature_importance(spark, folder):
     (train, _, _), names = _labelled_vectors(spark, folder)
-    model = models.train_forest(cut_lineage(train))
+    model = models.train_forest(cut_lineage(spread(train)))
     return models.feature_importance(spark, model, names)
 
 

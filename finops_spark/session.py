@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows of a part that a model is fitted on: a forest of 100 trees holds some 530 bytes for each.
+PART_ROWS = 500_000
+
 
 def local_session(cpus: int | str = 8, app: str = "finops_spark", memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark.
@@ -55,6 +58,13 @@ def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Deal the rows evenly over all cores, at most ``part_rows`` to a part: for steps with much work a row,
+    which would otherwise run in as many tasks as the files happen to give."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-df.count() // (cores * part_rows))))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder."""
     _checkpoint_root(df.sparkSession)

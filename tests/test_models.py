@@ -10,6 +10,7 @@ from finops_spark.errors import FitError, GateError, SchemaError
 from finops_spark.operators import calibrate, calibration_metrics, encode, models
 from finops_spark.plans.calibration import run_calibration
 from finops_spark.plans.fraud import run_fraud_scoring, run_fraud_training
+from finops_spark.session import spread
 from finops_spark.sources.readers import read_transactions
 
 
@@ -295,6 +296,37 @@ def test_fraud_flow(spark, transactions, tmp_path, scope):
         run_fraud_scoring(spark, new.drop("V1"), out.bundle)
 
 
+def test_fraud_flow_uses_all_cores(spark, transactions, monkeypatch):
+    """One file of transactions is one part; fitting and scoring must not run in one task."""
+    from finops_spark.plans import fraud
+
+    cores = spark.sparkContext.defaultParallelism
+    seen = []
+
+    def train(ready, **options):
+        sizes = ready.groupBy(F.spark_partition_id()).count().collect()
+        seen.append((len(sizes), max(r["count"] for r in sizes), sum(r["count"] for r in sizes)))
+        return models.train_forest(ready, **options)
+
+    monkeypatch.setattr(fraud, "train_forest", train)
+    table = read_transactions(spark, transactions).coalesce(1)
+    out = run_fraud_training(spark, table, min_test_positives=5, forest_trees=2, forest_depth=2)
+    parts, largest, rows = seen[0]
+    assert parts == cores and largest <= rows / cores + cores
+    scored = run_fraud_scoring(spark, table, out.bundle)
+    assert scored.rdd.getNumPartitions() == cores and scored.count() == table.count()
+
+
+def test_spread_bounds_parts(spark):
+    cores = spark.sparkContext.defaultParallelism
+    table = spark.range(1000).coalesce(1)
+    assert spread(table, part_rows=1000).rdd.getNumPartitions() == cores
+    small = spread(table, part_rows=10)
+    assert small.rdd.getNumPartitions() >= 100 and small.rdd.getNumPartitions() % cores == 0
+    assert sorted(r.id for r in small.collect()) == list(range(1000))
+    assert spread(table.limit(0)).count() == 0
+
+
 def test_fraud_flow_gates(spark, transactions):
     table = read_transactions(spark, transactions)
     with pytest.raises(GateError):
