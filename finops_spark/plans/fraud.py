@@ -31,6 +31,9 @@ from finops_spark.session import cut_lineage, spread, store
 from finops_spark.sources.readers import LABEL, read_scoring_input, read_transactions
 from finops_spark.sources.writers import write_predictions, write_report
 
+# Counts of the nodes that a pass over the rows grows: the vectors here are narrow, so few passes are added.
+FOREST_GROUP_MB = 32
+
 
 @dataclass(frozen=True)
 class FraudResult:
@@ -81,7 +84,10 @@ def run_fraud_training(
     steps = fit_transaction_pipeline(learn_from, repair, label)
     all_steps = [*steps.base, *steps.scaling]
     # The rows are dealt over all cores before they are kept: fitting and scoring take a task for each part.
-    ready = cut_lineage(run_stages(spread(train), all_steps).select(F.col(label).cast("int").alias("label"), "features", "scaled_features"))
+    # Within a part they lie sorted by their features, codes first, so that neighbours walk the same paths of a tree.
+    alike = [F.col(f"`{c}`") for c in reversed(steps.base[-1].getInputCols())]
+    ordered = run_stages(spread(train), all_steps).sortWithinPartitions(*alike)
+    ready = cut_lineage(ordered.select(F.col(label).cast("int").alias("label"), "features", "scaled_features"))
     # Error analysis reads the prepared amount and hour beside the vectors.
     shown = {"f_log_amount": "log_amount", "f_TransactionAmt": "TransactionAmt", "f_amount": "amount", "f_hour_of_day": "hour_of_day"}
     prepared = run_stages(spread(test), all_steps)
@@ -90,7 +96,7 @@ def run_fraud_training(
 
     candidates = {
         "logistic": (train_logistic(ready, features="scaled_features"), all_steps),
-        "forest": (train_forest(ready, n_trees=forest_trees, max_depth=forest_depth, seed=seed), steps.base),
+        "forest": (train_forest(ready, n_trees=forest_trees, max_depth=forest_depth, seed=seed, group_mb=FOREST_GROUP_MB), steps.base),
     }
     scored, scores = {}, {}
     for name, (model, _) in candidates.items():

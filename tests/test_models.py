@@ -301,11 +301,14 @@ def test_fraud_flow_uses_all_cores(spark, transactions, monkeypatch):
     from finops_spark.plans import fraud
 
     cores = spark.sparkContext.defaultParallelism
-    seen = []
+    seen, walked, budgets = [], [], []
 
     def train(ready, **options):
         sizes = ready.groupBy(F.spark_partition_id()).count().collect()
         seen.append((len(sizes), max(r["count"] for r in sizes), sum(r["count"] for r in sizes)))
+        placed = ready.select(F.spark_partition_id().alias("part"), vector_to_array("features").alias("x")).collect()
+        walked.extend((r["part"], r["x"][::-1]) for r in placed)
+        budgets.append(options["group_mb"])
         return models.train_forest(ready, **options)
 
     monkeypatch.setattr(fraud, "train_forest", train)
@@ -313,6 +316,7 @@ def test_fraud_flow_uses_all_cores(spark, transactions, monkeypatch):
     out = run_fraud_training(spark, table, min_test_positives=5, forest_trees=2, forest_depth=2)
     parts, largest, rows = seen[0]
     assert parts == cores and largest <= rows / cores + cores
+    assert walked == sorted(walked) and budgets[0] < 256
     scored = run_fraud_scoring(spark, table, out.bundle)
     assert scored.rdd.getNumPartitions() == cores and scored.count() == table.count()
 
